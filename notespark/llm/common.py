@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ready
+
 _written: list[tuple[SparkSession, str, str]] = []
 
 
@@ -65,7 +67,7 @@ def let(value: Column, body) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
