@@ -1,7 +1,7 @@
 """All registered queries of the subpackage and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, near_dedup, pii
+from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, pii, warc
 
-MODULES = (pii, decontaminate, near_dedup, chat, exact_dedup)
+MODULES = (pii, decontaminate, warc, near_dedup, line_dedup, chat, exact_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
