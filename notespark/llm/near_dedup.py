@@ -5,12 +5,12 @@ first hash of each of BINS ranges), empty bins borrow from random occupied ones
 bins give bucket keys. With similarity s a pair shares no bucket with probability (1 - s**4)**32: 6e-11 at 0.85, 5e-8 at 0.8.
 
 Texts with equal shingle sets are one class and only its representative goes on, so groups of copies cost one row each. In a
-bucket, candidate edges form stars: first each member with the smallest member (one edge per document, over all its buckets),
-then, only in buckets whose members are not yet in one component, the next members in turn as centres, 1, 2, 4, ... of them a
-round, against members of other components. Links found shrink what is left, so a group of near copies is done after one or two
-stars, while in the end every pair of a bucket is either compared or already connected: no link is lost and nothing is capped.
-Every edge is confirmed on the two full shingle sets (48-bit hashes of shingles). Components come from alternating large-star and
-small-star steps over tables in the shared folder; links never reach the driver.
+bucket, candidate edges form a star around its most connected member, so edges grow with documents, not with pairs; buckets of a
+group share their centre, so a document has few of them. Stars alone would lose links between two members that are both too far
+from the centre, so stars whose members are not in one component are settled exactly: members of different components are compared
+where a prefix filter on their differences to the centre (rarest elements first) cannot rule a link out. No pair of a bucket goes
+unanswered and nothing is capped. Every edge is confirmed on the two full shingle sets (48-bit hashes of shingles). Components come
+from alternating large-star and small-star steps over tables in the shared folder; links never reach the driver.
 
 Nulls: a null or blank text has an empty set and is linked with nothing; a null id is ignored when the smallest id of a component is
 sought. Rows that repeat are one class. Fewer words than a shingle: the whole sequence is the one shingle. Empty table: no rows.
@@ -127,22 +127,60 @@ def connected_components(edges: DataFrame, owner: str = "near") -> DataFrame:
         before = now
 
 
+BROADCAST_IDS = 2_000_000  # at most so many ids (16 MB) are broadcast; more are joined by an exchange
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _differences(num: int, den: int):
+    """Per (rep, centre): the elements of the symmetric difference, with how many must be shared for a link across components."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own, centre = part.column("items_b").to_pylist(), part.column("items_a").to_pylist()
+                ids = part.column("a").to_numpy().astype(np.uint64)
+                gs, slots = [], []
+                for c, x, y in zip(ids, own, centre):
+                    x, y = unpack(x), unpack(y)
+                    z = np.sort(np.concatenate((x, y)), kind="stable")
+                    edge = np.concatenate(([True], z[1:] != z[:-1], [True]))
+                    d = z[edge[1:] & edge[:-1]]
+                    shared = (len(z) - len(d)) // 2
+                    if den * shared >= num * (len(z) - shared):
+                        s = ((num + den) * len(d) + (den - num) * (len(y) - len(x))) // (2 * (num + den)) + 1
+                    else:
+                        s = -(((den - num) * (len(x) + len(y)) - (num + den) * len(d)) // (2 * (num + den)))
+                    gs.append(mix(d ^ mix(c + np.zeros(1, np.uint64))).view(np.int64))
+                    slots.append(len(d) - max(1, s) + 1)
+                n = [len(g) for g in gs]
+                cols = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("a", "b", "comp", "n")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.repeat(np.array(slots, np.int64), n)), pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(gs) if gs else np.zeros(0, np.int64))], names=["a", "b", "comp", "n", "slots", "d", "g"])
+
+    return run
+
+
 def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Links have den * intersection >= num * union."""
     own = "near"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     signed = write_table(texts.mapInArrow(_sign(words), _SIGNED), "near-signed", own)
     classes = write_table(signed.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("rep")), "near-classes", own)
-    one = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    bands = write_table(one.select(F.col("row").alias("rep"), "n", "bands"), "near-bands", own)
-    every = bands.select("rep", "n", F.explode("bands").alias("key"))
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("first")).filter("m > 1")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    members = write_table(every.join(shared, "key").withColumn("place", place), "near-members", own)
-    labels = members.select("rep").distinct().withColumn("comp", F.col("rep"))
-    sets = write_table(signed.select(F.col("row").alias("rep"), "items").join(labels, "rep", "left_semi"), "near-sets", own)
-    sizes = bands.select("rep", "n")
-    labels = write_table(labels, "near-labels", own)
+    reps = signed.select("row", "bands").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    of_key = Window.partitionBy("key")
+    every = reps.select(F.col("row").alias("rep"), F.explode("bands").alias("key")).withColumn("m", F.count(F.lit(1)).over(of_key))
+    shared = write_table(every.filter("m > 1"), "near-shared", own)
+    # the most connected member of a bucket is its first centre: in a group of near copies that is close to what they are copies of
+    degrees = shared.groupBy("rep").agg(F.sum("m").alias("degree"))
+    ids = degrees.select("rep")
+    sets = write_table(signed.select(F.col("row").alias("rep"), "n", "items").join(_small(ids), "rep", "left_semi"), "near-sets", own)
+    sized = degrees.join(sets.select("rep", "n"), "rep")
+    by_degree = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
+    members = write_table(shared.join(sized, "rep").withColumn("place", F.row_number().over(by_degree)), "near-members", own)
+    labels = write_table(sets.select("rep", F.col("rep").alias("comp")), "near-labels", own)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
@@ -156,28 +194,40 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         roots = connected_components(between, own).select(F.col("node").alias("comp"), "root")
         return write_table(labels.join(roots, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "near-labels", own)
 
+    def unsettled(labels: DataFrame) -> DataFrame:
+        """Pairs of different components in a star that may still be linked: an exact prefix filter on differences to the centre.
+
+        With k = (1 - t) / (1 + t), x and y are linked if and only if |x ^ y| <= k (|x| + |y|), and |x ^ y| follows from what the
+        differences to the centre c have in common: |x^c & y^c| = (|x^c| + |y^c| - |x^y|) / 2. As at most one of them is linked with
+        c, that must be at least 1, and more than (|x^c| + k (|c| - |x|)) / 2 for the linked one. So one common element is among
+        the |x^c| - s + 1 rarest of either. Elements that one component alone has come first in the order and never match.
+        """
+        now = members.select("key", "rep", "degree").join(labels, "rep").withColumns({"x": F.min("comp").over(of_key), "y": F.max("comp").over(of_key)}).filter("x <> y")
+        # the centre is taken from the component with most members in the bucket: differences to it are small
+        most = F.struct(F.count(F.lit(1)).over(Window.partitionBy("key", "comp")).alias("c"), "degree", F.col("rep").alias("a"))
+        now = now.withColumn("most", most).withColumn("a", F.max("most").over(of_key)["a"]).select("a", F.col("rep").alias("b"), "comp").distinct()
+        a = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
+        b = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"), "n")
+        schema = "a long, b long, comp long, n long, slots long, d long, g long"
+        rows = write_table(now.select("a", "b", "comp").join(b, "b").join(a, "a").select("a", "b", "comp", "n", "items_a", "items_b").mapInArrow(_differences(num, den), schema), "near-open-items", own)
+        common = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("df")).filter("x <> y").select("g", "df")
+        of_spoke = Window.partitionBy("a", "b")
+        rare = rows.join(common, "g").withColumns({"v": F.count(F.lit(1)).over(of_spoke), "at": F.row_number().over(of_spoke.orderBy("df", "g"))})
+        prefix = write_table(rare.filter("at <= slots - (d - v)").select("g", F.col("b").alias("rep"), "comp", "n", "d", "v"), "near-prefix", own)
+        other = prefix.select("g", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("v").alias("va"))
+        enough = F.expr(f"{2 * (num + den)} * least(v, va) >= {num + den} * (d + da) - {den - num} * (n + na)")  # what both could share, against what a link needs
+        return prefix.join(other, "g").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & alike & enough).select(F.col("rep").alias("a"), "b").distinct()
+
     alike = F.expr(f"{den} * least(n, na) >= {num} * greatest(n, na)")  # sizes too far apart cannot reach the similarity
-    stars = members.filter("rep <> first").groupBy("rep").agg(F.min("first").alias("a"), F.first("n").alias("n"))
-    stars = stars.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").filter(alike).select("a", F.col("rep").alias("b"))
-    tested = write_table(stars, "near-tested", own)
+    heads = members.filter("place = 1").select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
+    spokes = write_table(members.join(heads, "key").groupBy("a", F.col("rep").alias("b")).agg(F.first("n").alias("n"), F.first("na").alias("na")), "near-spokes", own)
+    tested = spokes.filter((F.col("a") != F.col("b")) & alike).select("a", "b")
     links = write_table(confirmed(tested), "near-links", own)
     labels = merged(labels, links) if not links.isEmpty() else labels
-    low, high = 1, 2
-    while True:
-        now = members.join(labels, "rep")
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("m").alias("m")).filter("x <> y AND m > 1")
-        left = write_table(now.join(open_keys.select("key"), "key", "left_semi").select("key", "rep", "n", "place", "comp", "m"), "near-open", own)
-        most = left.agg(F.max("m")).first()[0]
-        if most is None or low >= most:
-            break
-        centres = left.filter((F.col("place") >= low) & (F.col("place") < high)).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
-        pairs = left.join(centres, "key").filter((F.col("place") > F.col("pa")) & (F.col("comp") != F.col("ca")) & alike).select("a", F.col("rep").alias("b")).distinct()
-        fresh = write_table(pairs.join(tested, ["a", "b"], "left_anti"), "near-tested", own)
-        links = write_table(confirmed(fresh), "near-links", own)
-        labels = merged(labels, links) if not links.isEmpty() else labels
-        tested = tested.unionByName(fresh)
-        low, high = high, 2 * high
-    named = classes.join(labels, "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
+    rest = write_table(unsettled(labels), "near-tested", own)
+    links = write_table(confirmed(rest), "near-links", own)
+    labels = merged(labels, links) if not links.isEmpty() else labels
+    named = classes.join(labels, classes["rep"] == labels["rep"], "left").select("set_a", "set_b", F.coalesce(labels["comp"], classes["rep"]).alias("comp"))
     rows = signed.select("doc_id", "row", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     rows = write_table(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp")), "near-rows", own)
     smallest = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -189,9 +239,7 @@ def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     """docs with one document of each component, the one of the smallest id; all columns of docs. Rows without an id stay."""
     drop = write_table(link(docs, words, num, den, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__nd_id")).distinct(), "near-drop", "near-drop")
     release("near")
-    few = drop.count() <= 2_000_000  # 16 MB of ids; more of them are joined by an exchange
-    key = F.col(id_col).cast("long")
-    return docs.join(F.broadcast(drop) if few else drop, key == F.col("__nd_id"), "left_anti")
+    return docs.join(_small(drop), F.col(id_col).cast("long") == F.col("__nd_id"), "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
