@@ -1,3 +1,580 @@
-"""Registered queries."""
-QUERIES: dict = {}
-SQL: dict = {}
+"""Registered queries over the driver's tables, each with the same query in SQL.
+
+`documents` stand for notes: a line that is not blank is a node, lang/source give the path. `embeddings` stand for a tree by the heap
+rule: node n hangs under (n - 1) div 4. All queries run over whole tables; limits are those of the operators (top-k, budgets).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates as D
+from ..functions import globs as G
+from ..functions import text as T
+from ..functions.vectors import l2
+from ..operators import filters, indexing, jobs, ranking, search, tree
+from ..session import ready
+from . import chat
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+WORDS = ["the", "thing", "entre", "chung"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(lambda t: ready(spark).read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- shared derivations
+
+PATH = "source || '/' || lang || '/' || doc_id || '.md'"
+NODES = f"""nodes AS (
+  SELECT doc_id || ':' || (i - 1) AS id, doc_id::VARCHAR AS note_id, {PATH} AS vault_path, lang, source, ls[i] AS content, i - 1 AS pos,
+    CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + (doc_id % 400)::INT, '%Y-%m-%d') END AS note_date, CASE WHEN i = 1 THEN 'topic' ELSE 'paragraph' END AS type
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(ls[i]) <> '')"""
+HEAP = "heap AS (SELECT vec_id AS id, CASE WHEN vec_id > 0 THEN (vec_id - 1) // 4 END AS parent_id, label, embedding FROM embeddings)"
+
+
+def doc_path():
+    return F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".md")))
+
+
+def nodes(read) -> DataFrame:
+    d = read("documents")
+    lines = d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content")).filter(F.trim("content") != "")
+    date = F.when(F.col("doc_id") % 7 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")), "yyyy-MM-dd"))
+    return lines.select(
+        F.concat_ws(":", "doc_id", "pos").alias("id"), F.col("doc_id").cast("string").alias("note_id"), doc_path().alias("vault_path"), "lang", "source", "content", F.col("pos").cast("long").alias("pos"),
+        date.alias("note_date"), F.when(F.col("pos") == 0, "topic").otherwise("paragraph").alias("type"),
+    )
+
+
+def heap(read) -> DataFrame:
+    e = read("embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") > 0, F.floor((F.col("vec_id") - 1) / 4)).cast("long").alias("parent_id"), "label", "embedding")
+
+
+def heap_nodes(read) -> DataFrame:
+    """The heap as nodes of one note with ancestor arrays. Parents of a heap are arithmetic, so the array needs no join."""
+    h = heap(read)
+    up = lambda c: F.floor((c - 1) / 4).cast("long")
+    line = F.expr("filter(transform(sequence(1, 40), k -> CAST(floor((id - (pow(4, k) - 1) / 3) / pow(4, k)) AS BIGINT)), a -> a >= 0)")
+    return h.select(
+        F.col("id"), F.lit("n").alias("note_id"), "parent_id", "label", "embedding", F.reverse(line).alias("ancestor_ids"),
+        F.when(F.col("id") > 0, F.pmod(F.col("id") - 1, F.lit(4))).otherwise(0).cast("int").alias("sibling_order"), F.concat(F.lit("c"), F.col("id")).alias("content"), up(F.col("id")).alias("p"),
+    ).drop("p")
+
+
+def vector_of(read, vec_id: int) -> list[float]:
+    return list(read("embeddings").filter(F.col("vec_id") == vec_id).first().embedding)
+
+
+def top(rows: DataFrame, score: str) -> DataFrame:
+    return rows.withColumn(score, F.round(score, 6))
+
+
+BM25 = f"""terms AS (SELECT id, type, list_filter(string_split_regex(lower(content), '[^0-9a-z\\x{{80}}-\\x{{ffff}}]+'), lambda t: t <> '') AS ts FROM nodes),
+stats AS (SELECT count(*) AS docs, avg(len(ts)) AS al FROM terms WHERE len(ts) > 0),
+posted AS (SELECT id, type, len(ts) AS length, unnest(ts) AS term FROM terms),
+hits AS (SELECT id, type, length, term, count(*) AS tf FROM posted WHERE term IN ({", ".join(f"'{w}'" for w in WORDS)}) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
+scored AS (SELECT id, type, -sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * length / al))) AS s
+  FROM hits JOIN df USING (term) CROSS JOIN stats GROUP BY 1, 2)"""
+
+
+def bm25_hits(read, where=None, k: int = 20) -> DataFrame:
+    n = nodes(read)
+    return search.keyword_top(n, search.postings(n), search.corpus_stats(n), " ".join(WORDS), k, where)
+
+
+# --- flagship
+
+
+@query(
+    "q00_search",
+    f"""WITH {NODES}, {BM25},
+t AS (SELECT id, round(s, 6) AS bm25 FROM scored ORDER BY s, id LIMIT 20),
+o AS (SELECT t.id, t.bm25, n.vault_path, n.note_id, n.content FROM t JOIN nodes n USING (id)),
+sib AS (SELECT o.id, string_agg(n.content, chr(10) ORDER BY n.pos, n.id) AS sib FROM o JOIN nodes n ON n.note_id = o.note_id AND n.id <> o.id GROUP BY 1)
+SELECT o.id AS node_id, vault_path AS note_path, bm25, sha256('## Note: "' || regexp_replace(regexp_extract(vault_path, '[^/]*$'), '\\.md$', '') || '" (' || vault_path || ')' || chr(10) || '### Section: (root)' || chr(10) || chr(10)
+  || '**Matched content:**' || chr(10) || CASE WHEN ceil(length(content) / 4) <= 614 THEN content ELSE rtrim(left(content, 2455)) || '…' END || chr(10) || chr(10) || '**Sibling context:**' || chr(10)
+  || CASE WHEN ceil(length(coalesce(sib, '')) / 4) <= 256 THEN coalesce(sib, '') ELSE rtrim(left(sib, 1023), ' ' || chr(10) || chr(9) || chr(13)) || '…' END || chr(10) || chr(10) || '**Parent summary:**' || chr(10)) AS snippet_sha
+FROM o LEFT JOIN sib USING (id)""",
+)
+def q00(read):
+    n = nodes(read)
+    hits = top(bm25_hits(read), "bm25")
+    own = n.join(F.broadcast(hits), "id")  # 20 rows
+    other = n.select(F.col("id").alias("sid"), "note_id", F.col("pos").alias("spos"), F.col("content").alias("said"))
+    beside = F.broadcast(own.select("id", "note_id")).join(other, "note_id").filter("sid <> id")
+    rows = F.sort_array(F.collect_list(F.struct("spos", "sid", "said")))
+    beside = beside.groupBy("id").agg(F.array_join(F.transform(rows, lambda r: r["said"]), "\n").alias("sib"))
+    block = T.snippet(F.col("vault_path"), F.array().cast("array<string>"), F.col("content"), F.col("sib"), F.lit(""))
+    return own.join(beside, "id", "left").select(F.col("id").alias("node_id"), F.col("vault_path").alias("note_path"), "bm25", F.sha2(block, 256).alias("snippet_sha"))
+
+
+# --- scalar functions
+
+
+@query("q01_content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def q01(read):
+    return read("documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("q02_token_estimate", "SELECT doc_id, ceil(length(text) / 4)::BIGINT AS tokens FROM documents")
+def q02(read):
+    return read("documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("q03_paths", f"SELECT doc_id, doc_id::VARCHAR AS title, doc_id || '.md' AS title_for, doc_id::VARCHAR AS stem, source || '/' || lang AS dir FROM (SELECT *, {PATH} AS p FROM documents)")
+def q03(read):
+    p = doc_path()
+    return read("documents").select("doc_id", T.note_title(p).alias("title"), T.note_title_for(p).alias("title_for"), T.stem(p).alias("stem"), T.directory(p).alias("dir"))
+
+
+@query("q04_truncate", "SELECT doc_id, CASE WHEN ceil(length(text) / 4) <= 50 THEN text ELSE rtrim(left(text, 199), ' ' || chr(10)) || '…' END AS cut, CASE WHEN ceil(length(text) / 4) <= 50 THEN text ELSE left(text, 197) || '...' END AS prefix FROM documents")
+def q04(read):
+    return read("documents").select("doc_id", T.truncate_tokens(F.col("text"), 50).alias("cut"), T.truncate_prefix(F.col("text"), 50).alias("prefix"))
+
+
+@query(
+    "q05_truncate_summary",
+    """WITH h AS (SELECT doc_id, text, left(text, 2048) AS h FROM documents),
+c AS (SELECT *, CASE WHEN contains(h, chr(10)) THEN 2048 - strpos(reverse(h), chr(10)) END AS nl, CASE WHEN contains(h, ' ') THEN 2048 - strpos(reverse(h), ' ') END AS sp FROM h)
+SELECT doc_id, sha256(CASE WHEN length(text) <= 2048 THEN text ELSE rtrim(left(text, (CASE WHEN nl > 1024 THEN nl WHEN sp > 1024 THEN sp ELSE 2048 END)::BIGINT), ' ' || chr(10)) END) AS cut_sha FROM c""",
+)
+def q05(read):
+    return read("documents").select("doc_id", F.sha2(T.truncate_summary(F.col("text"), 2048), 256).alias("cut_sha"))
+
+
+@query(
+    "q06_daily_date",
+    """WITH n AS (SELECT doc_id, '2024-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 33)::VARCHAR, 2, '0') AS name FROM documents)
+SELECT doc_id, name, strftime(try_strptime(name, '%Y-%m-%d'), '%Y-%m-%d') AS note_date FROM n""",
+)
+def q06(read):
+    two = lambda m: F.lpad((F.col("doc_id") % m).cast("string"), 2, "0")
+    n = read("documents").select("doc_id", F.concat_ws("-", F.lit("2024"), two(14), two(33)).alias("name"))
+    return n.select("doc_id", "name", D.note_date(F.concat(F.lit("daily/"), "name", F.lit(".md")), F.lit(True)).alias("note_date"))
+
+
+@query("q07_glob_filter", f"SELECT doc_id FROM (SELECT *, {PATH} AS p FROM documents) WHERE regexp_matches(p, '^src1[^/]*/(.*/)*[^/]*\\.md$', 'i')")
+def q07(read):
+    return read("documents").filter(G.path_matches(doc_path(), ["SRC1*/**/*.md"])).select("doc_id")
+
+
+@query("q08_glob_union", f"SELECT doc_id, p LIKE 'src%/en/%' AS liked FROM (SELECT *, {PATH} AS p FROM documents) WHERE regexp_matches(p, '^(src2/.*|src[^/]/de/[^/]*)$', 'i')")
+def q08(read):
+    d = read("documents").withColumn("p", doc_path()).filter(G.path_matches(F.col("p"), ["src2/**", "src?/de/*"]))
+    return d.select("doc_id", F.col("p").ilike(G.glob_like("src*/en/*")).alias("liked"))
+
+
+@query("q09_inline_tags", "SELECT doc_id, tag FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text || ' #' || lang || '/' || source || ' `#code`', '#([a-zA-Z0-9_/-]+)', 1))) AS tag FROM documents) WHERE tag <> 'code'")
+def q09(read):
+    d = read("documents").select("doc_id", F.concat("text", F.lit(" #"), "lang", F.lit("/"), "source", F.lit(" `#code`")).alias("t"))
+    return d.select("doc_id", F.explode(T.inline_tags(F.col("t"))).alias("tag"))
+
+
+@query(
+    "q10_links",
+    """WITH m AS (SELECT page_id, regexp_replace(html, '<a href="([^"]*)">([^<]*)</a>', '[\\2](\\1)', 'g') AS md FROM pages),
+l AS (SELECT page_id, unnest(regexp_extract_all(md, '\\[[^\\]\\[]*\\]\\(([^)\\s]*)\\)', 1)) AS t FROM m)
+SELECT page_id, regexp_replace('web/' || regexp_replace(regexp_replace(t, '/{2,}', '/', 'g'), '^\\./', ''), '/{2,}', '/', 'g') AS target_path, count(*) AS n FROM l
+WHERE t <> '' AND NOT regexp_matches(t, '^(#|https?://|mailto:)', 'i') GROUP BY 1, 2""",
+)
+def q10(read):
+    md = F.regexp_replace("html", '<a href="([^"]*)">([^<]*)</a>', "[$2]($1)")
+    refs = read("pages").select("page_id", F.explode(T.cross_refs(md, F.lit("web"))).alias("r"))
+    return refs.groupBy("page_id", F.col("r.target_path").alias("target_path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q11_sentences",
+    """WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n+$', ''),
+  '(e)\\.(g)\\.', '\\1~\\2~', 'gi'), '(i)\\.(e)\\.', '\\1~\\2~', 'gi'), '(dr)\\.', '\\1~', 'gi'), '(mr)\\.', '\\1~', 'gi'), '(mrs)\\.', '\\1~', 'gi'), '(ms)\\.', '\\1~', 'gi'), '(vs)\\.', '\\1~', 'gi'), '(etc)\\.', '\\1~', 'gi') AS t FROM documents)
+SELECT doc_id, len(list_filter(string_split(regexp_replace(t, '([.!?]\\s+)', '\\1' || chr(31), 'g'), chr(31)), lambda s: s <> '')) AS n FROM m""",
+)
+def q11(read):
+    return read("documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query("q12_terms", "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^0-9a-z\\x{80}-\\x{ffff}]+'), lambda t: t NOT IN ('', 'and', 'or', 'not', 'near')))), ' ') AS terms FROM benchmark")
+def q12(read):
+    words = F.array_distinct(F.filter(T.terms(F.col("text")), lambda t: ~t.isin(*T.OPERATORS)))
+    return read("benchmark").select("item_id", F.array_join(F.array_sort(words), " ").alias("terms"))
+
+
+# --- filters
+
+
+@query("q13_date_range", f"WITH {NODES} SELECT id FROM nodes WHERE note_date >= '2024-02-01' AND note_date <= '2024-02-29'")
+def q13(read):
+    return filters.NodeFilter(start="2024-02-01", end="2024-02-29").apply(nodes(read)).select("id")
+
+
+@query("q14_null_date", f"WITH {NODES} SELECT type, count(*) AS n, count(note_date) AS dated, count(*) FILTER (note_date <= '2024-12-31') AS hit FROM nodes GROUP BY 1")
+def q14(read):
+    hit = filters.date_range(F.col("note_date"), "", "2024-12-31")
+    return nodes(read).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("note_date").alias("dated"), F.count_if(hit).alias("hit"))
+
+
+def tags(n: DataFrame) -> DataFrame:
+    return n.filter("pos % 3 = 0").select(F.col("id").alias("node_id"), F.concat_ws("/", F.upper("lang"), "source").alias("tag"), F.lit("inline").alias("source"))
+
+
+TAGS = "tags AS (SELECT id AS node_id, note_id, upper(lang) || '/' || source AS tag FROM nodes WHERE pos % 3 = 0)"
+
+
+@query("q15_tag_any", f"WITH {NODES}, {TAGS} SELECT id FROM nodes WHERE EXISTS (SELECT 1 FROM tags t WHERE t.node_id = id AND (lower(tag) = 'de' OR lower(tag) LIKE 'de/%' OR lower(tag) LIKE 'fr/src1/%' OR lower(tag) = 'fr/src1'))")
+def q15(read):
+    n = nodes(read)
+    return filters.with_tag(n, tags(n), ["de", "FR/src1"]).select("id")
+
+
+@query("q16_tag_note_level", f"WITH {NODES}, {TAGS} SELECT id FROM nodes WHERE note_id IN (SELECT note_id FROM tags WHERE lower(tag) = 'es' OR lower(tag) LIKE 'es/%')")
+def q16(read):
+    n = nodes(read)
+    return filters.notes_with_tag(n, tags(n), ["es"]).select("id")
+
+
+# --- trees
+
+
+@query("q17_subtree", f"WITH RECURSIVE {HEAP}, s AS (SELECT id FROM heap WHERE id IN (3, 17) UNION SELECT h.id FROM heap h JOIN s ON h.parent_id = s.id) SELECT id FROM s")
+def q17(read):
+    n = heap_nodes(read)
+    return tree.descendants(n, n.filter(F.col("id").isin(3, 17)).select("id")).select("id")
+
+
+@query("q18_ancestors", f"WITH RECURSIVE {HEAP}, a AS (SELECT id, parent_id AS up FROM heap WHERE parent_id IS NOT NULL UNION ALL SELECT a.id, h.parent_id FROM a JOIN heap h ON h.id = a.up WHERE h.parent_id IS NOT NULL) SELECT id, up AS ancestor_id FROM a")
+def q18(read):
+    n = heap_nodes(read)
+    return tree.ancestors(n, n.select("id")).select("id", "ancestor_id")
+
+
+@query("q19_siblings", f"WITH {HEAP} SELECT a.id, b.id AS sibling_id FROM heap a JOIN heap b ON a.parent_id IS NOT DISTINCT FROM b.parent_id AND a.id <> b.id")
+def q19(read):
+    n = heap_nodes(read)
+    return tree.siblings(n, n.select("id")).select("id", "sibling_id")
+
+
+@query("q20_non_leaves", f"WITH {HEAP} SELECT DISTINCT parent_id AS id FROM heap WHERE parent_id IS NOT NULL")
+def q20(read):
+    return filters.non_leaves(heap(read)).select("id")
+
+
+@query("q21_node_counts", f"WITH {NODES} SELECT note_id, count(*) AS node_count FROM nodes GROUP BY 1")
+def q21(read):
+    return indexing.node_counts(nodes(read))
+
+
+@query("q22_children", f"WITH {HEAP} SELECT parent_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS children FROM heap WHERE parent_id IS NOT NULL GROUP BY 1")
+def q22(read):
+    return tree.children(heap_nodes(read)).select("parent_id", F.array_join(F.transform("child_ids", lambda c: c.cast("string")), ",").alias("children"))
+
+
+DIST = "list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {}))"
+
+
+@query("q23_knn", f"SELECT vec_id AS id, round({DIST.format(0)}, 6) AS distance FROM embeddings ORDER BY {DIST.format(0)}, vec_id LIMIT 20")
+def q23(read):
+    return top(search.nearest(read("embeddings"), vector_of(read, 0), 20, "vec_id"), "distance")
+
+
+@query("q24_knn_filtered", f"SELECT vec_id AS id, round({DIST.format(0)}, 6) AS distance FROM embeddings WHERE label = 3 ORDER BY {DIST.format(0)}, vec_id LIMIT 20")
+def q24(read):
+    return top(search.nearest(read("embeddings").filter("label = 3"), vector_of(read, 0), 20, "vec_id"), "distance")
+
+
+@query("q25_knn_subtree", f"WITH RECURSIVE {HEAP}, s AS (SELECT id FROM heap WHERE id IN (2, 3) UNION SELECT h.id FROM heap h JOIN s ON h.parent_id = s.id) SELECT id, round({DIST.format(1)}, 6) AS distance FROM heap WHERE id IN (SELECT id FROM s) ORDER BY {DIST.format(1)}, id LIMIT 20")
+def q25(read):
+    n = heap_nodes(read)
+    inside = tree.descendants(n, n.filter(F.col("id").isin(2, 3)).select("id"))
+    return top(search.nearest(inside, vector_of(read, 1), 20), "distance")
+
+
+@query("q26_bm25", f"WITH {NODES}, {BM25} SELECT id, round(s, 6) AS bm25 FROM scored ORDER BY s, id LIMIT 20")
+def q26(read):
+    return top(bm25_hits(read), "bm25")
+
+
+@query("q27_bm25_typed", f"WITH {NODES}, {BM25} SELECT id, round(s, 6) AS bm25 FROM scored WHERE type = 'topic' ORDER BY s, id LIMIT 32")
+def q27(read):
+    return top(bm25_hits(read, F.col("type").isin(search.COARSE_TYPES), 32), "bm25")
+
+
+def _knn(read, v: int, k: int = 32) -> DataFrame:
+    return search.nearest(read("embeddings"), vector_of(read, v), k, "vec_id")
+
+
+KNN = "(SELECT vec_id AS id, {d} AS distance, row_number() OVER (ORDER BY {d}, vec_id) AS rank FROM embeddings ORDER BY {d}, vec_id LIMIT {k})"
+_knn_sql = lambda v, k=32: KNN.format(d=DIST.format(v), k=k)
+
+
+@query("q28_rrf", f"SELECT id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score FROM (FROM {_knn_sql(0)} UNION ALL FROM {_knn_sql(1)}) GROUP BY 1")
+def q28(read):
+    fused = ranking.fuse([ranking.ranked(_knn(read, v), "distance") for v in (0, 1)])
+    return fused.withColumn("rrf_score", F.round("rrf_score", 9))
+
+
+@query(
+    "q29_hybrid_coarse",
+    f"""WITH nodes AS (SELECT doc_id AS id, text AS content, 'note' AS type FROM documents), {BM25},
+b AS (SELECT id, row_number() OVER (ORDER BY s, id) AS rank FROM scored ORDER BY s, id LIMIT 32),
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS r FROM (SELECT id, rank FROM {_knn_sql(2)} UNION ALL SELECT id, rank FROM b) GROUP BY 1)
+SELECT id, round(r, 9) AS rrf_score FROM f ORDER BY r DESC, id LIMIT 32""",
+)
+def q29(read):
+    n = read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    words = search.keyword_top(n, search.postings(n), search.corpus_stats(n), " ".join(WORDS), 32)
+    fused = ranking.fuse([ranking.ranked(_knn(read, 2), "distance"), ranking.ranked(words, "bm25")])
+    return fused.orderBy(F.desc("rrf_score"), "id").limit(32).withColumn("rrf_score", F.round("rrf_score", 9))
+
+
+@query("q30_fallback_gate", f"SELECT id FROM {_knn_sql(3, 20)} WHERE (SELECT count(*) FROM (SELECT 1 FROM embeddings WHERE label = 5 AND vec_id < 60 LIMIT 32)) < 8")
+def q30(read):
+    coarse = read("embeddings").filter("label = 5 AND vec_id < 60").limit(32)
+    return search.gate(_knn(read, 3, 20), coarse, search.fallback_floor(32)).select("id")
+
+
+@query("q31_merge_min", f"SELECT id, round(min(distance), 6) AS distance FROM (SELECT id, distance FROM {_knn_sql(0)} UNION ALL SELECT id, distance FROM {_knn_sql(4)}) GROUP BY 1")
+def q31(read):
+    return top(ranking.merge_min([_knn(read, 0), _knn(read, 4)]), "distance")
+
+
+# --- budgets
+
+
+@query(
+    "q32_stitch_prefix",
+    f"""WITH {NODES}, {BM25}, t AS (SELECT id, row_number() OVER (ORDER BY s, id) AS rank FROM scored ORDER BY s, id LIMIT 20),
+c AS (SELECT rank, id, sum(length(content) + CASE WHEN rank > 1 THEN 7 ELSE 0 END) OVER (ORDER BY rank) AS l FROM t JOIN nodes USING (id))
+SELECT rank, id, ceil(l / 4)::BIGINT AS used FROM c WHERE ceil(l / 4) <= 1500""",
+)
+def q32(read):
+    hits = ranking.ranked(bm25_hits(read), "bm25")
+    rows = nodes(read).select("id", "content").join(F.broadcast(hits), "id")
+    return ranking.fitting_prefix(rows, F.length("content"), "rank", 1500, len(search.SEPARATOR)).select(F.col("rank").cast("long").alias("rank"), "id", "used")
+
+
+@query(
+    "q33_draft_budget",
+    f"""WITH {NODES}, {BM25}, t AS (SELECT id, row_number() OVER (ORDER BY s, id) AS rank FROM scored ORDER BY s, id LIMIT 20),
+c AS (SELECT rank, id, sum(ceil(length(content) / 4)) OVER (ORDER BY rank) AS u FROM t JOIN nodes USING (id)) SELECT rank, id, u::BIGINT AS used FROM c WHERE u <= 1000""",
+)
+def q33(read):
+    rows = nodes(read).select("id", "content").join(F.broadcast(ranking.ranked(bm25_hits(read), "bm25")), "id")
+    return ranking.fitting_prefix(rows, F.length("content"), "rank", 1000, per_item=True).select(F.col("rank").cast("long").alias("rank"), "id", "used")
+
+
+@query(
+    "q34_rubric_clip",
+    """WITH l AS (SELECT user_id AS id, event_id AS pos, CASE event_type WHEN 'signup' THEN 'topics:' WHEN 'error' THEN 'tags:' ELSE '- ' || event_id END AS line, event_type IN ('signup', 'error') AS h FROM events),
+s AS (SELECT *, count(*) FILTER (h) OVER (PARTITION BY id ORDER BY pos) AS g FROM l),
+n AS (SELECT *, count(*) FILTER (NOT h) OVER (PARTITION BY id, g ORDER BY pos) AS n, first_value(line) OVER (PARTITION BY id, g ORDER BY pos) AS f FROM s)
+SELECT id, pos, line FROM n WHERE h OR g = 0 OR n <= CASE f WHEN 'topics:' THEN 10 ELSE 50 END""",
+)
+def q34(read):
+    line = F.when(F.col("event_type") == "signup", "topics:").when(F.col("event_type") == "error", "tags:").otherwise(F.concat(F.lit("- "), "event_id"))
+    return ranking.clip_rubric(read("events").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), line.alias("line"))).select("id", "pos", "line")
+
+
+# --- indexing
+
+
+def files(read) -> DataFrame:
+    return read("documents").select(F.col("doc_id"), doc_path().alias("path"), "text", F.sha2("text", 256).alias("hash"))
+
+
+@query(
+    "q35_incremental_plan",
+    f"""WITH f AS (SELECT *, {PATH} AS path FROM documents), a AS (SELECT CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'enqueued' ELSE 'skipped' END AS action, path FROM f)
+FROM a UNION ALL SELECT 'deleted', 'gone/' || item_id FROM benchmark""",
+)
+def q35(read):
+    f = files(read)
+    meta = f.filter("doc_id % 5 <> 0").select(F.col("path").alias("note_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("old")).otherwise(F.col("hash")).alias("content_hash"))
+    gone = read("benchmark").select(F.concat(F.lit("gone/"), "item_id").alias("note_id"), F.lit("x").alias("content_hash"))
+    return indexing.plan(f.select("path", "hash"), meta.unionByName(gone), prune=True)
+
+
+@query("q36_run_counts", "SELECT count(*) FILTER (doc_id % 5 = 0 OR doc_id % 3 = 0) AS enqueued, (SELECT count(*) FROM benchmark) AS deleted, count(*) FILTER (NOT (doc_id % 5 = 0 OR doc_id % 3 = 0)) AS skipped FROM documents")
+def q36(read):
+    return indexing.run_counts(q35(read))
+
+
+@query("q37_embed_needed", "SELECT doc_id AS id FROM documents WHERE text <> '' AND (doc_id % 4 = 0 OR doc_id % 6 = 1)")
+def q37(read):
+    n = read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"))
+    have = n.filter("id % 4 <> 0").select(F.col("id").alias("node_id"), F.lit("content").alias("vector_type"), F.when(F.col("id") % 6 == 1, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"))
+    return indexing.need_content_vector(n, have).select("id")
+
+
+@query("q38_summary_skip", "SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND n_chars >= 500 AS skip FROM documents")
+def q38(read):
+    i = F.col("doc_id")
+    version = F.when(i % 5 != 0, indexing.RUBRIC_VERSION)
+    summary = F.when(i % 3 == 0, F.lit("")).otherwise(F.lit("s"))
+    return read("documents").select("doc_id", indexing.may_skip(i % 2 == 1, summary, version, F.col("n_chars"), F.lit(500)).alias("skip"))
+
+
+@query(
+    "q39_dirty_nodes",
+    f"""WITH RECURSIVE {HEAP}, d AS (SELECT id, parent_id FROM heap WHERE id % 97 = 5 UNION SELECT h.id, h.parent_id FROM heap h JOIN d ON h.id = d.parent_id) SELECT id FROM d""",
+)
+def q39(read):
+    n = heap_nodes(read).withColumns({"pre": F.col("id"), "type": F.lit("topic"), "is_leaf": F.lit(False), "content_hash": F.sha2(F.col("content"), 256)})
+    old = n.withColumn("content_hash", F.when(F.col("id") % 97 == 5, F.lit("old")).otherwise(F.col("content_hash")))
+    return indexing.dirty(n, old)
+
+
+@query(
+    "q40_tree_orders",
+    f"""WITH RECURSIVE {HEAP}, p AS (SELECT id, [0]::BIGINT[] AS path FROM heap WHERE parent_id IS NULL UNION ALL SELECT h.id, list_append(p.path, (h.id - 1) % 4) FROM heap h JOIN p ON h.parent_id = p.id)
+SELECT id, row_number() OVER (ORDER BY path) - 1 AS pre, row_number() OVER (ORDER BY list_append(path, 2147483647)) - 1 AS post FROM p""",
+)
+def q40(read):
+    n = heap_nodes(read).drop("embedding")
+    pre, post = tree.preorder(n).select("id", F.col("pre").cast("long").alias("pre")), tree.postorder(n).select("id", F.col("post").cast("long").alias("post"))
+    return pre.join(post, "id")
+
+
+# --- queue and jobs: `events` stand for a job log
+
+
+def queue(read) -> DataFrame:
+    state = F.when(F.col("event_type") == "error", "dead_letter").when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "processing").otherwise("completed")
+    return read("events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "index").otherwise("other").alias("queue_name"), state.alias("status"), (F.col("event_id") % 5).cast("int").alias("retry_count"), F.lit(None).cast("string").alias("error_message"), F.col("ts").alias("enqueued_at"))
+
+
+QUEUE = "q AS (SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'index' ELSE 'other' END AS queue_name, CASE event_type WHEN 'error' THEN 'dead_letter' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' ELSE 'completed' END AS status, (event_id % 5)::INT AS retry_count, ts FROM events)"
+STEP_SQL = "CASE event_id % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'parsing' WHEN 2 THEN 'parsed' WHEN 3 THEN 'failed' WHEN 4 THEN 'embedded' ELSE 'dead_letter' END"
+
+
+def step(c):
+    names = F.array(*[F.lit(s) for s in ("queued", "parsing", "parsed", "failed", "embedded", "dead_letter")])
+    return F.get(names, (c % 6).cast("int"))
+
+
+def job_rows(read) -> DataFrame:
+    return read("events").select(F.concat_ws(":", F.lit("run"), "event_id").alias("job_id"), F.concat("user_id", F.lit(".md")).alias("note_path"), step(F.col("event_id")).alias("current_step"))
+
+
+@query(
+    "q41_status",
+    f"""WITH {QUEUE} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'dead_letter') AS dead_items,
+(SELECT count(*) FROM events WHERE event_id % 6 = 3) AS failed_jobs, (SELECT count(*) FROM events WHERE event_id % 6 = 5) AS dead_jobs, count(*) FILTER (status = 'dead_letter') + (SELECT count(*) FROM events WHERE event_id % 6 = 5) AS dead_letter FROM q WHERE queue_name = 'index'""",
+)
+def q41(read):
+    return jobs.status(queue(read), job_rows(read), "index")
+
+
+@query("q42_dequeue", f"WITH {QUEUE} SELECT id FROM q WHERE queue_name = 'index' AND status = 'pending' ORDER BY ts, id LIMIT 5")
+def q42(read):
+    return jobs.dequeue(queue(read), "index", 8, 6, 1).select("id")
+
+
+@query("q43_nack", f"WITH {QUEUE} SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN retry_count + 1 > 3 THEN 'dead_letter' ELSE 'pending' END ELSE status END AS status, retry_count + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS retry_count, CASE WHEN id % 3 = 0 THEN 'boom' END AS error_message FROM q")
+def q43(read):
+    q = queue(read)
+    return jobs.nack(q, q.filter("id % 3 = 0").select("id", F.lit("boom").alias("error"))).select("id", "status", "retry_count", "error_message")
+
+
+@query(
+    "q44_illegal_steps",
+    f"""WITH e AS (SELECT event_id, {STEP_SQL} AS step, lag({STEP_SQL}) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT event_id, before AS from_step, step FROM e WHERE before <> step AND (before, step) NOT IN (('queued', 'parsing'), ('parsing', 'parsed'), ('parsing', 'failed'), ('parsed', 'failed'))""",
+)
+def q44(read):
+    e = read("events").select("user_id", "event_id", step(F.col("event_id")).alias("step"))
+    return jobs.illegal_steps(e, "user_id", "event_id").select("event_id", "from_step", "step")
+
+
+@query("q45_recoverable", "SELECT 'run:' || event_id AS job_id, 'run' AS run_id FROM events WHERE event_id % 6 < 4")
+def q45(read):
+    return jobs.recoverable(job_rows(read)).select("job_id", T.run_id(F.col("job_id")).alias("run_id"))
+
+
+# --- chat
+
+
+@query("q46_last_user_turn", "SELECT conv_id, trim(max_by(text, turn)) AS text FROM conversations WHERE role = 'user' GROUP BY 1")
+def q46(read):
+    return read("conversations").filter("role = 'user'").groupBy("conv_id").agg(F.trim(F.max_by("text", "turn")).alias("text"))
+
+
+@query(
+    "q47_chat_filters",
+    """SELECT conv_id, turn, 'src' || conv_id % 9 || '/**' AS glob, CASE WHEN turn % 2 = 0 THEN '2024-01-0' || (1 + conv_id % 9) END AS start_date, 'job/x' || turn AS tag,
+sha256(trim(regexp_replace(text || ' ' || CASE WHEN turn % 2 = 0 THEN ' ' ELSE '' END || ' #Job/X' || turn, '\\s+', ' ', 'g'))) AS text_sha FROM conversations WHERE role = 'user'""",
+)
+def q47(read):
+    c = read("conversations").filter("role = 'user'")
+    since = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("since:2024-01-0"), 1 + F.col("conv_id") % 9)).otherwise(F.lit(""))
+    raw = F.concat("text", F.lit(" path:src"), F.col("conv_id") % 9, F.lit("/** "), since, F.lit(" #Job/X"), "turn")
+    f = chat.chat_filters(raw)
+    return c.select("conv_id", "turn", F.get(f["path_globs"], 0).alias("glob"), f["start"].alias("start_date"), F.element_at(f["tags"], -1).alias("tag"), F.sha2(f["text"], 256).alias("text_sha"))
+
+
+@query(
+    "q48_grounded_messages",
+    f"""WITH m AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS said, max_by(role, turn) AS last FROM conversations GROUP BY 1)
+SELECT conv_id, sha256('system:{chat.POLICY}' || chr(10) || CASE WHEN last = 'user' THEN 'system:{chat.CONTEXT_PREFIX.strip()}' || chr(10) || 'CTX' || chr(10) || said ELSE said || chr(10) || 'user:CTX' END) AS sha FROM m""",
+)
+def q48(read):
+    said = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    m = read("conversations").groupBy("conv_id").agg(said.alias("h"))
+    history = F.array_join(F.transform("h", lambda r: F.concat_ws(":", r["role"], r["text"])), "\n")
+    policy = F.lit("system:" + chat.POLICY)
+    grounded = F.when(F.element_at("h", -1)["role"] == "user", F.concat_ws("\n", policy, F.lit("system:" + chat.CONTEXT_PREFIX + "CTX"), history)).otherwise(F.concat_ws("\n", policy, history, F.lit("user:CTX")))
+    return m.select("conv_id", F.sha2(grounded, 256).alias("sha"))
+
+
+@query("q49_sources", "SELECT lang AS note_path, min_by(doc_id, doc_id) AS node_id, min(doc_id) AS insertion_order FROM documents GROUP BY 1")
+def q49(read):
+    r = read("documents").select(F.col("lang").alias("note_path"), F.col("doc_id").alias("node_id"), F.col("doc_id").alias("insertion_order"))
+    return ranking.sources(r)
+
+
+@query("q50_trace_labels", "SELECT item_id, 'sha256:' || sha256(trim(text)) AS label FROM benchmark WHERE trim(text) <> ''")
+def q50(read):
+    return read("benchmark").select("item_id", T.trace_label(F.col("text")).alias("label")).filter("label IS NOT NULL")
+
+
+@query(
+    "q51_prompts",
+    f"""WITH {HEAP} SELECT parent_id AS node_id, string_agg('### topic (a > b)' || chr(10) || CASE WHEN id % 3 = 0 THEN 's' || id ELSE 'c' || id END, chr(10) || chr(10) ORDER BY id) AS prompt FROM heap WHERE parent_id IS NOT NULL GROUP BY 1""",
+)
+def q51(read):
+    n = heap_nodes(read).drop("embedding").withColumns({"type": F.lit("topic"), "heading_trail": F.array(F.lit("a"), F.lit("b"))})
+    said = n.filter("id % 3 = 0").select(F.col("id").alias("node_id"), F.concat(F.lit("s"), "id").alias("summary"))
+    return indexing.prompts(filters.non_leaves(n), n.filter("parent_id IS NOT NULL"), said)
+
+
+@query("q52_first_uses", "SELECT lang, source, min(doc_id) AS doc_id, row_number() OVER (ORDER BY min(doc_id)) - 1 AS insertion_order FROM documents GROUP BY 1, 2")
+def q52(read):
+    r = ranking.first_uses(read("documents").select("lang", "source", "doc_id"), ["lang", "source"], "doc_id")
+    return r.select("lang", "source", "doc_id", F.col("insertion_order").cast("long").alias("insertion_order"))
+
+
+@query("q53_vector_join", f"WITH {HEAP} SELECT h.label, count(*) AS n, round(avg(list_distance(h.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6) AS mean_distance FROM heap h JOIN heap p ON h.parent_id = p.id GROUP BY 1")
+def q53(read):
+    h = heap(read)
+    p = h.select(F.col("id").alias("parent_id"), F.col("embedding").alias("pe"))
+    d = h.join(p, "parent_id").select("label", l2(F.col("embedding"), F.col("pe").cast("array<double>")).alias("d"))
+    return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean_distance"))
+
+
+@query("q54_month_status", "SELECT date_trunc('month', ts)::DATE AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def q54(read):
+    return read("events").groupBy(F.trunc("ts", "month").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
