@@ -30,19 +30,23 @@ class Engine:
 
     def index(self, files: DataFrame, deleted: DataFrame | None = None, force: bool = False, prune: bool = False) -> dict:
         """files(path, content, hash): deletes, skips and indexes; returns the counts of the run."""
-        planned = indexing.plan(files, self.store.read("note_meta"), deleted, force, prune)
-        counts = indexing.run_counts(planned).first().asDict()
         run = uuid.uuid4().hex
+        scratch = f"{self.store.base}/_run/{run}"
+        # the plan is of the store as it is now, so it is written before anything changes
+        indexing.plan(files, self.store.read("note_meta"), deleted, force, prune).write.parquet(f"{scratch}/plan")
+        planned = self.spark.read.parquet(f"{scratch}/plan")
+        counts = indexing.run_counts(planned).first().asDict()
         todo = indexing.jobs(files, planned, run)
         gone = planned.filter("action = 'deleted'").select(F.col("path").alias("note_id"))
         if counts["enqueued"]:
-            self._process(todo)
+            self._process(todo, scratch)
         if counts["deleted"]:
             self.store.delete_notes(gone)
+        fs, path = self.store._fs()
+        fs.delete(path(scratch), True)
         return {"run_id": run, **counts}
 
-    def _process(self, todo: DataFrame) -> None:
-        scratch = f"{self.store.base}/_run/{uuid.uuid4().hex}"
+    def _process(self, todo: DataFrame, scratch: str) -> None:
         parsed_at, n = f"{scratch}/parsed", [0]
         markdown.parse(todo).write.parquet(parsed_at)  # parsed once, read by the four tables
         parsed = self.spark.read.parquet(parsed_at)
@@ -72,8 +76,6 @@ class Engine:
         counts = indexing.node_counts(current)
         meta = todo.select("note_id", F.col("note_id").alias("vault_path"), "content_hash", F.current_timestamp().alias("indexed_at"), note_date(F.col("note_id"), gate, self.date_pattern).alias("note_date"))
         self.store.upsert_note_meta(meta.join(counts, "note_id"))  # last: a run that fails before is planned again
-        fs, path = self.store._fs()
-        fs.delete(path(scratch), True)
 
     # --- reading
 

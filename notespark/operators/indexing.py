@@ -99,7 +99,7 @@ def clipped(made: DataFrame) -> DataFrame:
 
 def summarize(nodes: DataFrame, todo: DataFrame, summaries: DataFrame, summarizer: Summarizer, write) -> DataFrame:
     """Summaries of todo(id), from the deepest level up: a stage a depth. write(df) stores a level and reads it back."""
-    targets = non_leaves(nodes.filter(wants_summary(F.col("type")))).join(todo, "id", "left_semi")
+    targets = non_leaves(nodes).filter(wants_summary(F.col("type"))).join(todo, "id", "left_semi")
     depths = [r.depth for r in targets.select("depth").distinct().orderBy(F.desc("depth")).collect()]  # as many rows as levels
     known, out = summaries.select("node_id", "summary"), None
     for depth in depths:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH = 2048
 
@@ -108,7 +109,7 @@ def sse_deltas(lines: list[str]) -> list[str]:
 
 def embed_rows(rows: DataFrame, embedder: Embedder, text_col: str = "text") -> DataFrame:
     """rows plus `embedding`; batches of at most BATCH texts, counts and lengths checked."""
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(parts):
         for part in parts:
