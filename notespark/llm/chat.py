@@ -47,7 +47,7 @@ def fold(events: DataFrame) -> DataFrame:
     row = F.struct(F.col("seq"), F.col("kind"), text.alias("text"))
     kept = events.groupBy("conv_id", "msg_id").agg(
         F.min("seq").alias("seq"),
-        F.max_by(F.coalesce("role", F.lit("")), F.struct("seq", F.coalesce("role", F.lit("")))).alias("__role") if "role" in events.columns else F.lit("").alias("__role"),
+        F.coalesce(F.max_by("role", F.struct(F.col("role") != "", "seq", "role")), F.lit("")).alias("__role"),  # the last one given
         F.sort_array(F.collect_list(row)).alias("__log"),
     )
     # what was said before the last event that sets the text anew doesn't count
