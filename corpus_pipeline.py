@@ -11,32 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from notespark.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from notespark.llm.common import new_path, read, release
+from notespark.session import ready
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for low quality or toxic go."""
+    ready(spark)
     return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row of the largest id stays."""
+    ready(spark)
     return exact_dedup.keep_latest(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 on 5-word shingles, the one of the smallest id stays."""
+    ready(spark)
     release("exact")
     return near_dedup.keep_first(docs, words=5, num=80, den=100)
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 of a benchmark item's 5-word shingles go."""
+    ready(spark)
     release("near-drop")
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
+    ready(spark)
     return packing.pack(docs)
 
 

@@ -128,12 +128,14 @@ class BloomPlanes:
                 plane[row.shard * SHARD_BYTES : (row.shard + 1) * SHARD_BYTES] = np.frombuffer(row.plane, np.uint8)
             self.planes.append(spark.sparkContext.broadcast(plane))
 
-    def flag(self, rows: DataFrame) -> DataFrame:
-        """rows with __nd_maybe; one pass for each segment, each row in exactly one of them."""
-        schema = T.StructType([*rows.schema.fields, T.StructField("__nd_maybe", T.BooleanType())])
+    def flag(self, rows: DataFrame, first=None, fields: tuple = ()) -> DataFrame:
+        """rows with __nd_maybe; one pass for each segment, each row in exactly one of them. `first` is a step on the batches that
+        runs in the same worker and replaces the rows' columns by `fields`."""
+        schema = T.StructType([*(fields or rows.schema.fields), T.StructField("__nd_maybe", T.BooleanType())])
         out = None
         for segment, plane in enumerate(self.planes):
-            part = rows.mapInArrow(_probe(plane, self.shards, self.bits, segment, self.segments), schema)
+            probe = _probe(plane, self.shards, self.bits, segment, self.segments)
+            part = rows.mapInArrow((lambda batches, probe=probe: probe(first(batches))) if first else probe, schema)
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -181,9 +183,9 @@ def keep_latest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = write_table(_groups(planes.flag(hashed)), "exact-groups", "exact")
     named = [F.col(f"`{c}`") for c in columns]
     schema = T.StructType([*docs.schema.fields, T.StructField("__nd_sha", T.BinaryType()), T.StructField("__nd_h", T.LongType())])
-    rows = docs.withColumn("__nd_text", F.col(text_col)).mapInArrow(_digest, schema)
+    rows = docs.withColumn("__nd_text", F.col(text_col))
     one_pass = planes.segments == 1
-    flagged = planes.flag(rows) if one_pass else rows.withColumn("__nd_maybe", F.lit(True))
+    flagged = planes.flag(rows, _digest, tuple(schema.fields)) if one_pass else rows.mapInArrow(_digest, schema).withColumn("__nd_maybe", F.lit(True))
     joined = flagged.filter("__nd_maybe").join(groups, "__nd_sha", "left")
     alone = joined.filter("__nd_n IS NULL").select(*named)
     best = joined.filter(F.col("__nd_n").isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("__nd_best.__nd_id"))).dropDuplicates(["__nd_sha"]).select(*named)

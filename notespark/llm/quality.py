@@ -88,10 +88,12 @@ def meta_view(source, lang, n_chars) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, l2: float = 1e-3) -> np.ndarray:
     """Logistic regression by accelerated gradient descent; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    bias = np.ones((len(x), x.shape[1] + 1), np.float32)
+    bias[:, :-1] = x
+    x = bias
     y, weight = y.astype(np.float32), weight.astype(np.float32)
     w = z = np.zeros(x.shape[1], np.float32)
-    scale = float((x**2).sum(axis=1).max() if len(x) else 1.0) / 4
+    scale = float(np.einsum("ij,ij->i", x, x).max() if len(x) else 1.0) / 4
     rate, total = np.float32(4.0 / max(scale, 1.0)), np.float32(max(weight.sum(), 1.0))
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
@@ -140,6 +142,8 @@ class Target:
     @staticmethod
     def _view(x, y, pool, labels):
         known = ~np.isnan(labels)
+        if not known.any():
+            return fit(x, y, np.ones(len(y)))
         return fit(np.vstack([x, pool[known]]), np.concatenate([y, labels[known]]), np.concatenate([np.ones(len(y)), np.full(known.sum(), 0.3)]))
 
     @staticmethod
@@ -252,6 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         return shape, meta, row, np.concatenate(ws) if ws else np.zeros(0, np.uint64)
 
     shape, meta, row, words = views(order)
+    pshape, pmeta, prow, pwords = views(pool)
+    found.clear()
     names = ("quality", "toxic")
     y = np.array([[np.nan if v is None else float(v > 0) for v in y_of[i]] for i in order]).reshape(-1, 2)
     chosen = []
@@ -262,7 +268,6 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     targets = {}
     model = Model(np.unique(np.concatenate(chosen)).astype(np.uint64), targets)
     x, one = model.dense(shape, row, words), _one_hot(meta)
-    pshape, pmeta, prow, pwords = views(pool)
     px, pone = model.dense(pshape, prow, pwords), _one_hot(pmeta)
     for k, name in enumerate(names):
         ok = ~np.isnan(y[:, k])

@@ -6,11 +6,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows in an Arrow batch. Long texts make Spark's default of 10,000 rows cost hundreds of MB a task.
+BATCH_ROWS = "1000"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver was started from (on a cluster, ship it with --py-files)."""
+    """Lets Python workers import this package wherever the driver was started from (on a cluster, ship it with --py-files), and
+    keeps Arrow batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; a value of one's own stays
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
