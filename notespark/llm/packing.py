@@ -20,7 +20,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,17 @@ from pyspark.sql import functions as F
 from .common import read, write_table
 
 WINDOW, PACKET, END_ID = 4096, 1024, 2
-CACHE = 800_000
+CACHE = 2_400_000
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Lower-case letters whose normal form is themselves, so that a word of them stays one word for the tokenizer.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+#: Byte-level vocabularies write bytes that are no visible character as the letters from U+0100 on.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -55,54 +65,73 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.end = self.tokenizer.token_to_id("<|endoftext|>")
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # the generation before; both together hold at most about CACHE words
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + 2 * len(words) > CACHE:
-            self.cache = {}
-        cores = {}
+        """A word of letters only is one piece for the tokenizer's model; other words are encoded together, kept apart by an end token."""
+        cache = self.cache
+        parts = []
         for w in words:
             core = w.rstrip(_PUNCT)
-            cores[w] = core if core and core != w and 97 <= core[-1] <= 122 else w
-        new = sorted({x for w, c in cores.items() for x in (c, w[len(c) :]) if x and x not in self.cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = self._encode("<|endoftext|>".join(w.decode() for w in part))
-            cuts = np.flatnonzero(ids == self.end)
-            for w, x in zip(part, np.split(ids, cuts)):
-                self.cache[w] = (x[1:] if len(x) and x[0] == self.end else x).tobytes()
-        for w, c in cores.items():
-            if w not in self.cache:
-                self.cache[w] = self.cache[c] + self.cache[w[len(c) :]]
+            if core and core != w and 97 <= core[-1] <= 122:
+                parts.append((w, core, w[len(core) :]))
+        split = {w for w, *_ in parts}
+        new = {w for w in words if w not in split}
+        for _, core, rest in parts:
+            if core not in cache:
+                new.add(core)
+            if rest not in cache:
+                new.add(rest)
+        rest, pieces = [], self.tokenizer.model.tokenize
+        for w in new:
+            text = w.decode()
+            if w.isalpha():  # ASCII letters, lower-cased before
+                cache[w] = array("H", [t.id for t in pieces(text)]).tobytes()
+            elif _LETTERS(text):
+                cache[w] = array("H", [t.id for t in pieces(w.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            else:
+                rest.append((w, text))
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            ids = self._encode("<|endoftext|>".join([t for _, t in part]))
+            raw, start = ids.tobytes(), 0
+            for (w, _), end in zip(part, [*np.flatnonzero(ids == self.end).tolist(), len(ids)]):
+                cache[w] = raw[2 * start : 2 * end]
+                start = end + 1
+        for w, core, tail in parts:
+            cache[w] = cache[core] + cache[tail]
 
     def many(self, raw: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, without an end id."""
         plain = [None if b"<|" in x else x.lower().replace(b"\n", b" ").split(b" ") for x in raw]
+        words = set().union(*[w for w in plain if w is not None])
+        missing = words.difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE // 2:
+            self.old, self.cache, missing = self.cache, {}, words
+        if self.old:  # words in use are carried over, the many that occur once are forgotten
+            again = missing.intersection(self.old)
+            self.cache.update(zip(again, map(self.old.__getitem__, again)))
+            missing = missing - again
+        self._learn(missing - {b""})
         self.cache[b""] = b""
-        try:
-            return [b"".join(map(self.cache.__getitem__, w)) if w is not None else self._encode(x.decode()).tobytes() for x, w in zip(raw, plain)]
-        except KeyError:
-            missing = {w for ws in plain if ws is not None for w in ws if w not in self.cache}
-            known = self.cache
-            self._learn(missing)
-            if self.cache is not known:  # it was emptied: all words of these texts are missing now
-                self.cache[b""] = b""
-                self._learn({w for ws in plain if ws is not None for w in ws if w not in self.cache})
-            return [b"".join(map(self.cache.__getitem__, w)) if w is not None else self._encode(x.decode()).tobytes() for x, w in zip(raw, plain)]
+        get = self.cache.__getitem__
+        return [b"".join(map(get, w)) if w is not None else self._encode(x.decode()).tobytes() for x, w in zip(raw, plain)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, str], WordTokenizer] = {}
 
 
-def _tokenize(vocabulary: str):
+def _tokenize(vocabulary: str, run_id: str):
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches):
-        if vocabulary not in _tokenizers:
-            _tokenizers[vocabulary] = WordTokenizer(vocabulary)
-        tokenizer = _tokenizers[vocabulary]
+        if (vocabulary, run_id) not in _tokenizers:
+            _tokenizers.clear()  # a worker keeps the words of one run only
+            _tokenizers[vocabulary, run_id] = WordTokenizer(vocabulary)
+        tokenizer = _tokenizers[vocabulary, run_id]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -133,7 +162,7 @@ def _checksums(batches):
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     """row, doc_id, source, n, ids of every document, with the end id, in the shared folder."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return write_table(rows.mapInArrow(_tokenize(vocabulary), "row long, doc_id long, source string, n long, ids binary"), "pack-tokens", "pack")
+    return write_table(rows.mapInArrow(_tokenize(vocabulary, uuid.uuid4().hex), "row long, doc_id long, source string, n long, ids binary"), "pack-tokens", "pack")
 
 
 def place(tokens: DataFrame, weights: dict[str, float] | None = None, window: int = WINDOW, packet: int = PACKET) -> DataFrame:
