@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import read, write_table
 
 WINDOW, PACKET, END_ID = 4096, 1024, 2
-CACHE = 2_400_000
+CACHE = 1_200_000
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -50,75 +50,50 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer:
-    """ids of whole texts by a tokenizer that lower-cases and drops white space, word by word and with a bounded cache.
+class WordTokenizer(dict):
+    """ids of whole texts by a tokenizer that lower-cases and drops white space, word by word: a dict from words to their ids that
+    fills itself and is emptied when it holds CACHE words.
 
-    Splitting at blanks and line feeds never changes its ids: both only separate its words. Neither does lower-casing ASCII first,
-    nor cutting ASCII punctuation off the end of a word whose last letter is an ASCII letter, as a letter before punctuation always
-    ends a word. A text with a special token's string goes to the tokenizer whole.
+    Splitting at blanks and line feeds never changes the ids: both only separate words. Neither does lower-casing ASCII first, nor
+    cutting ASCII punctuation off the end of a word whose last letter is an ASCII letter, as a letter before punctuation always ends
+    a piece. A word of letters only is one piece for the tokenizer's model. A text with a special token's string goes to the
+    tokenizer whole.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.end = self.tokenizer.token_to_id("<|endoftext|>")
-        self.cache: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}  # the generation before; both together hold at most about CACHE words
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
-
-    def _learn(self, words: set[bytes]) -> None:
-        """A word of letters only is one piece for the tokenizer's model; other words are encoded together, kept apart by an end token."""
-        cache = self.cache
-        parts = []
-        for w in words:
-            core = w.rstrip(_PUNCT)
-            if core and core != w and 97 <= core[-1] <= 122:
-                parts.append((w, core, w[len(core) :]))
-        split = {w for w, *_ in parts}
-        new = {w for w in words if w not in split}
-        for _, core, rest in parts:
-            if core not in cache:
-                new.add(core)
-            if rest not in cache:
-                new.add(rest)
-        rest, pieces = [], self.tokenizer.model.tokenize
-        for w in new:
-            text = w.decode()
-            if w.isalpha():  # ASCII letters, lower-cased before
-                cache[w] = array("H", [t.id for t in pieces(text)]).tobytes()
+        self.model = self.tokenizer.model
+
+    def _encode(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters, lower-cased before
+            ids = array("H", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        elif not word:
+            ids = b""
+        else:
+            core = word.rstrip(_PUNCT)
+            text = word.decode()
+            if core and core != word and 97 <= core[-1] <= 122:
+                ids = self[core] + self[word[len(core) :]]
             elif _LETTERS(text):
-                cache[w] = array("H", [t.id for t in pieces(w.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+                ids = array("H", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
             else:
-                rest.append((w, text))
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            ids = self._encode("<|endoftext|>".join([t for _, t in part]))
-            raw, start = ids.tobytes(), 0
-            for (w, _), end in zip(part, [*np.flatnonzero(ids == self.end).tolist(), len(ids)]):
-                cache[w] = raw[2 * start : 2 * end]
-                start = end + 1
-        for w, core, tail in parts:
-            cache[w] = cache[core] + cache[tail]
+                ids = self._encode(text)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def many(self, raw: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, without an end id."""
-        plain = [None if b"<|" in x else x.lower().replace(b"\n", b" ").split(b" ") for x in raw]
-        words = set().union(*[w for w in plain if w is not None])
-        missing = words.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE // 2:
-            self.old, self.cache, missing = self.cache, {}, words
-        if self.old:  # words in use are carried over, the many that occur once are forgotten
-            again = missing.intersection(self.old)
-            self.cache.update(zip(again, map(self.old.__getitem__, again)))
-            missing = missing - again
-        self._learn(missing - {b""})
-        self.cache[b""] = b""
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) if w is not None else self._encode(x.decode()).tobytes() for x, w in zip(raw, plain)]
+        get = self.__getitem__
+        return [self._encode(x.decode()) if b"<|" in x else b"".join(map(get, x.lower().replace(b"\n", b" ").split(b" "))) for x in raw]
 
 
 _tokenizers: dict[tuple[str, str], WordTokenizer] = {}
