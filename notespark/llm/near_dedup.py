@@ -7,8 +7,9 @@ bins give bucket keys. With similarity s a pair shares no bucket with probabilit
 Texts with equal shingle sets are one class and only its representative goes on, so groups of copies cost one row each. In a
 bucket, candidate edges form a star around its most connected member, so edges grow with documents, not with pairs; buckets of a
 group share their centre, so a document has few of them. Stars alone would lose links between two members that are both too far
-from the centre, so stars whose members are not in one component are settled exactly: members of different components are compared
-where a prefix filter on their differences to the centre (rarest elements first) cannot rule a link out. No pair of a bucket goes
+from the centre, so stars whose members are not in one component are settled exactly: each gets a second centre, from its largest
+component, which is compared with all members of other components; then members of different components are compared where a prefix
+filter on their differences to that centre (rarest elements first) cannot rule a link out. No pair of a bucket goes
 unanswered and nothing is capped. Every edge is confirmed on the two full shingle sets (48-bit hashes of shingles). Components come
 from alternating large-star and small-star steps over tables in the shared folder; links never reach the driver.
 
@@ -194,18 +195,25 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
         roots = connected_components(between, own).select(F.col("node").alias("comp"), "root")
         return write_table(labels.join(roots, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "near-labels", own)
 
-    def unsettled(labels: DataFrame) -> DataFrame:
+    def split(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Of rows (key, rep, ...): those of buckets whose members are not in one component, with their component."""
+        return rows.join(labels, "rep").withColumns({"x": F.min("comp").over(of_key), "y": F.max("comp").over(of_key)}).filter("x <> y")
+
+    def centred(labels: DataFrame) -> DataFrame:
+        """Members of split buckets with the second centre a, from the component with most members in the bucket: differences to it are small."""
+        most = F.struct(F.count(F.lit(1)).over(Window.partitionBy("key", "comp")).alias("c"), "degree", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        now = split(members.select("key", "rep", "n", "degree", "place"), labels).withColumn("most", most).withColumn("most", F.max("most").over(of_key))
+        return now.select("key", "rep", "n", "comp", "place", "most.a", "most.na", "most.ca")
+
+    def unsettled(labels: DataFrame, stars: DataFrame) -> DataFrame:
         """Pairs of different components in a star that may still be linked: an exact prefix filter on differences to the centre.
 
         With k = (1 - t) / (1 + t), x and y are linked if and only if |x ^ y| <= k (|x| + |y|), and |x ^ y| follows from what the
-        differences to the centre c have in common: |x^c & y^c| = (|x^c| + |y^c| - |x^y|) / 2. As at most one of them is linked with
-        c, that must be at least 1, and more than (|x^c| + k (|c| - |x|)) / 2 for the linked one. So one common element is among
+        differences to the centre c have in common: |x^c & y^c| = (|x^c| + |y^c| - |x^y|) / 2. As c has been compared with every
+        member of another component, at most one of them is linked with c, so that must be at least 1, and more than (|x^c| + k (|c| - |x|)) / 2 for the linked one. So one common element is among
         the |x^c| - s + 1 rarest of either. Elements that one component alone has come first in the order and never match.
         """
-        now = members.select("key", "rep", "degree").join(labels, "rep").withColumns({"x": F.min("comp").over(of_key), "y": F.max("comp").over(of_key)}).filter("x <> y")
-        # the centre is taken from the component with most members in the bucket: differences to it are small
-        most = F.struct(F.count(F.lit(1)).over(Window.partitionBy("key", "comp")).alias("c"), "degree", F.col("rep").alias("a"))
-        now = now.withColumn("most", most).withColumn("a", F.max("most").over(of_key)["a"]).select("a", F.col("rep").alias("b"), "comp").distinct()
+        now = split(stars.select("key", "rep", "a"), labels).select("a", F.col("rep").alias("b"), "comp").distinct()
         a = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
         b = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"), "n")
         schema = "a long, b long, comp long, n long, slots long, d long, g long"
@@ -224,7 +232,12 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     tested = spokes.filter((F.col("a") != F.col("b")) & alike).select("a", "b")
     links = write_table(confirmed(tested), "near-links", own)
     labels = merged(labels, links) if not links.isEmpty() else labels
-    rest = write_table(unsettled(labels), "near-tested", own)
+    # centres are chosen once: after the merge each split bucket keeps the one that its members have been compared with
+    stars = write_table(centred(labels), "near-stars", own)
+    second = write_table(stars.filter(F.expr("comp <> ca") & alike).select("a", F.col("rep").alias("b")).distinct(), "near-tested", own)
+    links = write_table(confirmed(second), "near-links", own)
+    labels = merged(labels, links) if not links.isEmpty() else labels
+    rest = write_table(unsettled(labels, stars), "near-tested", own)
     links = write_table(confirmed(rest), "near-links", own)
     labels = merged(labels, links) if not links.isEmpty() else labels
     named = classes.join(labels, classes["rep"] == labels["rep"], "left").select("set_a", "set_b", F.coalesce(labels["comp"], classes["rep"]).alias("comp"))

@@ -89,6 +89,26 @@ def test_near_dedup_borderline_group(spark):
     assert got == brute_links(list(enumerate(texts)), 3, 85, 100)
 
 
+def test_near_dedup_tied_small_groups(spark):
+    """Small groups of short texts about the threshold, where many members of a bucket are equally connected."""
+    r = random.Random(21)
+    groups = []
+    for k in range(2500):
+        base = [f"g{k}w{i}" for i in range(r.randint(12, 40))]
+        texts = []
+        for j in range(r.randint(3, 7)):
+            t = list(base)
+            for i in r.sample(range(len(t)), r.choice((0, 1, 1, 2))):
+                t[i] = f"g{k}x{r.randrange(3)}i{i}"
+            cut = r.choice((0, 0, 1, 2, 3))
+            texts.append(" ".join(t[cut:] if r.random() < 0.5 else t[: len(t) - cut]))
+        groups.append([(100 * k + j, t) for j, t in enumerate(texts)])
+    df = spark.createDataFrame([(i, t, 0) for g in groups for i, t in g], DOCS)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.link(df, 3, 85, 100).collect()}
+    want = {i: v for g in groups for i, v in brute_links(g, 3, 85, 100).items()}
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_near_dedup_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (5, "a b c d e f", 2), (5, "a b c d e f", 3), (None, None, 4)], DOCS)
     out = near_dedup.link(df, 3, 85, 100).collect()
