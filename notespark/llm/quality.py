@@ -4,10 +4,13 @@ The text view is the distinct words of the whole text (64-bit hashes, chosen by
 (shares of symbols, capitals, digits, repeated words, lengths). The metadata view is source, language and length class. Each view
 trains a logistic regression on the labelled rows; for ROUNDS rounds each labels the unlabelled rows that it is surest of, and both
 train again with the other's labels added. Both are calibrated (Platt) on held-out labelled rows and combined by a third regression
-on their calibrated log-odds. The model then scores every document in one scan.
+on their calibrated log-odds. The model then scores every document in one scan. A quarter of each class is held out; a class of fewer
+than FEW rows is calibrated by cross-validation instead, and one of a single row on the training rows.
 
 Training uses at most MAX_LABELLED labelled and MAX_POOL unlabelled rows, those of the smallest id hash: the documented bound, which
-holds what reaches the driver (features, not texts) to some tens of MB at any size. Scoring covers all rows.
+holds what reaches the driver (features, not texts) to some tens of MB at any size. Labelled rows are those that docs has; each class
+of each target gets a quarter of MAX_LABELLED before the rest is filled up, and the log-odds are shifted back to the classes' shares
+among all labelled rows. Scoring covers all rows.
 
 Nulls: null text is empty, a null source or language a value of its own, labels that are null are left out. Without labels of both
 classes the prior is the answer (quality 1, toxic 0 without any label). Rows that repeat get equal scores. Several labels of one id:
@@ -23,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, release, write_table
 from .hashing import NON_ALNUM, word_hashes
 
 MAX_LABELLED, MAX_POOL, MAX_WORDS, ROUNDS = 6000, 3000, 1200, 3
+FEW, FOLDS = 40, 4
 SURE = 0.98
 META = 256
 _COUNTED = [b"#$%&*|~^!@=+<>{}[]\\_", b"|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?", b" \n\t\r\f\v"]
@@ -119,28 +123,55 @@ class Target:
     def __init__(self, prior: float):
         self.prior, self.trained = prior, False
 
-    def train(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, seed: int = 1) -> None:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        held = rng.random(len(y)) < 0.25
-        if min((y[~held] == 0).sum(), (y[~held] == 1).sum(), (y[held] == 0).sum(), (y[held] == 1).sum()) < 2:
+    def train(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, seed: int = 1, share: float | None = None) -> None:
+        """share: of class 1 among all labelled rows, where y is a sample by class."""
+        least = int(min((y == 0).sum(), (y == 1).sum()))
+        if not least:
             return
-        t, m, own = text[~held], meta[~held], y[~held]
+        fold, folds = self._folds(y, least, seed)
+        held = np.ones(len(y), bool) if least < FEW else fold == 0
+        truth = y[held]
         for_text = for_meta = np.full(len(pool_text), np.nan)  # pseudo-labels that each gets from the other
         for r in range(ROUNDS + 1):
-            wt = self._view(t, own, pool_text, for_text)
-            wm = self._view(m, own, pool_meta, for_meta)
-            ct, cm = _platt(odds(text[held], wt), y[held]), _platt(odds(meta[held], wm), y[held])
+            wt, zt = self._view(text, y, pool_text, for_text, fold, folds)
+            wm, zm = self._view(meta, y, pool_meta, for_meta, fold, folds)
+            ct, cm = _platt(zt, truth), _platt(zm, truth)
             if r == ROUNDS or not len(pool_text):
                 break
             for_meta = self._confident(odds(pool_text, wt) * ct[0] + ct[1])
             for_text = self._confident(odds(pool_meta, wm) * cm[0] + cm[1])
         self.wt, self.wm, self.ct, self.cm = wt, wm, ct, cm
-        views = np.stack([odds(text[held], wt) * ct[0] + ct[1], odds(meta[held], wm) * cm[0] + cm[1]], axis=1)
-        self.combine = fit(views / 4, y[held], np.ones(held.sum()), 300, 1e-3)
+        views = np.stack([zt * ct[0] + ct[1], zm * cm[0] + cm[1]], axis=1)
+        self.combine = fit(views / 4, truth, np.ones(len(truth)), 300, 1e-3)
+        mean = float(y.mean())
+        self.shift = 0.0 if share is None else math.log(share / (1 - share)) - math.log(mean / (1 - mean))
         self.trained = True
 
     @staticmethod
-    def _view(x, y, pool, labels):
+    def _folds(y: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, int]:
+        """The fold of each row, dealt out within each class, and their number: 1 is a hold-out (fold 0), 0 calibrates on the training rows."""
+        rng = np.random.Generator(np.random.PCG64(seed))
+        folds = 1 if least >= FEW else min(FOLDS, least) if least > 1 else 0
+        fold = np.zeros(len(y), np.int64)
+        for c in (0, 1):
+            at = rng.permutation(np.flatnonzero(y == c))
+            fold[at] = np.arange(len(at)) % (4 if folds == 1 else max(1, folds))
+        return fold, folds
+
+    @classmethod
+    def _view(cls, x, y, pool, labels, fold, folds):
+        """Weights, and the log-odds of the rows used for calibration, each from a fit without its fold."""
+        if folds == 1:
+            w = cls._fit(x[fold != 0], y[fold != 0], pool, labels)
+            return w, odds(x[fold == 0], w)
+        w = cls._fit(x, y, pool, labels)
+        z = odds(x, w)
+        for f in range(folds):
+            z[fold == f] = odds(x[fold == f], cls._fit(x[fold != f], y[fold != f], pool, labels))
+        return w, z
+
+    @staticmethod
+    def _fit(x, y, pool, labels):
         known = ~np.isnan(labels)
         if not known.any():
             return fit(x, y, np.ones(len(y)))
@@ -157,7 +188,7 @@ class Target:
             return (np.full(len(zt), self.prior),) * 3
         a, b = zt * self.ct[0] + self.ct[1], zm * self.cm[0] + self.cm[1]
         c = odds(np.stack([a, b], axis=1) / 4, self.combine)
-        return tuple(1 / (1 + np.exp(-x)) for x in (a, b, c))
+        return tuple(1 / (1 + np.exp(-(x + self.shift))) for x in (a, b, c))
 
 
 class Model:
@@ -233,14 +264,22 @@ def _choose(rows: np.ndarray, words: np.ndarray, y: np.ndarray, most: int) -> np
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    """Trains on bounded samples: max_labelled labelled and max_pool unlabelled rows of the smallest id hash."""
+    """Trains on bounded samples of the smallest id hash: max_labelled labelled rows, a quarter for each class first, and max_pool unlabelled rows."""
     spark = docs.sparkSession
     h = F.xxhash64("doc_id")
     known = labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    y_of = {r.doc_id: (r.quality, r.toxic) for r in known.orderBy(h, "doc_id").limit(max_labelled).collect()}
     ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    usable = write_table(known.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi"), "quality-labels", "quality")
+    classes = ("quality <= 0", "quality > 0", "toxic <= 0", "toxic > 0")
+    sizes = usable.agg(*(F.count_if(F.expr(c)).alias(f"c{i}") for i, c in enumerate(classes))).first()
+    y_of = {}
+    for c, most in [*((c, max_labelled // 4) for c in classes), ("true", max_labelled)]:
+        for r in usable.filter(c).orderBy(h, "doc_id").limit(most).collect():
+            if c != "true" or len(y_of) < max_labelled:
+                y_of[r.doc_id] = (r.quality, r.toxic)
     pool = [r.doc_id for r in ids.orderBy(h, "doc_id").limit(2 * max_pool).select("doc_id").distinct().collect()]
-    labelled = {r.doc_id for r in known.join(F.broadcast(spark.createDataFrame([(i,) for i in pool], "doc_id long")), "doc_id", "left_semi").select("doc_id").collect()}
+    labelled = {r.doc_id for r in usable.join(F.broadcast(spark.createDataFrame([(i,) for i in pool], "doc_id long")), "doc_id", "left_semi").select("doc_id").collect()}
+    release("quality")
     pool = sorted(set(pool) - labelled)[:max_pool]
     wanted = spark.createDataFrame([(i,) for i in {*y_of, *pool}], "doc_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_columns(docs)).join(F.broadcast(wanted), "doc_id", "left_semi")
@@ -271,9 +310,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     px, pone = model.dense(pshape, prow, pwords), _one_hot(pmeta)
     for k, name in enumerate(names):
         ok = ~np.isnan(y[:, k])
-        targets[name] = Target(float(y[ok, k].mean()) if ok.any() else float(name == "quality"))
+        zeros, ones = sizes[2 * k], sizes[2 * k + 1]
+        share = ones / (zeros + ones) if zeros + ones else float(name == "quality")
+        targets[name] = Target(share)
         if ok.any():
-            targets[name].train(x[ok], one[ok], y[ok, k], px, pone)
+            targets[name].train(x[ok], one[ok], y[ok, k], px, pone, share=share)
     return model
 
 

@@ -152,6 +152,25 @@ def test_quality_on_held_out_labels(spark):
     assert clean.kept.mean() > 0.99
 
 
+def test_quality_trains_on_few_labels_of_a_class(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    got = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").toPandas()
+    bad = got.quality == 0
+    assert bad.sum() == 11 and (got.p_quality[bad] < 0.5).sum() >= 9 and (got.p_quality[~bad] >= 0.5).mean() > 0.97
+
+
+def test_quality_samples_labels_by_class(spark):
+    """20 toxic rows among 3,000, of which a sample of 200 by id alone has one or two; half of the labels are of no document."""
+    def text(i):
+        return " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(30)) + (" vile nasty filth" if i % 150 == 0 else "")
+
+    docs = spark.createDataFrame([(i, text(i), "s", "en", 100) for i in range(3000)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 150 == 0)) for i in range(6000)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, max_labelled=200)
+    assert model.targets["toxic"].trained
+    assert sorted(r.doc_id for r in quality.score(docs, model).filter("p_toxic > 0.5").collect()) == list(range(0, 3000, 150))
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None, None, "e"), (2, "", "s", "en", 0, "e"), (None, "x y", "s", "en", 3, "e"), (4, "word " * 30_000, "s", "en", 1, "e"), (4, "word " * 30_000, "s", "en", 1, "e")], "doc_id long, text string, source string, lang string, n_chars long, p_quality string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
