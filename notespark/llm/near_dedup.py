@@ -38,7 +38,7 @@ _ROW_KEYS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _BAND_KEYS = mix(np.arange(501, 501 + BANDS, dtype=np.uint64))
 _LOW48 = np.uint64((1 << 48) - 1)
 
-_SIGNED = "doc_id long, row long, n long, set_a long, set_b long, bands array<long>, items binary"
+_SIGNED = "doc_id long, row long, digest long, n long, set_a long, set_b long, bands array<long>, items binary"
 
 
 def signature(items: np.ndarray) -> np.ndarray:
@@ -89,8 +89,8 @@ def _sign(words: int):
                     bands.append(band_keys(signature(s)) if len(s) else None)
                     items.append(pack(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())],
-                    names=["doc_id", "row", "n", "set_a", "set_b", "bands", "items"],
+                    [part.column("doc_id"), part.column("row"), part.column("digest"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())],
+                    names=["doc_id", "row", "digest", "n", "set_a", "set_b", "bands", "items"],
                 )
 
     return run
@@ -131,8 +131,8 @@ def connected_components(edges: DataFrame, owner: str = "near") -> DataFrame:
 BROADCAST_IDS = 2_000_000  # at most so many ids (16 MB) are broadcast; more are joined by an exchange
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def _differences(num: int, den: int):
@@ -166,8 +166,13 @@ def _differences(num: int, den: int):
 
 def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Links have den * intersection >= num * union."""
+    return _linked(docs, words, num, den, id_col, text_col).drop("digest")
+
+
+def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """link(), with a digest of the text that tells apart rows of one id."""
     own = "near"
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).alias("text"))
     signed = write_table(texts.mapInArrow(_sign(words), _SIGNED), "near-signed", own)
     classes = write_table(signed.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("rep")), "near-classes", own)
     reps = signed.select("row", "bands").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -241,18 +246,22 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     links = write_table(confirmed(rest), "near-links", own)
     labels = merged(labels, links) if not links.isEmpty() else labels
     named = classes.join(labels, classes["rep"] == labels["rep"], "left").select("set_a", "set_b", F.coalesce(labels["comp"], classes["rep"]).alias("comp"))
-    rows = signed.select("doc_id", "row", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    rows = write_table(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp")), "near-rows", own)
+    rows = signed.select("doc_id", "row", "digest", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    rows = write_table(rows.select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp")), "near-rows", own)
     smallest = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(smallest, "comp")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; all columns of docs. Rows without an id stay."""
-    drop = write_table(link(docs, words, num, den, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__nd_id")).distinct(), "near-drop", "near-drop")
+    """docs with one document of each component, the one of the smallest id; all columns of docs. Rows without an id stay.
+
+    Rows go by id and text: another text of the same id is judged by its own component."""
+    gone = _linked(docs, words, num, den, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL")
+    drop = write_table(gone.select(F.col("doc_id").alias("__nd_id"), F.col("digest").alias("__nd_digest")).distinct(), "near-drop", "near-drop")
     release("near")
-    return docs.join(_small(drop), F.col(id_col).cast("long") == F.col("__nd_id"), "left_anti")
+    same = (F.col(id_col).cast("long") == F.col("__nd_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__nd_digest"))
+    return docs.join(_small(drop, BROADCAST_IDS // 8), same, "left_anti")  # a key of two columns takes several times the memory of one
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,13 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.link(df.limit(0)).count() == 0 and near_dedup.keep_first(df).columns == df.columns
 
 
+def test_near_dedup_repeated_ids(spark):
+    """One id with two texts, of which one is a near copy of a smaller id: the other text stays."""
+    df = spark.createDataFrame([(1, "a b c d e f", 1), (2, "A b c d e f", 2), (2, "p q r s t u", 3), (3, "p q r s t u", 4), (None, "a b c d e f", 5), (2, None, 6)], DOCS)
+    assert sorted(r.row for r in near_dedup.keep_first(df).collect()) == [1, 3, 5, 6]
+    assert near_dedup.link(df).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (105, 101), (7, 7)]
     got = {r.node: r.root for r in near_dedup.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
