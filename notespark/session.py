@@ -7,7 +7,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Rows in an Arrow batch. Long texts make Spark's default of 10,000 rows cost hundreds of MB a task.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "300"
+#: Bytes in an Arrow batch, for the same reason.
+BATCH_BYTES = 2 << 20
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -16,6 +18,8 @@ def ready(spark: SparkSession) -> SparkSession:
     keeps Arrow batches small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; a value of one's own stays
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
