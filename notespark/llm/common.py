@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +16,20 @@ from ..session import ready
 
 _written: list[tuple[SparkSession, str, str]] = []
 
+PART_BYTES = 32 << 20  # of input: what makes another file worth while at any size
+LEAST_BYTES = 1 << 20  # of input: what makes another task worth while
+TASKS_A_CORE = 2
+ROW_GROUP = 16 << 20  # bytes that a writer gathers in memory
+BROADCAST_ROWS = 250_000  # at most so many rows of one or two numbers are broadcast (some MB); more are joined by an exchange
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode only)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="notespark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -37,14 +48,59 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in a few partitions a core, fewer where its inputs hold less than LEAST_BYTES for each, and more where they hold over
+    PART_BYTES: no swarms of tiny files, which cost a file system more than what they hold. Nothing is shuffled; on large inputs the
+    partitions stay as they are."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # rows from the driver have no known size
+    wave = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    return df.coalesce(max(min(wave, 1 + known // LEAST_BYTES), min(known // PART_BYTES, 1_000_000)))
+
+
 def write_table(df: DataFrame, name: str, owner: str = "") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning."""
     spark = df.sparkSession
     path = new_path(spark, name, owner)
-    df.write.parquet(path)
+    few_files(df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(table: DataFrame, most: int = BROADCAST_ROWS, cells: Column | None = None) -> DataFrame:
+    """A written table as the small side of a join: broadcast if it has at most `most` rows (or cells, where rows are of different
+    sizes), else joined by an exchange, of which Spark can split the other side's hot keys, as nothing stands between this side's
+    scan and its exchange."""
+    size = table.count() if cells is None else table.agg(F.coalesce(F.sum(cells), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= most else table
+
+
+class Scratch:
+    """The inner tables of one call: written to the shared folder, and deleted one by one as soon as nothing reads them any more."""
+
+    def __init__(self, name: str, owner: str = ""):
+        self.owner, self.own = owner or name, f"{name}-{uuid.uuid4().hex[:12]}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return write_table(df, name, f"{self.own}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            release(f"{self.own}/{name}")
+
+    def close(self, *but: str) -> None:
+        """Deletes all that is left, except for these."""
+        for owner in {x[2] for x in _written if x[2].startswith(f"{self.own}/")} - {f"{self.own}/{n}" for n in but}:
+            release(owner)
+
+    def leave(self, *names: str) -> None:
+        """These stay for the result, which is read later: they go with the operator's name, or when the application ends."""
+        for i, (spark, path, owner) in enumerate(_written):
+            if owner in {f"{self.own}/{n}" for n in names}:
+                _written[i] = (spark, path, self.owner)
+
+
 def release(owner: str) -> None:
     """Deletes the shared tables of one owner, once nothing that reads them will run any more."""
     for item in [x for x in _written if x[2] == owner]:
@@ -61,6 +117,40 @@ def _release_all() -> None:
             return
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from these that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__nd_{name}"
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(run):
+    """A step on Arrow batches that gives memory back when its task ends: workers stay for other tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it many times or inside lambdas."""
     return F.transform(F.array(value), body)[0]

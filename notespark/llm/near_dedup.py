@@ -14,8 +14,8 @@ unanswered and nothing is capped. Every edge is confirmed on the two full shingl
 from alternating large-star and small-star steps over tables in the shared folder; links never reach the driver.
 
 Nulls: a null or blank text has an empty set and is linked with nothing; a null id is ignored when the smallest id of a component is
-sought. Rows that repeat are one class. Fewer words than a shingle: the whole sequence is the one shingle. Empty table: no rows.
-Extra columns pass through keep_first() and cannot clash.
+sought. Rows that repeat are one class. Fewer words than a shingle: the whole sequence is the one shingle. Very long texts are
+hashed whole, in segments. Empty table: no rows. Extra columns pass through keep_first(); inner names avoid theirs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, release, write_table
+from .common import BROADCAST_ROWS, Scratch, few_files, fresh, lean, read, small_side
 from .hashing import distinct, mix, shingle_sets
 
 BINS, ROWS = 128, 4
@@ -111,28 +111,25 @@ def _confirm(num: int, den: int):
     return run
 
 
-def connected_components(edges: DataFrame, owner: str = "near") -> DataFrame:
-    """Of edges (a, b): node, smallest node of its component as root, for every node that is not a root."""
+def connected_components(edges: DataFrame, own: Scratch | None = None) -> DataFrame:
+    """Of edges (a, b): node, smallest node of its component as root, for every node that is not a root. Alternating large-star and
+    small-star steps, until every component is one star."""
+    own = own or Scratch("components")
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    before = None
+    turn = 0
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = write_table(small, "components", owner)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        least = own.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"least-{turn}")
+        large = own.write(both.filter("b > a").join(small_side(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"large-{turn}")
+        lowest = own.write(large.groupBy("a").agg(F.min("b").alias("m")), f"lowest-{turn}")
+        small = large.join(small_side(lowest), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
+        e = own.write(small, f"edges-{turn}")
+        own.drop(f"least-{turn}", f"large-{turn}", f"lowest-{turn}", f"edges-{turn - 1}")
+        turn += 1
+        nodes = e.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+        inner = e.select(F.col("b").alias("a")).distinct().withColumn("c", F.lit(2))  # a root that hangs on another node
+        if nodes.filter("c > 1").isEmpty() and nodes.select("a").join(inner, "a", "left_semi").isEmpty():
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-
-
-BROADCAST_IDS = 2_000_000  # at most so many ids (16 MB) are broadcast; more are joined by an exchange
-
-
-def _small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def _differences(num: int, den: int):
@@ -166,102 +163,134 @@ def _differences(num: int, den: int):
 
 def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Links have den * intersection >= num * union."""
-    return _linked(docs, words, num, den, id_col, text_col).drop("digest")
+    own = Scratch("near")
+    rows, firsts = _linked(docs, words, num, den, id_col, text_col, own)
+    own.leave("rows", "firsts")
+    named = rows.join(small_side(firsts, BROADCAST_ROWS // 4), "comp", "left").withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
+    return few_files(named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """link(), with a digest of the text that tells apart rows of one id."""
-    own = "near"
+def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, own: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, digest of the text, n, comp of every row; firsts: for components of several rows with an id, the smallest
+    (doc_id, digest). A key that many rows share (an exact set, a bucket, a centre, an element, a component) is aggregated with
+    partial sums and joined to a written table, so that no window or join needs all its rows in one task."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).alias("text"))
-    signed = write_table(texts.mapInArrow(_sign(words), _SIGNED), "near-signed", own)
-    classes = write_table(signed.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("rep")), "near-classes", own)
-    reps = signed.select("row", "bands").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    of_key = Window.partitionBy("key")
-    every = reps.select(F.col("row").alias("rep"), F.explode("bands").alias("key")).withColumn("m", F.count(F.lit(1)).over(of_key))
-    shared = write_table(every.filter("m > 1"), "near-shared", own)
+    signed = own.write(texts.mapInArrow(lean(_sign(words)), _SIGNED), "signed")
+    classes = own.write(signed.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("rep")), "classes")
+    reps = signed.select("row", "n", "bands").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    banded = own.write(reps.select(F.col("row").alias("rep"), "n", F.explode("bands").alias("key")), "banded")
+    keys = own.write(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "keys")
+    shared = own.write(banded.join(small_side(keys), "key"), "shared")
+    own.drop("banded", "keys")
     # the most connected member of a bucket is its first centre: in a group of near copies that is close to what they are copies of
-    degrees = shared.groupBy("rep").agg(F.sum("m").alias("degree"))
-    ids = degrees.select("rep")
-    sets = write_table(signed.select(F.col("row").alias("rep"), "n", "items").join(_small(ids), "rep", "left_semi"), "near-sets", own)
-    sized = degrees.join(sets.select("rep", "n"), "rep")
-    by_degree = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
-    members = write_table(shared.join(sized, "rep").withColumn("place", F.row_number().over(by_degree)), "near-members", own)
-    labels = write_table(sets.select("rep", F.col("rep").alias("comp")), "near-labels", own)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    degrees = own.write(shared.groupBy("rep").agg(F.sum("m").alias("degree")), "degrees")
+    sets = own.write(signed.select(F.col("row").alias("rep"), "n", "items").join(small_side(degrees.select("rep")), "rep", "left_semi"), "sets")
+    members = own.write(shared.select("key", "rep", "n").join(small_side(degrees), "rep"), "members")
+    own.drop("shared")
+    alike = F.expr(f"{den} * least(n, na) >= {num} * greatest(n, na)")  # sizes too far apart cannot reach the similarity
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that are linked, by both whole sets."""
+        pairs = own.write(pairs, name)
         a = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
         b = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(num, den), "a long, b long")
-
-    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-        comps = labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        of_b = labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        between = links.join(comps, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        roots = connected_components(between, own).select(F.col("node").alias("comp"), "root")
-        return write_table(labels.join(roots, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "near-labels", own)
-
-    def split(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        links = own.write(pairs.join(b, "b").join(a, "a").select("a", "b", "items_a", "items_b").mapInArrow(lean(_confirm(num, den)), "a long, b long"), f"{name}-links")
+        own.drop(name)
+        return links
+
+    def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """labels (rep, comp) after joining the components that the links connect."""
+        if links.isEmpty():
+            return labels
+        known = small_side(labels)
+        of_a, of_b = known.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), known.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+        between = own.write(links.join(of_a, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct(), f"{name}-between")
+        inner = Scratch("near-components")
+        roots = own.write(connected_components(between, inner).select(F.col("node").alias("comp"), "root"), f"{name}-roots")
+        inner.close()
+        out = own.write(labels.join(small_side(roots), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), name)
+        own.drop(f"{name}-between", f"{name}-roots")
+        return out
+
+    def still_open(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame | None:
         """Of rows (key, rep, ...): those of buckets whose members are not in one component, with their component."""
-        return rows.join(labels, "rep").withColumns({"x": F.min("comp").over(of_key), "y": F.max("comp").over(of_key)}).filter("x <> y")
+        labelled = rows.join(small_side(labels), "rep")
+        keys = own.write(labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key"), f"{name}-keys")
+        return None if keys.isEmpty() else own.write(labelled.join(small_side(keys), "key"), name)
 
-    def centred(labels: DataFrame) -> DataFrame:
-        """Members of split buckets with the second centre a, from the component with most members in the bucket: differences to it are small."""
-        most = F.struct(F.count(F.lit(1)).over(Window.partitionBy("key", "comp")).alias("c"), "degree", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        now = split(members.select("key", "rep", "n", "degree", "place"), labels).withColumn("most", most).withColumn("most", F.max("most").over(of_key))
-        return now.select("key", "rep", "n", "comp", "place", "most.a", "most.na", "most.ca")
-
-    def unsettled(labels: DataFrame, stars: DataFrame) -> DataFrame:
-        """Pairs of different components in a star that may still be linked: an exact prefix filter on differences to the centre.
+    def unsettled(now: DataFrame) -> DataFrame:
+        """Pairs of different components in a star (a, b, comp) that may still be linked: an exact prefix filter on differences to the centre.
 
         With k = (1 - t) / (1 + t), x and y are linked if and only if |x ^ y| <= k (|x| + |y|), and |x ^ y| follows from what the
         differences to the centre c have in common: |x^c & y^c| = (|x^c| + |y^c| - |x^y|) / 2. As c has been compared with every
         member of another component, at most one of them is linked with c, so that must be at least 1, and more than (|x^c| + k (|c| - |x|)) / 2 for the linked one. So one common element is among
         the |x^c| - s + 1 rarest of either. Elements that one component alone has come first in the order and never match.
         """
-        now = split(stars.select("key", "rep", "a"), labels).select("a", F.col("rep").alias("b"), "comp").distinct()
         a = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
         b = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"), "n")
         schema = "a long, b long, comp long, n long, slots long, d long, g long"
-        rows = write_table(now.select("a", "b", "comp").join(b, "b").join(a, "a").select("a", "b", "comp", "n", "items_a", "items_b").mapInArrow(_differences(num, den), schema), "near-open-items", own)
-        common = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("df")).filter("x <> y").select("g", "df")
+        rows = own.write(now.join(b, "b").join(a, "a").select("a", "b", "comp", "n", "items_a", "items_b").mapInArrow(lean(_differences(num, den)), schema), "open-items")
+        common = own.write(rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("df")).filter("x <> y").select("g", "df"), "open-common")
         of_spoke = Window.partitionBy("a", "b")
-        rare = rows.join(common, "g").withColumns({"v": F.count(F.lit(1)).over(of_spoke), "at": F.row_number().over(of_spoke.orderBy("df", "g"))})
-        prefix = write_table(rare.filter("at <= slots - (d - v)").select("g", F.col("b").alias("rep"), "comp", "n", "d", "v"), "near-prefix", own)
+        rare = rows.join(small_side(common), "g").withColumns({"v": F.count(F.lit(1)).over(of_spoke), "at": F.row_number().over(of_spoke.orderBy("df", "g"))})
+        prefix = own.write(rare.filter("at <= slots - (d - v)").select("g", F.col("b").alias("rep"), "comp", "n", "d", "v"), "open-prefix")
+        own.drop("open-items", "open-common")
         other = prefix.select("g", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("v").alias("va"))
         enough = F.expr(f"{2 * (num + den)} * least(v, va) >= {num + den} * (d + da) - {den - num} * (n + na)")  # what both could share, against what a link needs
         return prefix.join(other, "g").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & alike & enough).select(F.col("rep").alias("a"), "b").distinct()
 
-    alike = F.expr(f"{den} * least(n, na) >= {num} * greatest(n, na)")  # sizes too far apart cannot reach the similarity
-    heads = members.filter("place = 1").select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
-    spokes = write_table(members.join(heads, "key").groupBy("a", F.col("rep").alias("b")).agg(F.first("n").alias("n"), F.first("na").alias("na")), "near-spokes", own)
-    tested = spokes.filter((F.col("a") != F.col("b")) & alike).select("a", "b")
-    links = write_table(confirmed(tested), "near-links", own)
-    labels = merged(labels, links) if not links.isEmpty() else labels
+    head = F.max(F.struct("degree", (-F.col("rep")).alias("a"), "n")).alias("h")
+    heads = own.write(members.groupBy("key").agg(head).select("key", (-F.col("h.a")).alias("a"), F.col("h.n").alias("na")), "heads")
+    first = members.join(small_side(heads, BROADCAST_ROWS // 2), "key").filter((F.col("a") != F.col("rep")) & alike).select("a", F.col("rep").alias("b")).distinct()
+    labels = own.write(degrees.select("rep", F.col("rep").alias("comp")), "labels-0")
+    labels = merged(labels, confirmed(first, "first"), "labels-1")
+    own.drop("heads")
     # centres are chosen once: after the merge each split bucket keeps the one that its members have been compared with
-    stars = write_table(centred(labels), "near-stars", own)
-    second = write_table(stars.filter(F.expr("comp <> ca") & alike).select("a", F.col("rep").alias("b")).distinct(), "near-tested", own)
-    links = write_table(confirmed(second), "near-links", own)
-    labels = merged(labels, links) if not links.isEmpty() else labels
-    rest = write_table(unsettled(labels, stars), "near-tested", own)
-    links = write_table(confirmed(rest), "near-links", own)
-    labels = merged(labels, links) if not links.isEmpty() else labels
-    named = classes.join(labels, classes["rep"] == labels["rep"], "left").select("set_a", "set_b", F.coalesce(labels["comp"], classes["rep"]).alias("comp"))
-    rows = signed.select("doc_id", "row", "digest", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    rows = write_table(rows.select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp")), "near-rows", own)
-    smallest = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(smallest, "comp")
-    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    parts = still_open(members, labels, "parts")
+    if parts is not None:
+        # from the component with most members in the bucket: differences to such a centre are small
+        most = parts.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("degree", F.col("rep").alias("a"), F.col("n").alias("na"))).alias("t"))
+        centres = own.write(most.groupBy("key").agg(F.max(F.struct("c", "t", F.col("comp").alias("ca"))).alias("w")).select("key", "w.t.a", "w.t.na", "w.ca"), "centres")
+        stars = own.write(parts.join(small_side(centres, BROADCAST_ROWS // 2), "key").select("key", "rep", "n", "comp", "a", "na", "ca"), "stars")
+        own.drop("parts", "centres")
+        second = stars.filter(F.expr("comp <> ca") & alike).select("a", F.col("rep").alias("b")).distinct()
+        labels = merged(labels, confirmed(second, "second"), "labels-2")
+        left = still_open(stars.select("key", "rep", "a"), labels, "left")
+        if left is not None:
+            labels = merged(labels, confirmed(unsettled(left.select("a", F.col("rep").alias("b"), "comp").distinct()), "third"), "labels-3")
+    own.drop("sets", "members", "degrees", "stars", "left", "open-prefix")
+    named = classes.join(small_side(labels), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
+    rows = signed.select("doc_id", "row", "digest", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp"))
+    rows = own.write(rows, "rows")
+    several = rows.filter("doc_id IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("c"))
+    # a row without an id takes part too: it is named after the smallest id of its component
+    alone = rows.filter("doc_id IS NULL AND n > 0").select("comp").distinct().withColumn("other", F.lit(True))
+    firsts = own.write(several.join(alone, "comp", "left").filter("c > 1 OR other").select("comp", "first"), "firsts")
+    own.close("rows", "firsts")
+    return rows, firsts
 
 
 def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; all columns of docs. Rows without an id stay.
-
-    Rows go by id and text: another text of the same id is judged by its own component."""
-    gone = _linked(docs, words, num, den, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL")
-    drop = write_table(gone.select(F.col("doc_id").alias("__nd_id"), F.col("digest").alias("__nd_digest")).distinct(), "near-drop", "near-drop")
-    release("near")
-    same = (F.col(id_col).cast("long") == F.col("__nd_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__nd_digest"))
-    return docs.join(_small(drop, BROADCAST_IDS // 8), same, "left_anti")  # a key of two columns takes several times the memory of one
+    """docs with one row of each component, the one of the smallest id; all columns of docs. Rows without an id stay.
+
+    Rows go by id and text: another text of the same id is judged by its own component. Of several texts of the smallest id in one
+    component one stays, and of rows that repeat both id and text one."""
+    own = Scratch("near")
+    rows, firsts = _linked(docs, words, num, den, id_col, text_col, own)
+    judged = rows.filter("doc_id IS NOT NULL AND n > 0").join(small_side(firsts, BROADCAST_ROWS // 4), "comp")
+    stays = F.struct("doc_id", "digest") == F.col("first")
+    i, d = fresh(docs, "id", "digest")
+    key = [F.col("doc_id").alias(i), F.col("digest").alias(d)]
+    drop = own.write(judged.filter(~stays).select(*key).distinct(), "drop")
+    again = own.write(judged.filter(stays).groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "again")
+    own.close("drop", "again")
+    own.leave("drop", "again")
+    keyed = docs.withColumns({i: F.col(id_col).cast("long"), d: F.xxhash64(F.col(text_col).cast("string"))})
+    out = keyed.join(small_side(drop, BROADCAST_ROWS // 4), [i, d], "left_anti")
+    if not again.isEmpty():
+        repeats = small_side(again, BROADCAST_ROWS // 4)
+        out = out.join(repeats, [i, d], "left_anti").unionByName(out.join(repeats, [i, d], "left_semi").dropDuplicates([i, d]))
+    return few_files(out.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
