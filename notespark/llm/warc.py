@@ -1,18 +1,22 @@
 """Operator 6, WARC archives with an external index merge.
 
 Writing: records are rendered as text and written by Spark's own text sink, whose line separator is the blank line that ends a WARC
-record; so files go through the commit protocol of any Hadoop file system and a lost executor costs one task. Equal payloads of at
-least MIN_REVISIT bytes are stored once: the largest page id is the response, the others are revisit records that name it.
+record; so files go through the commit protocol of any Hadoop file system and a lost executor costs one task. Pages are written
+from the partitions of their scan, at most so many to a file that files have about `file_bytes`. Equal payloads of at least
+MIN_REVISIT bytes are stored once: the largest page id is the response, the others are revisit records that name it. Which they are
+is found on digests alone, one row for each repeated payload; below a checked size that table is broadcast and no payload is in any
+exchange, beyond it pages are joined by digest once, where Spark can split hot ones.
 
-Reading: files are small by construction (about FILE_BYTES each) and are read whole by Spark's binary source; each is parsed by
-Content-Length in one forward pass, payloads are digested again and held against the header.
+Reading: files are read whole by Spark's binary source, so file_bytes bounds what a task holds; each is parsed by Content-Length in
+one forward pass, payloads are digested again and held against the header. The index has file, offset and length of each record.
 
 Index: the records of a file, sorted by SURT key and timestamp, are one capture run. The runs are merged externally: a range
-partitioning by (key, timestamp, id) cuts all runs at common splitters, so that a key with a third of all captures is spread by
-timestamp; each task then merges its slices of the runs with a loser tree (log2(k) comparisons a record), which gives globally
-ordered capture histories across tasks.
+partitioning by (key, timestamp, id, file, offset) cuts all runs at common splitters, so that a key with a third of all captures,
+or a capture that repeats, is spread over tasks; each task then merges its slices of the runs with a loser tree (log2(k) comparisons
+a record), which gives globally ordered capture histories across tasks. Slices come out of the exchange in the order in which their
+runs were read; that is checked, and only a slice that is out of order is sorted again.
 
-Nulls: null html is an empty payload, a null url an empty target. Rows that repeat the largest id of a payload are all responses.
+Nulls: null html is an empty payload, a null url an empty target. Very long payloads are one record. Rows that repeat the largest id of a payload are all responses.
 Captures have no time in the tables: the date is derived from the id. Empty table: no rows. Extra columns are ignored.
 """
 
@@ -21,17 +25,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
+from itertools import islice
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read, ready, write_table
+from .common import BROADCAST_ROWS, few_files, lean, new_path, read, ready, small_side, write_table
 
 MIN_REVISIT = 1000
-FILE_BYTES = 8 << 20
+FILE_BYTES = 16 << 20
 CRLF = "\r\n"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 ID = "urn:notespark:page:"
@@ -54,7 +59,7 @@ def with_types(digested: DataFrame) -> DataFrame:
     large = digested.filter(F.col("payload_bytes") >= MIN_REVISIT)
     groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("__best"), F.count(F.lit(1)).alias("__n")).filter("__n > 1 AND __best IS NOT NULL")
     groups = write_table(groups.select(F.col("payload_digest").alias("__d"), "__best"), "warc-groups", "warc")
-    joined = digested.join(groups, (F.col("payload_digest") == F.col("__d")) & (F.col("payload_bytes") >= MIN_REVISIT), "left")
+    joined = digested.join(small_side(groups, BROADCAST_ROWS // 4), (F.col("payload_digest") == F.col("__d")) & (F.col("payload_bytes") >= MIN_REVISIT), "left")
     revisit = F.col("__best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__best"))
     return joined.select(*digested.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__best")).alias("refers_to"))
 
@@ -94,12 +99,13 @@ def records(typed: DataFrame) -> DataFrame:
     return typed.select(F.concat(headers, F.lit(CRLF + CRLF), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes pages(page_id, url, html) as .warc files of about FILE_BYTES."""
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes pages(page_id, url, html) as .warc files of about file_bytes at most."""
     digested = with_digests(pages)
-    size = digested.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
-    out = records(with_types(digested)).repartition(max(1, math.ceil(size / FILE_BYTES)))
-    out.write.option("lineSep", CRLF + CRLF).text(path)
+    size, rows = digested.agg(F.sum(F.col("payload_bytes") + 600), F.count(F.lit(1))).first()
+    most = max(1, int(file_bytes / ((size or 0) / max(rows, 1) or 1)))
+    out = few_files(records(with_types(digested)))
+    out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).text(path)
 
 
 def surt(url: str) -> str:
@@ -158,7 +164,7 @@ def _order(r: tuple) -> tuple:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The capture runs of all archives under path: one run a file, each sorted by key, timestamp and id."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content")
-    return files.mapInArrow(_read, INDEX)
+    return files.mapInArrow(lean(_read), INDEX)
 
 
 class LoserTree:
@@ -203,23 +209,24 @@ class LoserTree:
 
 def _merge(batches):
     """The slices of the runs that fall into this key range, merged. The range bounds the rows, hence the memory."""
-    table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    files = table.column("file").to_pylist()
-    rows = list(zip(*[table.column(c).to_pylist() for c in table.column_names]))
-    cuts = [0, *[i for i in range(1, len(files)) if files[i] != files[i - 1]], len(rows)]
-    merged = list(LoserTree([rows[a:b] for a, b in zip(cuts, cuts[1:])], _order))
-    for at in range(0, len(merged), 5000):
-        part = list(zip(*merged[at : at + 5000]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, table.schema)], names=table.column_names)
+    runs: dict[str, list[tuple]] = {}
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            runs.setdefault(row[8], []).append(row)
+    for run in runs.values():
+        if any(_order(a) > _order(b) for a, b in zip(run, run[1:])):
+            run.sort(key=_order)
+    merged = iter(LoserTree([runs[f] for f in sorted(runs)], _order))
+    while part := list(islice(merged, 5000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], names=schema.names)
 
 
 def merge_index(runs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
     """The globally ordered index: partitions follow each other in (surt, ts, page_id) order and so do the rows in each."""
     n = max(1, math.ceil(runs.count() / rows_per_range))
-    ranged = runs.repartitionByRange(n, "surt", "ts", "page_id").sortWithinPartitions("file", "surt", "ts", "page_id", "offset")
-    return ranged.mapInArrow(_merge, INDEX)
+    return runs.repartitionByRange(n, "surt", "ts", "page_id", "file", "offset").mapInArrow(lean(_merge), INDEX)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,5 +237,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "surt", "ts")
 
 
+SQL = {
+    "op6_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^#]*)' AS pat FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, url, regexp_matches(url, pat) AS parts,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, pat, 1)), '^.*@', ''), ':(80|443)?$', ''), '^www\d*\.', '') AS host, lower(regexp_extract(url, pat, 2)) AS rest FROM p),
+b AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS best FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to,
+  CASE WHEN parts THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END ELSE lower(url) END AS surt,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS ts
+FROM b"""
+}
 QUERIES = {"op6_warc": op6_warc}
-SQL: dict[str, str] = {}
