@@ -71,35 +71,72 @@ def test_cache_is_bounded(monkeypatch, tokenizer):
         assert np.frombuffer(t.many([text.encode()])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.25, "": 0.25}])
-def test_order_is_deficit_round_robin(spark, weights):
+@pytest.mark.parametrize("weights,least", [(None, 4), (None, 30), ({"a": 5.0, "b": 2.5, "": 2.5}, 4), ({"a": 0.01, "b": 1.0}, 16)])
+def test_order_is_deficit_round_robin(spark, weights, least):
     rows = [(i, "ab"[i % 3 == 0] if i % 7 else None, (i * 37) % 90 + 1) for i in range(200)]
     tokens = spark.createDataFrame([(i, i, s, n, b"") for i, s, n in rows], "row long, doc_id long, source string, n long, ids binary")
-    pieces = packing.place(tokens, weights, window=64, packet=16).collect()
+    pieces = packing.place(tokens, weights, window=64, least=least).collect()
     from pyspark.sql import functions as F
 
     order = {r.row: r.h for r in tokens.select("row", F.xxhash64("doc_id", "row").alias("h")).collect()}
-    queues, total = defaultdict(list), sum(n for *_, n in rows)
+    queues = defaultdict(list)
     for i, s, n in rows:
         queues["\0" if s is None else s].append((order[i], i, n))
-    sizes = {q: sum(x[2] for x in v) for q, v in queues.items()}
-    share = {q: (weights.get(q, min(weights.values())) if weights else sizes[q] / total) for q in queues}
-    nb = 1
-    fifo, given, sent = {}, defaultdict(float), defaultdict(int)
+    weight = {q: (float(weights.get(q, min(weights.values()))) if weights else float(sum(x[2] for x in v))) for q, v in queues.items()}
+    quantum = {q: w / sum(weight.values()) * 64 for q, w in weight.items()}
+    fifo, sent = {}, defaultdict(int)
     for q, v in queues.items():
-        fifo[q] = deque((i, at, min(16, n - at)) for _, i, n in sorted(v) for at in range(0, n, 16))
+        grain, line = math.ceil(least / quantum[q]) * quantum[q], [(i, j) for _, i, n in sorted(v) for j in range(n)]
+        ends = sorted({math.floor(k * grain) for k in range(1, int(len(line) / grain) + 2)} | {e for e in range(1, len(line) + 1) if e == len(line) or line[e][0] != line[e - 1][0]})
+        ends = [e for e in ends if e <= len(line)]
+        fifo[q] = deque(line[a:e] for a, e in zip([0, *ends], ends))
     stream, rnd = [], 0
     while any(fifo.values()):
         rnd += 1
         for q in sorted(fifo):
-            while fifo[q] and math.ceil((sent[q] + fifo[q][0][2]) / (share[q] * 64)) <= rnd:
-                i, at, n = fifo[q].popleft()
-                sent[q] += n
-                stream += [(i, at + j) for j in range(n)]
+            while fifo[q] and math.ceil((sent[q] + len(fifo[q][0])) / quantum[q]) <= rnd:
+                packet = fifo[q].popleft()
+                sent[q] += len(packet)
+                stream += packet
     got = []
     for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
         got += [(r.row, r.start + j) for j in range(r.length)]
-    assert nb and got == stream
+    assert got == stream
+
+
+def test_windows_hold_the_mixture(spark, monkeypatch):
+    """Every window but those after a queue has run dry is within a token a queue of the targets; buckets and runs are small here."""
+    monkeypatch.setattr(packing, "ROWS", 20)
+    monkeypatch.setattr(packing, "FAN", 3)
+    rows = [(i, "abc"[min(2, i % 5)], (i * 37) % 300 + 1) for i in range(2000)]
+    tokens = spark.createDataFrame([(i, i, s, n, b"") for i, s, n in rows], "row long, doc_id long, source string, n long, ids binary")
+    source, total = {i: s for i, s, _ in rows}, sum(n for *_, n in rows)
+    size = {s: sum(n for _, q, n in rows if q == s) for s in "abc"}
+    held = defaultdict(lambda: defaultdict(int))
+    for r in packing.place(tokens, window=512, least=16).collect():
+        held[r.sequence_id][source[r.row]] += r.length
+    last = max(held)
+    assert last == (total - 1) // 512
+    for k, of in held.items():
+        assert sum(of.values()) == (512 if k < last else total - last * 512)
+        for s in "abc":
+            assert k == last or abs(of[s] - 512 * size[s] / total) <= 4
+
+
+def test_weights_are_checked(spark):
+    tokens = spark.createDataFrame([(1, 1, "a", 5, b"")], "row long, doc_id long, source string, n long, ids binary")
+    for bad in ({}, {"a": 0.0}, {"a": -1.0, "b": 1.0}):
+        with pytest.raises(ValueError):
+            packing.place(tokens, bad)
+
+
+def test_wide_vocabularies_have_four_bytes_an_id():
+    ids = np.array([70_000, 5, 2], "<u4")
+    import pyarrow as pa
+
+    piece = pa.array([[{"start": 1, "length": 2, "sequence_id": 0, "offset": 0}]])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["s"]), pa.array([3]), piece, pa.array([ids.tobytes()])], names=["doc_id", "source", "n", "pieces", "ids"])
+    assert next(packing._checksums([batch])).column("ids_crc32").to_pylist() == [zlib.crc32(ids[1:].tobytes())]
 
 
 def test_odd_rows(spark, tokenizer):
