@@ -2,19 +2,24 @@
 
 The text view is the distinct words of the whole text (64-bit hashes, chosen by how well they tell the classes apart) and its shape
 (shares of symbols, capitals, digits, repeated words, lengths). The metadata view is source, language and length class. Each view
-trains a logistic regression on the labelled rows; for ROUNDS rounds each labels the unlabelled rows that it is surest of, and both
-train again with the other's labels added. Both are calibrated (Platt) on held-out labelled rows and combined by a third regression
-on their calibrated log-odds. The model then scores every document in one scan. A quarter of each class is held out; a class of fewer
-than FEW rows is calibrated by cross-validation instead, and one of a single row on the training rows.
-
-Training uses at most MAX_LABELLED labelled and MAX_POOL unlabelled rows, those of the smallest id hash: the documented bound, which
-holds what reaches the driver (features, not texts) to some tens of MB at any size. Labelled rows are those that docs has; each class
-of each target gets a quarter of MAX_LABELLED before the rest is filled up, and the log-odds are shifted back to the classes' shares
-among all labelled rows. Scoring covers all rows.
+trains a logistic regression on the labelled rows; for ROUNDS rounds each labels the rows that it is surest of, and both train again
+with the other's labels added. All rows of the table take part in that exchange: the features are written once, in a round each row
+of which a view is sure is added up in one of GROUPS groups (by label, margin and row), and the sums of a task, some hundred KB, are
+added up in a tree. The groups' means, weighted by their rows, stand for the rows in the regressions; together they weigh at most
+PSEUDO times as much as the labelled rows, whatever the size of the table. Both views are calibrated (Platt) on held-out labelled
+rows and combined by a third regression on their calibrated log-odds, on other held-out rows; equal texts are never split between
+the parts. A class of fewer than FEW rows is calibrated and combined by cross-validation instead, and one of a single text on the
+training rows. The model then scores every document in one scan.
+
+Training uses at most MAX_LABELLED labelled rows, those of the smallest id hash: the documented bound, which holds what reaches the
+driver (features, not texts) to some tens of MB at any size. Labelled rows are those that docs has; each class of each target gets a
+quarter of MAX_LABELLED before the rest is filled up, and the log-odds are shifted back to the classes' shares among all labelled
+rows. Scoring covers all rows.
 
 Nulls: null text is empty, a null source or language a value of its own, labels that are null are left out. Without labels of both
 classes the prior is the answer (quality 1, toxic 0 without any label). Rows that repeat get equal scores. Several labels of one id:
-their minimum for quality, maximum for toxic. Empty table: no rows. Extra columns pass through keep_good() untouched.
+their minimum for quality, maximum for toxic. Very long texts are taken whole. Empty table: no rows. Extra columns pass through
+keep_good(); inner names avoid theirs.
 """
 
 from __future__ import annotations
@@ -23,21 +28,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, release, write_table
+from .common import Scratch, few_files, fresh, lean, read
 from .hashing import NON_ALNUM, word_hashes
 
-MAX_LABELLED, MAX_POOL, MAX_WORDS, ROUNDS = 6000, 3000, 1200, 3
-FEW, FOLDS = 40, 4
-SURE = 0.98
+MAX_LABELLED, MAX_WORDS, ROUNDS = 6000, 1200, 3
+FEW, FOLDS, PARTS = 40, 4, 8
+SURE, PSEUDO = 0.98, 0.5
+MARGINS = (4.5, 6.0, 9.0)  # log-odds that part the rows of one label
+GROUPS = 2 * 4 * (len(MARGINS) + 1)
 META = 256
 _COUNTED = [b"#$%&*|~^!@=+<>{}[]\\_", b"|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?", b" \n\t\r\f\v"]
 _CLASSES = np.zeros((len(_COUNTED), 256), np.uint8)
 for _i, _c in enumerate(_COUNTED):
     _CLASSES[_i, list(_c)] = 1
 SHAPE = len(_COUNTED) + 10
+TARGETS = ("quality", "toxic")
 
 
 def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +81,16 @@ def text_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shape[:, k] = np.log1p(counts) / 10
     shape[:, k + 1] = distinct / np.maximum(counts, 1)
     shape[:, k + 2] = sizes / np.maximum(counts, 1) / 10
-    shape[:, k + 3] = (distinct / np.maximum(counts, 1) < 0.2) & (counts > 20)
-    shape[:, k + 4] = counts < 8
+    shape[:, k + 3] = np.log((counts + 1) / (distinct + 1)) / 3
+    shape[:, k + 4] = 4 / (4 + counts)
     shape[:, k + 5] = again
-    for j, share in enumerate((shape[:, 0] > 0.03, shape[:, 1] > 0.01, shape[:, 2] > 0.3, again > 0.05)):
-        shape[:, k + 6 + j] = share
+    for j, share in enumerate((shape[:, 0], shape[:, 1], shape[:, 2], again)):
+        shape[:, k + 6 + j] = np.log1p(100 * share) / 3
     return shape, row, words
 
 
 def meta_view(source, lang, n_chars) -> np.ndarray:
     """Columns of the three one-hot features of each row."""
-    import xxhash
-
     out = np.zeros((len(source), 3), np.int64)
     for i, (s, g, n) in enumerate(zip(source, lang, n_chars)):
         out[i] = xxhash.xxh32(f"s{s}").intdigest() % 192, 192 + xxhash.xxh32(f"l{g}").intdigest() % 48, 240 + min(15, int(math.log2(max(1, n or 1))))
@@ -117,70 +124,77 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)) / 4, float(b)
 
 
+class Rows:
+    """Pseudo-labelled rows as the means of their groups: features, labels, weights."""
+
+    def __init__(self, width: int):
+        self.x, self.y, self.rows = np.zeros((0, width), np.float32), np.zeros(0), np.zeros(0)
+
+    @classmethod
+    def of(cls, count: np.ndarray, sums: np.ndarray) -> Rows:
+        out, full = cls(sums.shape[1]), np.flatnonzero(count)
+        out.rows = count[full]
+        out.x, out.y = (sums[full] / out.rows[:, None]).astype(np.float32), (full >= GROUPS // 2).astype(float)
+        return out
+
+    def weights(self, labelled: int) -> np.ndarray:
+        return self.rows * min(1.0, PSEUDO * labelled / max(self.rows.sum(), 1.0))
+
+
 class Target:
     """One trained label: word weights, shape and metadata weights, calibration, combination."""
 
     def __init__(self, prior: float):
         self.prior, self.trained = prior, False
 
-    def train(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, seed: int = 1, share: float | None = None) -> None:
-        """share: of class 1 among all labelled rows, where y is a sample by class."""
-        least = int(min((y == 0).sum(), (y == 1).sum()))
+    def begin(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, same: np.ndarray, share: float | None = None, seed: int = 1) -> bool:
+        """Labelled rows; same: a number for each distinct text; share: of class 1 among all labelled rows, where y is a sample by
+        class. False where there is nothing to learn."""
+        self.data, self.y, self.share = (text, meta), y, share
+        least = min(len(np.unique(same[y == c])) for c in (0, 1))
         if not least:
-            return
-        fold, folds = self._folds(y, least, seed)
-        held = np.ones(len(y), bool) if least < FEW else fold == 0
-        truth = y[held]
-        for_text = for_meta = np.full(len(pool_text), np.nan)  # pseudo-labels that each gets from the other
-        for r in range(ROUNDS + 1):
-            wt, zt = self._view(text, y, pool_text, for_text, fold, folds)
-            wm, zm = self._view(meta, y, pool_meta, for_meta, fold, folds)
-            ct, cm = _platt(zt, truth), _platt(zm, truth)
-            if r == ROUNDS or not len(pool_text):
-                break
-            for_meta = self._confident(odds(pool_text, wt) * ct[0] + ct[1])
-            for_text = self._confident(odds(pool_meta, wm) * cm[0] + cm[1])
-        self.wt, self.wm, self.ct, self.cm = wt, wm, ct, cm
-        views = np.stack([zt * ct[0] + ct[1], zm * cm[0] + cm[1]], axis=1)
-        self.combine = fit(views / 4, truth, np.ones(len(truth)), 300, 1e-3)
-        mean = float(y.mean())
-        self.shift = 0.0 if share is None else math.log(share / (1 - share)) - math.log(mean / (1 - mean))
-        self.trained = True
-
-    @staticmethod
-    def _folds(y: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, int]:
-        """The fold of each row, dealt out within each class, and their number: 1 is a hold-out (fold 0), 0 calibrates on the training rows."""
+            return False
+        self.folds = 0 if least == 1 else min(FOLDS, least) if least < FEW else 1
         rng = np.random.Generator(np.random.PCG64(seed))
-        folds = 1 if least >= FEW else min(FOLDS, least) if least > 1 else 0
-        fold = np.zeros(len(y), np.int64)
-        for c in (0, 1):
-            at = rng.permutation(np.flatnonzero(y == c))
-            fold[at] = np.arange(len(at)) % (4 if folds == 1 else max(1, folds))
-        return fold, folds
-
-    @classmethod
-    def _view(cls, x, y, pool, labels, fold, folds):
-        """Weights, and the log-odds of the rows used for calibration, each from a fit without its fold."""
-        if folds == 1:
-            w = cls._fit(x[fold != 0], y[fold != 0], pool, labels)
-            return w, odds(x[fold == 0], w)
-        w = cls._fit(x, y, pool, labels)
+        self.fold = np.zeros(len(y), np.int64)
+        for c in (1, 0):  # a text that has both labels goes where its class 0 goes
+            texts = rng.permutation(np.unique(same[y == c])).tolist()
+            parts = PARTS if self.folds == 1 else max(1, self.folds)
+            dealt = {t: i % parts for i, t in enumerate(texts)}
+            self.fold = np.array([dealt.get(t, f) for t, f in zip(same.tolist(), self.fold.tolist())], np.int64)
+        everything = np.ones(len(y), bool)
+        # one eighth for the calibration of the views, one for their combination
+        self.platt_rows, self.combine_rows = (self.fold == 0, self.fold == 1) if self.folds == 1 else (everything, everything)
+        self.trained = True
+        return True
+
+    def fit(self, pseudo: tuple[Rows, Rows]) -> None:
+        (self.wt, self.zt), (self.wm, self.zm) = (self._view(x, p) for x, p in zip(self.data, pseudo))
+        at = self.platt_rows
+        self.ct, self.cm = _platt(self.zt[at], self.y[at]), _platt(self.zm[at], self.y[at])
+
+    def finish(self) -> None:
+        at = self.combine_rows
+        views = np.stack([self.zt * self.ct[0] + self.ct[1], self.zm * self.cm[0] + self.cm[1]], axis=1)[at]
+        self.combine = fit(views / 4, self.y[at], np.ones(at.sum()), 300, 1e-3)
+        mean = float(self.y.mean())
+        self.shift = 0.0 if self.share is None else math.log(self.share / (1 - self.share)) - math.log(mean / (1 - mean))
+        del self.data, self.y, self.fold, self.zt, self.zm, self.platt_rows, self.combine_rows
+
+    def _view(self, x: np.ndarray, pseudo: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Weights, and the log-odds of all rows, of those used for calibration from a fit without their fold."""
+        if self.folds == 1:
+            w = self._fit(x, self.fold > 1, pseudo)
+            return w, odds(x, w)
+        w = self._fit(x, np.ones(len(x), bool), pseudo)
         z = odds(x, w)
-        for f in range(folds):
-            z[fold == f] = odds(x[fold == f], cls._fit(x[fold != f], y[fold != f], pool, labels))
+        for f in range(self.folds):
+            z[self.fold == f] = odds(x[self.fold == f], self._fit(x, self.fold != f, pseudo))
         return w, z
 
-    @staticmethod
-    def _fit(x, y, pool, labels):
-        known = ~np.isnan(labels)
-        if not known.any():
-            return fit(x, y, np.ones(len(y)))
-        return fit(np.vstack([x, pool[known]]), np.concatenate([y, labels[known]]), np.concatenate([np.ones(len(y)), np.full(known.sum(), 0.3)]))
-
-    @staticmethod
-    def _confident(z):
-        p = 1 / (1 + np.exp(-z))
-        return np.where(p >= SURE, 1.0, np.where(p <= 1 - SURE, 0.0, np.nan))
+    def _fit(self, x: np.ndarray, use: np.ndarray, pseudo: Rows) -> np.ndarray:
+        n = int(use.sum())
+        return fit(np.vstack([x[use], pseudo.x]), np.concatenate([self.y[use], pseudo.y]), np.concatenate([np.ones(n), pseudo.weights(n)]))
 
     def score(self, zt: np.ndarray, zm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities: text view, metadata view, combined."""
@@ -199,6 +213,15 @@ class Model:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(words >> np.uint64(44)).astype(np.int64)] = True
 
+    def light(self) -> Model:
+        """What a round's exchange needs of the model: no training rows."""
+        out = Model(self.words, {})
+        for name, t in self.targets.items():
+            out.targets[name] = Target(t.prior)
+            if t.trained:
+                out.targets[name].__dict__.update(trained=True, wt=t.wt, wm=t.wm, ct=t.ct, cm=t.cm)
+        return out
+
     def find(self, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, place among the chosen words) of those that are chosen."""
         near = np.flatnonzero(self.maybe[(words >> np.uint64(44)).astype(np.int64)])
@@ -214,16 +237,20 @@ class Model:
         x[r, SHAPE + at] = 1
         return x
 
-    def score(self, texts: pa.Array, meta: np.ndarray) -> dict[str, np.ndarray]:
-        shape, row, words = text_view(texts)
-        r, at = self.find(row, words)
-        out = {}
+    def odds(self, shape: np.ndarray, r: np.ndarray, at: np.ndarray, meta: np.ndarray):
+        """(name, target, uncalibrated log-odds of the text view, of the metadata view)."""
         for name, t in self.targets.items():
             zt = zm = np.zeros(len(shape))
             if t.trained:
                 zt = shape @ t.wt[:SHAPE] + t.wt[-1] + np.bincount(r, weights=t.wt[SHAPE:-1][at], minlength=len(shape))
                 zm = t.wm[:-1][meta].sum(axis=1) + t.wm[-1]
-            out[f"p_text_{name}"], out[f"p_meta_{name}"], out[f"p_{name}"] = t.score(np.clip(zt, -30, 30), np.clip(zm, -30, 30))
+            yield name, t, np.clip(zt, -30, 30), np.clip(zm, -30, 30)
+
+    def score(self, texts: pa.Array, meta: np.ndarray) -> dict[str, np.ndarray]:
+        shape, row, words = text_view(texts)
+        out = {}
+        for name, t, zt, zm in self.odds(shape, *self.find(row, words), meta):
+            out[f"p_text_{name}"], out[f"p_meta_{name}"], out[f"p_{name}"] = t.score(zt, zm)
         return out
 
 
@@ -263,13 +290,122 @@ def _choose(rows: np.ndarray, words: np.ndarray, y: np.ndarray, most: int) -> np
     return unique[best[gain[best] > 0]]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    """Trains on bounded samples of the smallest id hash: max_labelled labelled rows, a quarter for each class first, and max_pool unlabelled rows."""
-    spark = docs.sparkSession
+def _compact(words: np.ndarray):
+    """The features of all rows under chosen words: doc_id, shape, meta (3 x int16), places of the words it has (uint16)."""
+    model = Model(words, {})
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                shape, row, found = text_view(part.column("text"))
+                r, place = model.find(row, found)
+                ends = np.searchsorted(r, np.arange(part.num_rows + 1))
+                meta = meta_view(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars"))).astype(np.int16)
+                place = place.astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([x.tobytes() for x in shape], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())],
+                    names=["doc_id", "shape", "meta", "words"],
+                )
+
+    return run
+
+
+def _group(z: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that a view with these calibrated log-odds is sure of, and their groups."""
+    sure = np.flatnonzero(np.abs(z) >= math.log(SURE / (1 - SURE)))
+    z = z[sure]
+    return sure, (z > 0) * (GROUPS // 2) + np.digitize(np.abs(z), MARGINS) * 4 + spread[sure] % 4
+
+
+def _sums_shape(words: int) -> tuple[int, int]:
+    return len(TARGETS), GROUPS * (2 + SHAPE + words + META)
+
+
+def _exchange(sent, known):
+    """The sums of one task: for both targets and each group, rows and summed features for the text view (which learns from the
+    metadata view's labels), then the same for the metadata view."""
+
+    def run(batches):
+        model = sent.value
+        wide = SHAPE + len(model.words)
+        sums = {name: (np.zeros(GROUPS), np.zeros((GROUPS, wide)), np.zeros(GROUPS), np.zeros((GROUPS, META))) for name in TARGETS}
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            use = pa.array(~np.isin(ids, known.value) | np.asarray(batch.column("doc_id").is_null()))
+            batch = batch.filter(use)
+            n = batch.num_rows
+            if not n:
+                continue
+            shape = np.frombuffer(b"".join(batch.column("shape").to_pylist()), np.float32).reshape(n, SHAPE)
+            meta = np.frombuffer(b"".join(batch.column("meta").to_pylist()), np.int16).reshape(n, 3).astype(np.int64)
+            places = batch.column("words").to_pylist()
+            r = np.repeat(np.arange(n), [len(p) // 2 for p in places])
+            at = np.frombuffer(b"".join(places), np.uint16).astype(np.int64)
+            spread = (shape.view(np.uint32).sum(axis=1, dtype=np.uint64) >> np.uint64(3)).astype(np.int64)
+            for name, t, zt, zm in model.odds(shape, r, at, meta):
+                if not t.trained:
+                    continue
+                count_t, sum_t, count_m, sum_m = sums[name]
+                which, g = _group(zm * t.cm[0] + t.cm[1], spread)
+                count_t += np.bincount(g, minlength=GROUPS)
+                of_row = np.full(n, -1)
+                of_row[which] = g
+                np.add.at(sum_t[:, :SHAPE], g, shape[which])
+                hit = of_row[r] >= 0
+                sum_t[:, SHAPE:] += np.bincount(of_row[r[hit]] * len(model.words) + at[hit], minlength=GROUPS * len(model.words)).reshape(GROUPS, -1)
+                which, g = _group(zt * t.ct[0] + t.ct[1], spread)
+                count_m += np.bincount(g, minlength=GROUPS)
+                sum_m += np.bincount((g[:, None] * META + meta[which]).ravel(), minlength=GROUPS * META).reshape(GROUPS, META)
+        flat = np.stack([np.concatenate([x.ravel() for x in sums[name]]) for name in TARGETS])
+        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def _add(batches):
+    total = None
+    for batch in batches:
+        for raw in batch.column("sums"):
+            x = np.frombuffer(raw.as_buffer(), np.float64)
+            total = x.copy() if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+FAN = 64
+
+
+def _pseudo_labels(features: DataFrame, model: Model, known: np.ndarray) -> dict[str, tuple[Rows, Rows]]:
+    """For each target the rows that each view labels for the other, over all rows of the table; sums are added up FAN tasks at a time."""
+    sc = features.sparkSession.sparkContext
+    sent, ids = sc.broadcast(model), sc.broadcast(known)
+    rows = features.mapInArrow(lean(_exchange(sent, ids)), "sums binary")
+    n = len(features.inputFiles())  # one task for each, or fewer
+    while n > FAN:
+        n = math.ceil(n / FAN)
+        rows = rows.repartition(n).mapInArrow(lean(_add), "sums binary")
+    total = np.zeros(_sums_shape(len(model.words)))
+    for r in rows.toLocalIterator():
+        total += np.frombuffer(r.sums, np.float64).reshape(total.shape)
+    sent.destroy()
+    ids.destroy()
+    wide, out = SHAPE + len(model.words), {}
+    for name, flat in zip(TARGETS, total):
+        cut = np.cumsum([GROUPS, GROUPS * wide, GROUPS])
+        ct, st, cm, sm = np.split(flat, cut)
+        out[name] = Rows.of(ct, st.reshape(GROUPS, wide)), Rows.of(cm, sm.reshape(GROUPS, META))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """Trains on the max_labelled labelled rows of the smallest id hash, a quarter for each class first, and on what each view can
+    tell the other about all rows."""
+    spark, own = docs.sparkSession, Scratch("quality")
     h = F.xxhash64("doc_id")
     known = labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
-    usable = write_table(known.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi"), "quality-labels", "quality")
+    usable = own.write(known.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi"), "labels")
     classes = ("quality <= 0", "quality > 0", "toxic <= 0", "toxic > 0")
     sizes = usable.agg(*(F.count_if(F.expr(c)).alias(f"c{i}") for i, c in enumerate(classes))).first()
     y_of = {}
@@ -277,57 +413,61 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         for r in usable.filter(c).orderBy(h, "doc_id").limit(most).collect():
             if c != "true" or len(y_of) < max_labelled:
                 y_of[r.doc_id] = (r.quality, r.toxic)
-    pool = [r.doc_id for r in ids.orderBy(h, "doc_id").limit(2 * max_pool).select("doc_id").distinct().collect()]
-    labelled = {r.doc_id for r in usable.join(F.broadcast(spark.createDataFrame([(i,) for i in pool], "doc_id long")), "doc_id", "left_semi").select("doc_id").collect()}
-    release("quality")
-    pool = sorted(set(pool) - labelled)[:max_pool]
-    wanted = spark.createDataFrame([(i,) for i in {*y_of, *pool}], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_columns(docs)).join(F.broadcast(wanted), "doc_id", "left_semi")
-    found = {r.doc_id: r for r in rows.mapInArrow(_features, "doc_id long, shape binary, meta binary, words binary").collect()}
-    order = sorted(i for i in y_of if i in found)
-    pool = [i for i in pool if i in found]
-
-    def views(which):
-        shape = np.array([np.frombuffer(found[i].shape, np.float32) for i in which]).reshape(-1, SHAPE)
-        meta = np.array([np.frombuffer(found[i].meta, np.int64) for i in which], np.int64).reshape(-1, 3)
-        ws = [np.frombuffer(found[i].words, np.uint64) for i in which]
-        row = np.repeat(np.arange(len(which)), [len(w) for w in ws])
-        return shape, meta, row, np.concatenate(ws) if ws else np.zeros(0, np.uint64)
-
-    shape, meta, row, words = views(order)
-    pshape, pmeta, prow, pwords = views(pool)
+    own.drop("labels")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_columns(docs))
+    wanted = spark.createDataFrame([(i,) for i in y_of], "doc_id long")
+    found = {r.doc_id: r for r in rows.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(lean(_features), "doc_id long, shape binary, meta binary, words binary").collect()}
+    order = sorted(found)
+    shape = np.array([np.frombuffer(found[i].shape, np.float32) for i in order]).reshape(-1, SHAPE)
+    meta = np.array([np.frombuffer(found[i].meta, np.int64) for i in order], np.int64).reshape(-1, 3)
+    each = [np.frombuffer(found[i].words, np.uint64) for i in order]
+    same = np.unique(np.array([xxhash.xxh64_intdigest(found[i].words + found[i].shape) for i in order], np.uint64), return_inverse=True)[1]
     found.clear()
-    names = ("quality", "toxic")
+    row, words = np.repeat(np.arange(len(order)), [len(w) for w in each]), np.concatenate(each) if each else np.zeros(0, np.uint64)
     y = np.array([[np.nan if v is None else float(v > 0) for v in y_of[i]] for i in order]).reshape(-1, 2)
     chosen = []
     for k in range(2):
         ok = ~np.isnan(y[:, k])
         use = ok[row]
         chosen.append(_choose(row[use], words[use], np.where(ok, y[:, k], 0), MAX_WORDS // 2) if ok.any() else words[:0])
-    targets = {}
+    targets: dict[str, Target] = {}
     model = Model(np.unique(np.concatenate(chosen)).astype(np.uint64), targets)
     x, one = model.dense(shape, row, words), _one_hot(meta)
-    px, pone = model.dense(pshape, prow, pwords), _one_hot(pmeta)
-    for k, name in enumerate(names):
+    for k, name in enumerate(TARGETS):
         ok = ~np.isnan(y[:, k])
         zeros, ones = sizes[2 * k], sizes[2 * k + 1]
         share = ones / (zeros + ones) if zeros + ones else float(name == "quality")
         targets[name] = Target(share)
         if ok.any():
-            targets[name].train(x[ok], one[ok], y[ok, k], px, pone, share=share)
+            targets[name].begin(x[ok], one[ok], y[ok, k], same[ok], share)
+    active = [t for t in targets.values() if t.trained]
+    if not active:
+        return model
+    features = own.write(rows.mapInArrow(lean(_compact(model.words)), "doc_id long, shape binary, meta binary, words binary"), "features")
+    pseudo = {name: (Rows(x.shape[1]), Rows(META)) for name in TARGETS}
+    for r in range(ROUNDS + 1):
+        for name, t in targets.items():
+            if t.trained:
+                t.fit(pseudo[name])
+        if r < ROUNDS:
+            pseudo = _pseudo_labels(features, model.light(), np.array(order, np.int64))
+    for t in active:
+        t.finish()
+    own.close()
     return model
 
 
-def _scorer(sent, keep: bool, least: float, most: float):
+def _scorer(sent, keep: list[str] | None, names: list[str], least: float, most: float):
+    """names: of text, source, language and length."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = sent.value.score(part.column("__nd_text"), meta_view(*(part.column(c).to_pylist() for c in ("__nd_source", "__nd_lang", "__nd_n_chars"))))
+                got = sent.value.score(part.column(names[0]), meta_view(*(part.column(c).to_pylist() for c in names[1:])))
                 good = (got["p_quality"] >= least) & (got["p_toxic"] <= most)
-                if keep:
-                    part = part.filter(pa.array(good, pa.bool_()))
-                    yield part.select([c for c in part.schema.names if not c.startswith("__nd_")])
+                if keep is not None:
+                    yield part.filter(pa.array(good, pa.bool_())).select(keep)
                 else:
                     cols = [part.column("doc_id"), *(pa.array(np.round(v, 6)) for v in got.values()), pa.array(good, pa.bool_())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *got, "kept"])
@@ -338,23 +478,20 @@ def _scorer(sent, keep: bool, least: float, most: float):
 LEAST_QUALITY, MOST_TOXIC = 0.5, 0.5
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    source, lang, n_chars = _columns(docs)
-    return docs.withColumns({"__nd_text": F.col("text"), "__nd_source": source, "__nd_lang": lang, "__nd_n_chars": n_chars})
-
-
 def score(docs: DataFrame, model: Model, least: float = LEAST_QUALITY, most: float = MOST_TOXIC) -> DataFrame:
     """Per row: doc_id, the views' and the combined probabilities of both targets, kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"{v}_{t}" for t in ("quality", "toxic") for v in ("p_text", "p_meta", "p")]
-    rows = _prepared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_columns(docs))).drop("text", "source", "lang", "n_chars")
-    return rows.mapInArrow(_scorer(sent, False, least, most), "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", kept boolean")
+    names = [f"{v}_{t}" for t in TARGETS for v in ("p_text", "p_meta", "p")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_columns(docs))
+    return rows.mapInArrow(lean(_scorer(sent, None, ["text", "source", "lang", "n_chars"], least, most)), "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = LEAST_QUALITY, most: float = MOST_TOXIC) -> DataFrame:
     """docs without low-quality and toxic documents; all columns of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return _prepared(docs).mapInArrow(_scorer(sent, True, least, most), docs.schema)
+    names = fresh(docs, "text", "source", "lang", "n_chars")
+    rows = docs.withColumns(dict(zip(names, [F.col("text"), *_columns(docs)])))
+    return few_files(rows.mapInArrow(lean(_scorer(sent, docs.columns, names, least, most)), docs.schema))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
