@@ -6,47 +6,54 @@ so the hashes (8 bytes a row, each at most twice a task) are dealt to shards and
 in proportion to the rows, and no task sees more than its share even if one text makes up most rows.
 Pass 2 broadcasts the "seen again" plane. Rows it does not hold are unique for certain and pass straight through; only the others
 are grouped by their full digest. The broadcast has a proven bound: a plane has at most MAX_PLANE_BYTES. Past the rows that fit,
-the hash space is cut into segments, each with a plane of its own, probed one after the other over the narrow table.
+the hash space is cut into segments, each with a plane of its own, probed one after the other over the narrow table's hashes.
 
-Nulls: a null text counts as empty; null ids sort below all others. Rows that repeat id and text: exactly one stays. Empty table:
-no rows. Extra columns pass through keep_latest() untouched and cannot clash, as inner names start with __nd_.
+keep_latest() then knows which rows go, by file and row number, and scans the texts once more without hashing them again: rows that
+go are dropped by a broadcast anti join, in groups of files of which each has no more such rows than may be broadcast. At every
+size texts are in no exchange, and each file is read once by pass 1 and once by pass 2.
+
+Nulls: a null text counts as empty; null ids sort below all others. Rows that repeat id and text: exactly one stays. Very long texts
+are hashed whole. Empty table: no rows. Extra columns pass through keep_latest(); they don't meet inner names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, write_table
+from .common import BROADCAST_ROWS, Scratch, fresh, lean, read, small_side
 
 MAX_PLANE_BYTES = 64 << 20
 BITS_PER_ROW = 16
 PROBES = 4
 SHARD_BYTES = 64 << 10
 
-_HASHED = "__nd_id long, __nd_row long, __nd_sha binary, __nd_h long"
+_HASHED = "__nd_id long, __nd_file long, __nd_row long, __nd_sha binary, __nd_h long"
 
 
 def _digest(batches):
-    """Adds digest and filter hash of __nd_text to every row; the text itself goes unless it is a column of the rows too."""
+    """The narrow row of each text: its digest and filter hash instead of the text."""
     for batch in batches:
         raw = batch.column("__nd_text").cast(pa.large_binary()).to_pylist()
         shas = [hashlib.sha256(b"" if x is None else x.lower()).digest() for x in raw]
         heads = np.frombuffer(b"".join(s[:8] for s in shas), "<i8") if shas else np.zeros(0, np.int64)
-        cols = [c for c in batch.schema.names if c != "__nd_text"]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + [pa.array(shas, pa.binary()), pa.array(heads)], names=[*cols, "__nd_sha", "__nd_h"])
+        cols = [batch.column(c) for c in ("__nd_id", "__nd_file", "__nd_row")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(shas, pa.binary()), pa.array(heads)], names=["__nd_id", "__nd_file", "__nd_row", "__nd_sha", "__nd_h"])
 
 
-def hash_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The narrow table of pass 1, written to the shared folder."""
-    rows = docs.select(F.col(id_col).cast("long").alias("__nd_id"), F.monotonically_increasing_id().alias("__nd_row"), F.col(text_col).alias("__nd_text"))
-    return write_table(rows.mapInArrow(_digest, _HASHED), "exact-hashes", "exact")
+def hash_rows(docs: DataFrame, id_col: str, text_col: str, own: Scratch, file: Column | None = None, row: Column | None = None) -> DataFrame:
+    """The narrow table of pass 1, written to the shared folder. file and row tell rows apart."""
+    file, row = (F.lit(0).cast("long"), F.monotonically_increasing_id()) if file is None else (file, row)
+    rows = docs.select(F.col(id_col).cast("long").alias("__nd_id"), file.alias("__nd_file"), row.alias("__nd_row"), F.col(text_col).alias("__nd_text"))
+    return own.write(rows.mapInArrow(lean(_digest), _HASHED), "hashes")
 
 
 def _positions(h: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +135,11 @@ class BloomPlanes:
                 plane[row.shard * SHARD_BYTES : (row.shard + 1) * SHARD_BYTES] = np.frombuffer(row.plane, np.uint8)
             self.planes.append(spark.sparkContext.broadcast(plane))
 
-    def flag(self, rows: DataFrame, first=None, fields: tuple = ()) -> DataFrame:
-        """rows with __nd_maybe; one pass for each segment, each row in exactly one of them. `first` is a step on the batches that
-        runs in the same worker and replaces the rows' columns by `fields`."""
-        schema = T.StructType([*(fields or rows.schema.fields), T.StructField("__nd_maybe", T.BooleanType())])
-        out = None
-        for segment, plane in enumerate(self.planes):
-            probe = _probe(plane, self.shards, self.bits, segment, self.segments)
-            part = rows.mapInArrow((lambda batches, probe=probe: probe(first(batches))) if first else probe, schema)
-            out = part if out is None else out.unionByName(part)
-        return out
+    def flag(self, rows: DataFrame) -> DataFrame:
+        """rows with __nd_maybe; one pass for each segment, each row in exactly one of them."""
+        schema = T.StructType([*rows.schema.fields, T.StructField("__nd_maybe", T.BooleanType())])
+        parts = [rows.mapInArrow(_probe(plane, self.shards, self.bits, segment, self.segments), schema) for segment, plane in enumerate(self.planes)]
+        return reduce(DataFrame.unionByName, parts)
 
 
 def _segment_of(h, segments: int):
@@ -146,23 +148,27 @@ def _segment_of(h, segments: int):
     return ((high % segments) * ((1 << 32) % segments) + low % segments) % segments
 
 
-def _groups(flagged: DataFrame) -> DataFrame:
+def _groups(maybe: DataFrame) -> DataFrame:
     """Digest, size and staying row of each text that occurs more than once, from the rows that the filter lets through."""
-    best = F.max(F.struct("__nd_id", "__nd_row"))
-    return flagged.filter("__nd_maybe").groupBy("__nd_sha").agg(best.alias("__nd_best"), F.count(F.lit(1)).alias("__nd_n")).filter("__nd_n > 1")
+    best = F.max(F.struct("__nd_id", "__nd_file", "__nd_row"))
+    return maybe.groupBy("__nd_sha").agg(best.alias("__nd_best"), F.count(F.lit(1)).alias("__nd_n")).filter("__nd_n > 1")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_plane_bytes: int = MAX_PLANE_BYTES) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256. Texts never move; unique rows take part in no exchange."""
-    hashed = hash_rows(docs, id_col, text_col)
+    own = Scratch("exact")
+    hashed = hash_rows(docs, id_col, text_col, own)
     flagged = BloomPlanes(hashed, max_plane_bytes).flag(hashed)
-    maybe = flagged.filter("__nd_maybe").join(_groups(flagged), "__nd_sha", "left")
+    maybe = flagged.filter("__nd_maybe")
+    groups = own.write(_groups(maybe), "groups")
+    own.leave("hashes", "groups")
+    maybe = maybe.join(small_side(groups, BROADCAST_ROWS // 4), "__nd_sha", "left")
     alone = flagged.filter("NOT __nd_maybe")
     sha = F.lower(F.hex("__nd_sha")).alias("text_sha256")
-    own = F.col("__nd_id").alias("doc_id")
-    return alone.select(own, F.col("__nd_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha).unionByName(
+    doc_id = F.col("__nd_id").alias("doc_id")
+    return alone.select(doc_id, F.col("__nd_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha).unionByName(
         maybe.select(
-            own,
+            doc_id,
             F.when(F.col("__nd_n").isNull(), F.col("__nd_id")).otherwise(F.col("__nd_best.__nd_id")).alias("keep_id"),
             F.coalesce("__nd_n", F.lit(1)).cast("long").alias("group_size"),
             F.coalesce(F.col("__nd_best.__nd_row") == F.col("__nd_row"), F.lit(True)).alias("kept"),
@@ -171,26 +177,41 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     )
 
 
-def keep_latest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_plane_bytes: int = MAX_PLANE_BYTES) -> DataFrame:
-    """docs with only the row of the largest id of each text; all columns of docs.
-
-    Rows that the filter doesn't hold pass straight from the scan to the result. Past the rows that one plane serves, the digests
-    of all rows are joined instead: reading the texts once for each segment would cost more than that exchange.
-    """
-    columns = docs.columns
-    hashed = hash_rows(docs, id_col, text_col)
-    planes = BloomPlanes(hashed, max_plane_bytes)
-    groups = write_table(_groups(planes.flag(hashed)), "exact-groups", "exact")
-    named = [F.col(f"`{c}`") for c in columns]
-    schema = T.StructType([*docs.schema.fields, T.StructField("__nd_sha", T.BinaryType()), T.StructField("__nd_h", T.LongType())])
-    rows = docs.withColumn("__nd_text", F.col(text_col))
-    one_pass = planes.segments == 1
-    flagged = planes.flag(rows, _digest, tuple(schema.fields)) if one_pass else rows.mapInArrow(_digest, schema).withColumn("__nd_maybe", F.lit(True))
-    joined = flagged.filter("__nd_maybe").join(groups, "__nd_sha", "left")
-    alone = joined.filter("__nd_n IS NULL").select(*named)
-    best = joined.filter(F.col("__nd_n").isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("__nd_best.__nd_id"))).dropDuplicates(["__nd_sha"]).select(*named)
-    out = best.unionByName(alone)
-    return flagged.filter("NOT __nd_maybe").select(*named).unionByName(out) if one_pass else out
+def _place_of(docs: DataFrame) -> tuple[Column, Column] | None:
+    """File and row number of each row, where docs is a scan of Parquet files."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        place = F.xxhash64(at["file_path"]), at["row_index"]
+        docs.select(*place)
+        return place
+    except AnalysisException:
+        return None
+
+
+def keep_latest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_plane_bytes: int = MAX_PLANE_BYTES, most: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with only the row of the largest id of each text; all columns of docs. What is no plain scan of Parquet files is written
+    to the shared folder first, as rows are told apart by file and row number. `most`: rows that go broadcast at once."""
+    own = Scratch("exact")
+    if _place_of(docs) is None:
+        docs = own.write(docs, "docs")
+        own.leave("docs")
+    file, row = _place_of(docs)
+    hashed = hash_rows(docs, id_col, text_col, own, file, row)
+    maybe = BloomPlanes(hashed, max_plane_bytes).flag(hashed).filter("__nd_maybe")
+    groups = own.write(_groups(maybe), "groups")
+    stays = F.struct("__nd_id", "__nd_file", "__nd_row").eqNullSafe(F.col("__nd_best"))
+    gone = own.write(maybe.join(small_side(groups, BROADCAST_ROWS // 4), "__nd_sha").filter(~stays).select("__nd_file", "__nd_row"), "gone")
+    own.leave("gone")
+    own.close()
+    f, r = fresh(docs, "file", "row")
+    of = -(-gone.count() // most) or 1
+    parts = []
+    for k in range(of):
+        part, losers = docs, gone.select(F.col("__nd_file").alias(f), F.col("__nd_row").alias(r))
+        if of > 1:
+            part, losers = docs.filter(F.pmod(file, F.lit(of)) == k), losers.filter(F.pmod(F.col(f), F.lit(of)) == k)
+        parts.append(part.withColumns({f: file, r: row}).join(F.broadcast(losers) if of == 1 else small_side(losers, 2 * most), [f, r], "left_anti"))
+    return reduce(DataFrame.unionByName, parts).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

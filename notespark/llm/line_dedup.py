@@ -2,13 +2,15 @@
 
 The lines of a document are hashed in windows of WINDOW consecutive lines; windows that occur again anywhere are found by one
 aggregation on the hash, which also gives the first occurrence (smallest document, then position). Every later occurrence covers
-its lines; covered positions merge, and covered lines go. Only hashes and positions are exchanged before the last step, each
-window at most once a document after map-side combining, so a passage in most documents stays one row a task.
+its lines; covered positions merge, and covered lines go. Windows are written once (hashes and positions only) and aggregated with
+partial sums, so that a passage in most documents is one row a task there; the repeated ones, one row a passage, are then joined to
+the windows as a written table: broadcast below a checked size, else by an exchange whose hot keys Spark can split. Texts are
+joined to the positions that go, in the same way, so that they are in no exchange where few documents have any.
 
 Lines end at line feeds. Blank lines count as lines, but a window of blank lines only is never a repetition. A null text counts as
-empty (one empty line); documents of fewer than three lines have no window. Documents are told apart by id and text: rows that
+empty (one empty line); documents of fewer than three lines have no window; very long texts are taken whole. Documents are told apart by id and text: rows that
 repeat both are one document and all treated as the first. Null ids come before all others. Empty table: no rows. Extra columns
-pass through drop_repeated() and cannot clash.
+pass through drop_repeated(); inner names avoid theirs.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import BROADCAST_ROWS, Scratch, fresh, let, read, small_side
 
 WINDOW = 3
 
@@ -27,11 +29,11 @@ def lines_of(text: Column) -> Column:
 
 def _key(id_col: str, text_col: str) -> list[Column]:
     """Document id and a 128-bit digest of the text."""
-    return [F.col(id_col).cast("long").alias("__nd_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__nd_md")]
+    return [F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("md")]
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__nd_id, __nd_md, pos, h): the windows of each document, pos from 0."""
+    """(id, md, pos, h): the windows of each document, pos from 0."""
     lines = docs.select(*_key(id_col, text_col), lines_of(F.col(text_col)).alias("ls")).filter(F.size("ls") >= WINDOW)
 
     def one(i: Column) -> Column:
@@ -41,25 +43,31 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.when(F.concat(*[F.trim(p) for p in parts]) != "", F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(7), joined).alias("b")))
 
     every = F.transform(F.sequence(F.lit(0), F.size("ls") - WINDOW), one)
-    return lines.select("__nd_id", "__nd_md", F.posexplode(every).alias("pos", "h")).filter("h IS NOT NULL")
+    return lines.select("id", "md", F.posexplode(every).alias("pos", "h")).filter("h IS NOT NULL")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__nd_id, __nd_md, __nd_cut): per document with later occurrences, the merged covered positions, sorted."""
-    w = windows(docs, id_col, text_col)
-    place = F.struct("__nd_id", "__nd_md", "pos")
-    firsts = w.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    later = w.join(firsts.select("h", "first"), "h").filter(place != F.col("first"))
+    """(id, md, cut): per document with later occurrences, the merged covered positions, sorted."""
+    own = Scratch("lines")
+    w = own.write(windows(docs, id_col, text_col), "windows")
+    place = F.struct("id", "md", "pos")
+    firsts = own.write(w.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h", "first"), "firsts")
+    later = w.join(small_side(firsts, BROADCAST_ROWS // 4), "h").filter(place != F.col("first"))
     cover = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + (WINDOW - 1))))))
-    return later.groupBy("__nd_id", "__nd_md").agg(cover.alias("__nd_cut"))
+    out = own.write(later.groupBy("id", "md").agg(cover.alias("cut")), "cuts")
+    own.leave("cuts")
+    own.close()
+    return out
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs plus __nd_cut, the positions of the lines that go (empty array if none)."""
-    cut = repeated(docs, id_col, text_col)
-    keyed = docs.select("*", *[k.alias(k_name) for k, k_name in zip(_key(id_col, text_col), ("__nd_i", "__nd_m"))])
-    joined = keyed.join(cut, keyed["__nd_i"].eqNullSafe(cut["__nd_id"]) & (keyed["__nd_m"] == cut["__nd_md"]), "left")
-    return joined.drop("__nd_i", "__nd_m", "__nd_id", "__nd_md").withColumn("__nd_cut", F.coalesce("__nd_cut", F.array().cast("array<int>")))
+def mark(docs: DataFrame, cut_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs plus cut_col, the positions of the lines that go (empty array if none)."""
+    i, m = fresh(docs, "id", "md")
+    cut = repeated(docs, id_col, text_col).select(F.coalesce("id", F.lit(0)).alias(i), F.col("id").isNull().alias(m + "n"), F.col("md").alias(m), F.col("cut").alias(cut_col))
+    own_id, md = _key(id_col, text_col)
+    keyed = docs.withColumns({i: F.coalesce(own_id, F.lit(0)), m + "n": own_id.isNull(), m: md})
+    joined = keyed.join(small_side(cut, BROADCAST_ROWS, 8 + F.size(cut_col)), [i, m + "n", m], "left")
+    return joined.drop(i, m + "n", m).withColumn(cut_col, F.coalesce(cut_col, F.array().cast("array<int>")))
 
 
 def kept_lines(text: Column, cut: Column) -> Column:
@@ -74,19 +82,20 @@ def kept_lines(text: Column, cut: Column) -> Column:
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the covered lines removed from the text; all columns and all rows of docs."""
     columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    marked = mark(docs, id_col, text_col)
-    text = F.array_join(kept_lines(F.col(text_col), F.col("__nd_cut")), "\n")
+    (cut,) = fresh(docs, "cut")
+    marked = mark(docs, cut, id_col, text_col)
+    text = F.array_join(kept_lines(F.col(text_col), F.col(cut)), "\n")
     return marked.select(*columns, text.alias(text_col)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mark(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.array_join(kept_lines(F.col("text"), F.col("__nd_cut")), "\n")
+    docs = mark(read(spark, sf_dir, "documents").select("doc_id", "text"), "cut")
+    kept = F.array_join(kept_lines(F.col("text"), F.col("cut")), "\n")
     return docs.select(
         "doc_id",
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        F.size("__nd_cut").cast("long").alias("n_removed"),
-        F.array_join("__nd_cut", ",").alias("removed_lines"),
+        F.size("cut").cast("long").alias("n_removed"),
+        F.array_join("cut", ",").alias("removed_lines"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from notespark.llm import decontaminate, exact_dedup, hashing, line_dedup, near_dedup
+from notespark.llm import common, decontaminate, exact_dedup, hashing, line_dedup, near_dedup
 
 DOCS = "doc_id long, text string, row int"
 
@@ -175,7 +175,7 @@ def test_exact_dedup_segments(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 2000)
     rows = [(i, f"t{i % 700}") for i in range(1000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], DOCS)
-    planes = exact_dedup.BloomPlanes(exact_dedup.hash_rows(df, "doc_id", "text"), exact_dedup.SHARD_BYTES)
+    planes = exact_dedup.BloomPlanes(exact_dedup.hash_rows(df, "doc_id", "text", common.Scratch("t")), exact_dedup.SHARD_BYTES)
     assert planes.segments > 1
     got = {x.doc_id: (x.keep_id, x.group_size, x.kept, x.text_sha256) for x in exact_dedup.annotate(df, max_plane_bytes=exact_dedup.SHARD_BYTES).collect()}
     assert got == brute_exact(rows)
@@ -189,6 +189,34 @@ def test_exact_dedup_ties(spark):
     assert exact_dedup.annotate(df.limit(0)).count() == 0 and exact_dedup.keep_latest(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_moves_no_texts(spark, monkeypatch):
+    """Several planes and several groups of files: every file is read, and no exchange holds a text."""
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 2000)
+    rows = [(i, f"t{i % 700}", 0) for i in range(1000)]
+    path = common.new_path(spark, "t")
+    spark.createDataFrame(rows, DOCS).repartition(7).write.parquet(path)
+    out = exact_dedup.keep_latest(spark.read.parquet(path), max_plane_bytes=exact_dedup.SHARD_BYTES, most=100)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(300, 1000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") >= 6 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "MapInArrow" not in plan
+
+
+def test_clashing_names(spark):
+    names = ["__nd_id", "__nd_sha", "__nd_digest", "__nd_file", "__nd_row", "__nd_text", "__nd_i", "__nd_m", "__nd_md", "__nd_cut", "__nd_maybe", "comp", "key"]
+    rows = [(1, "a\nb\nc d e f g"), (1, "a\nb\nc d e f g"), (2, "A\nb\nc d e f g"), (3, None), (4, "")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for f, n in ((exact_dedup.keep_latest, 2), (near_dedup.keep_first, 3), (line_dedup.drop_repeated, 5)):
+        out = f(df)
+        assert out.columns == df.columns and out.count() == n, f
+        assert {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(names)))}
+
+
+def test_near_dedup_keeps_one_row_a_component(spark):
+    same = "a b c d e f g h i j k l m n o p q r s t"
+    df = spark.createDataFrame([(1, same, 1), (1, same, 2), (2, same.upper(), 3), (1, same + " u", 4), (7, "z y x w v", 5), (7, "z y x w v", 6)], DOCS)
+    assert sorted((r.doc_id, r.text.split()[-1] in "tu") for r in near_dedup.keep_first(df).collect()) == [(1, True), (7, False)]
+
+
 # --- decontamination
 
 
