@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's docs. All but
 the last return the columns of documents. When a stage starts, its predecessor has been written, so the tables in the shared folder
 that only the predecessor needed are deleted.
+
+Nulls: null texts count as empty, are nobody's near copy and hold no benchmark item; rows without an id are kept by near dedup. Ties
+and repeated rows: of rows that repeat both id and text exactly one leaves exact dedup. Very long texts go through whole. Empty
+table: no rows, with the columns of the stage. Extra columns pass through all stages but the last; inner names avoid theirs.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from notespark.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from notespark.llm.common import new_path, read, release
+from notespark.llm.common import few_files, new_path, read, release
 from notespark.session import ready
 
 
@@ -23,7 +27,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row of the largest id stays."""
     ready(spark)
-    return exact_dedup.keep_latest(docs)
+    return few_files(exact_dedup.keep_latest(docs))
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,8 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 of a benchmark item's 5-word shingles go."""
     ready(spark)
-    release("near-drop")
-    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    release("near")
+    return few_files(decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark")))
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
