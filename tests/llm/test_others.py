@@ -52,6 +52,15 @@ def test_events_are_folded(spark):
     assert got == [("a", 1, "user", "hey"), ("a", 2, "assistant", "Good day"), ("b", 1, "user", "x")]
 
 
+def test_table_events_have_all_kinds(spark, small):
+    rows = common.read(spark, small, "conversations")
+    events = chat.table_events(rows).cache()
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "edit", "start", "delta", "regenerate"}
+    got = sorted((r.conv_id, r.role, r.text) for r in chat.fold(events).collect())
+    assert got == sorted((r.conv_id, r.role or "", r.text or "") for r in rows.collect())
+    events.unpersist()
+
+
 def test_repeated_rows_are_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")] * 3 + [(1, 0, "assistant", "a")], CONV)
     turns = chat.render(chat.fold(chat.table_events(df))).select(chat.parse(F.col("formatted")).alias("t")).first().t
@@ -125,19 +134,35 @@ def test_licence_scan_equals_plain_scoring(spark, small):
     got = licences.scan(docs, model=m).collect()
     import re
 
+    def judged(text):
+        p = m.probabilities(text)
+        family, sure = max(((k, v) for k, v in p.items() if k != licences.UNKNOWN), key=lambda x: x[1])
+        return family if sure >= m.least else licences.UNKNOWN, round(sure, 3)
+
     want = []
     for d in docs.collect():
-        for i, line in enumerate((d.text or "").split("\n")):
-            if re.search(licences.ANCHORS, line, re.I):
-                p = m.probabilities(line)
-                family, sure = max(((k, v) for k, v in p.items() if k != licences.UNKNOWN), key=lambda x: x[1])
-                want.append((d.doc_id, i, family if sure >= m.least else licences.UNKNOWN, round(sure, 3)))
-    assert sorted((r.doc_id, r.paragraph, r.family, round(r.probability, 3)) for r in got) == sorted(want)
+        ls = (d.text or "").split("\n")
+        blank = [-1, *[i for i, x in enumerate(ls) if not x.strip(" ")], len(ls)]
+        whole = [(a + 1, b - a - 1, " ".join(ls[a + 1 : b])) for a, b in zip(blank, blank[1:]) if b - a > 2]
+        want += [(d.doc_id, i, n, *judged(t)) for i, n, t in [*((i, 1, x) for i, x in enumerate(ls)), *whole] if re.search(licences.ANCHORS, t, re.I)]
+    assert sorted((r.doc_id, r.paragraph, r.lines, r.family, round(r.probability, 3)) for r in got) == sorted(want)
     assert all(r.confirmed for r in got if r.doc_id == -3) and licences.scan(docs.limit(0), model=m).count() == 0
     plan = licences._score(spark.createDataFrame([("a", "MIT license")], "md string, paragraph string"), m)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_wrapped_notice_is_judged_whole(spark):
+    wrapped = "Intro line.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met\n \nlast"
+    got = licences.scan(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).filter("lines > 1").collect()
+    assert [(r.paragraph, r.lines, r.family, r.confirmed) for r in got] == [(2, 3, "BSD", True)]
+
+
+def test_licence_bound_holds_on_unseen_notices():
+    """Calibration is on notices that the fit has not seen: the bound is above what a calibration on seen ones gives."""
+    m = licences.train()
+    assert 0.3 <= m.least <= 0.9 and m.temperature > 0.25
+
+
 # --- quality
 
 
