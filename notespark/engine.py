@@ -4,48 +4,119 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ports
+from . import ports, schemas
 from .functions.dates import note_date
 from .functions.globs import path_matches
 from .operators import indexing, jobs, search
 from .plans import agent, chat
 from .session import ready
 from .sources import markdown
-from .sources.store import Store
+from .sources.store import Conflict, Store
+
+
+QUEUE = "index"
+MAX_POISON = 20  # notes that may fail in one batch before the batch itself is taken for broken
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str, embedder=None, summarizer=None, model=None, planner=None, daily_globs: list[str] | None = None, date_pattern: str = "YYYY-MM-DD"):
+    def __init__(
+        self, spark: SparkSession, base: str, embedder=None, summarizer=None, model=None, planner=None, daily_globs: list[str] | None = None, date_pattern: str = "YYYY-MM-DD", max_retries: int = jobs.MAX_RETRIES,
+    ):
         self.spark, self.started = ready(spark), time.time()
         self.embedder, self.summarizer = embedder or ports.HashEmbedder(), summarizer or ports.LeadSummarizer()
-        self.model, self.planner = model or ports.EchoChat(), planner
+        self.model, self.planner, self.max_retries = model or ports.EchoChat(), planner, max_retries
         self.store = Store(spark, base, self.embedder.dimension)
         self.daily_globs, self.date_pattern = daily_globs or [], date_pattern
+        with self.store.transaction():  # what a run that died was processing waits again
+            queue = self.store.read("queue_items").filter("status = 'processing'")
+            if not queue.isEmpty():
+                self.store.replace("queue_items", jobs.reclaim(queue), keys=["id"])
 
     # --- indexing
 
     def index(self, files: DataFrame, deleted: DataFrame | None = None, force: bool = False, prune: bool = False) -> dict:
-        """files(path, content, hash): deletes, skips and indexes; returns the counts of the run."""
+        """files(path, content, hash): deletes, skips, and indexes what is left by way of the queue; returns the counts of the run, with `dead`, the
+        notes that failed too often, where there are any."""
         run = uuid.uuid4().hex
         scratch = f"{self.store.base}/_run/{run}"
         # the plan is of the store as it is now, so it is written before anything changes
         indexing.plan(files, self.store.read("note_meta"), deleted, force, prune).write.parquet(f"{scratch}/plan")
         planned = self.spark.read.parquet(f"{scratch}/plan")
         counts = indexing.run_counts(planned).first().asDict()
-        todo = indexing.jobs(files, planned, run)
-        gone = planned.filter("action = 'deleted'").select(F.col("path").alias("note_id"))
         if counts["enqueued"]:
-            self._process(todo, scratch)
+            indexing.jobs(files, planned, run).write.parquet(f"{scratch}/jobs")
+            todo = self.spark.read.parquet(f"{scratch}/jobs")
+            with self.store.transaction():
+                payload = F.to_json(F.struct(F.col("note_id").alias("path"), F.col("content_hash").alias("hash")))
+                items = todo.select(F.col("job_id").alias("id"), F.lit(QUEUE).alias("queue_name"), payload.alias("payload"))
+                empty = self.spark.createDataFrame([], schemas.QUEUE)
+                self.store.append("queue_items", jobs.enqueue(empty, items))
+                self.store.append("job_steps", self._steps(todo, "queued", 0))
+            if dead := self._drain(todo, scratch):
+                counts["dead"] = dead
         if counts["deleted"]:
-            self.store.delete_notes(gone)
+            self.store.delete_notes(planned.filter("action = 'deleted'").select(F.col("path").alias("note_id")))
         fs, path = self.store._fs()
         fs.delete(path(scratch), True)
         return {"run_id": run, **counts}
 
+    @staticmethod
+    def _steps(todo: DataFrame, step: str, retries: int, error: str | None = None) -> DataFrame:
+        return todo.select("job_id", F.col("note_id").alias("note_path"), F.lit(step).alias("current_step"), "content_hash", F.lit(retries).alias("retry_count"), F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("updated_at"))
+
+    def _drain(self, todo: DataFrame, scratch: str) -> int:
+        """Runs the jobs of this run until none is pending; a job that fails is tried again up to max_retries times."""
+        wave, retries, dead, waiting = todo, 0, 0, True
+        while waiting:
+            failed: list[tuple[DataFrame, str]] = []
+            done = self._attempt(wave, scratch, failed)
+            with self.store.transaction():
+                moved = []
+                for rows in done:
+                    moved.append((rows, "completed", "embedded", None))
+                for rows, error in failed:
+                    state, n = jobs.move(jobs.fail("parsing"), "queued", retries, self.max_retries)
+                    moved.append((rows, "dead_letter" if state == "dead_letter" else "pending", state, error))
+                for rows, status, state, error in moved:
+                    ids = rows.select(F.col("job_id").alias("id"))
+                    items = self.store.read("queue_items").join(ids, "id", "left_semi")
+                    items = items.withColumns({"status": F.lit(status), "retry_count": F.col("retry_count") + F.lit(int(error is not None)), "error_message": F.lit(error).cast("string"), "updated_at": F.current_timestamp()})
+                    self.store.replace("queue_items", items, keys=["id"])
+                    self.store.replace("job_steps", self._steps(rows, state, retries + int(error is not None), error), keys=["job_id"])
+                    detail = F.lit(error).cast("string").alias("detail")
+                    self.store.append("progress_events", rows.select("job_id", "run_id", F.col("note_id").alias("note_path"), F.lit("failed" if error else "embedded").alias("step"), F.lit(status).alias("status"), detail, F.current_timestamp().alias("at")))
+            again = [rows for rows, _ in failed] if failed and jobs.move("failed", "queued", retries, self.max_retries)[0] == "queued" else []
+            dead += 0 if again else len(failed)
+            retries, waiting = retries + 1, bool(again)
+            wave = reduce(DataFrame.unionByName, again) if again else wave
+        return dead
+
+    def _attempt(self, todo: DataFrame, scratch: str, failed: list, depth: int = 0) -> list[DataFrame]:
+        """Processes todo as a whole. If that fails, halves of it, down to the notes that fail; returns what went through. What a failed
+        attempt has written is never committed."""
+        try:
+            with self.store.transaction():
+                self._process(todo, f"{scratch}/{uuid.uuid4().hex[:12]}")
+            return [todo]
+        except Conflict:
+            raise
+        except Exception as e:
+            if todo.count() == 1:
+                failed.append((todo, str(e).strip().split("\n")[-1][:500]))
+                if len(failed) > MAX_POISON:
+                    raise
+                return []
+            bit = F.shiftright(F.xxhash64("job_id"), depth).bitwiseAND(F.lit(1))
+            parts = [p for p in (todo.filter(bit == b) for b in (0, 1)) if not p.isEmpty()]
+            if depth > 60:
+                raise
+        return [x for p in parts for x in self._attempt(p, scratch, failed, depth + 1)]
+
     def _process(self, todo: DataFrame, scratch: str) -> None:
         parsed_at, n = f"{scratch}/parsed", [0]
         markdown.parse(todo).write.parquet(parsed_at)  # parsed once, read by the four tables
@@ -64,24 +135,27 @@ class Engine:
             return self.spark.read.parquet(f"{scratch}/summaries{n[0]}")
 
         had = self.store.read("summaries")
-        missing = indexing.non_leaves(current).select("id").join(had.select(F.col("node_id").alias("id")), "id", "left_anti")
-        wanted = self.spark.read.parquet(dirty_at).unionByName(missing).distinct()
-        made = indexing.summarize(current, wanted, had, self.summarizer, write)
+        changed = self.spark.read.parquet(dirty_at).withColumn("changed", F.lit(True))
+        said = had.select(F.col("node_id").alias("id"), "summary", "prompt_version", "generated_at")
+        judged = indexing.non_leaves(current).select("id").join(changed, "id", "left").join(said, "id", "left")
+        # a text that changes makes its node dirty, so a summary is never older than a clean node
+        stands = indexing.may_skip(F.coalesce("changed", F.lit(False)), F.col("summary"), F.col("prompt_version"), F.col("generated_at"), F.col("generated_at"))
+        made = indexing.summarize(current, judged.filter(~stands).select("id"), had, self.summarizer, write)
         self.store.upsert_summaries(made)
         content = indexing.need_content_vector(current, self.store.read("embeddings")).select("id", F.col("content").alias("text"), "content_hash")
         self.store.upsert_embeddings(indexing.embedded(content, self.embedder, "content"))
-        said = indexing.need_summary_vector(current, self.store.read("summaries"), self.store.read("embeddings"))
-        self.store.upsert_embeddings(indexing.embedded(said, self.embedder, "summary"))
+        told = indexing.need_summary_vector(current, self.store.read("summaries"), self.store.read("embeddings"))
+        self.store.upsert_embeddings(indexing.embedded(told, self.embedder, "summary"))
         gate = path_matches(F.col("note_id"), self.daily_globs) if self.daily_globs else F.lit(True)
         counts = indexing.node_counts(current)
         meta = todo.select("note_id", F.col("note_id").alias("vault_path"), "content_hash", F.current_timestamp().alias("indexed_at"), note_date(F.col("note_id"), gate, self.date_pattern).alias("note_date"))
-        self.store.upsert_note_meta(meta.join(counts, "note_id"))  # last: a run that fails before is planned again
+        self.store.upsert_note_meta(meta.join(counts, "note_id"))
 
     # --- reading
 
     def corpus(self) -> search.Corpus:
-        posted, stats = self.store.rebuild_postings()
-        return search.Corpus(self.store.with_meta(), self.store.read("embeddings"), self.store.read("summaries"), self.store.read("tags"), posted, stats)
+        s = self.store
+        return search.Corpus(s.with_meta(), s.read("embeddings"), s.read("summaries"), s.read("tags"), s.read("postings"), s.stats())
 
     def search(self, request: search.SearchRequest) -> DataFrame:
         return search.search(self.corpus(), request, lambda q: self.embedder.embed([q])[0])
@@ -92,10 +166,11 @@ class Engine:
 
     def chat_context(self, request: chat.ChatRequest) -> DataFrame:
         """The ranked rows that a chat turn would use."""
+        request = chat.with_filters(request)
         return chat.stitch(self.search(chat.to_search(request)), chat.stitch_limit(request.stitch_tokens))
 
     def status(self) -> DataFrame:
-        return jobs.status(self.store.read("queue_items"), self.store.read("job_steps"), "index")
+        return jobs.status(self.store.read("queue_items"), self.store.read("job_steps"), QUEUE)
 
     def health(self) -> dict:
         return {"status": "ok", "uptime_s": time.time() - self.started, "db_ready": self.store.meta("embedding_dimension") is not None}

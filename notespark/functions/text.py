@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -196,14 +197,37 @@ def cross_refs(content: Column, note_dir: Column) -> Column:
 # --- keyword terms
 
 
+def _folded() -> tuple[str, str]:
+    """Lower-case letters that are an ASCII letter with marks, those letters, and the combining marks, which go."""
+    pairs = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFD", c.lower())
+        if marks and base.isascii() and base.isalpha() and all(map(unicodedata.combining, marks)):
+            pairs[c.lower()] = base
+    return "".join(pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(pairs.values())
+
+
+_FROM, _TO = _folded()
+_FOLD = str.maketrans(_FROM[: len(_TO)], _TO, _FROM[len(_TO) :])
+
+
+def fold_marks(c: Column) -> Column:
+    """Lower case, without accents: `Café` and `cafe` are one term."""
+    return F.translate(F.lower(c), _FROM, _TO)
+
+
+def python_fold(text: str) -> str:
+    return text.lower().translate(_FOLD)
+
+
 def terms(c: Column) -> Column:
-    """All terms of a text, lower-cased, in order."""
-    return F.filter(F.split(F.lower(c), r"[^0-9a-z\u0080-\uffff]+"), lambda t: t != "")
+    """All terms of a text, lower-cased and without accents, in order."""
+    return F.filter(F.split(fold_marks(c), r"[^0-9a-z\u0080-\uffff]+"), lambda t: t != "")
 
 
 def query_terms(c: Column) -> Column:
     """Distinct terms that are no operator words, the first MAX_TERMS."""
-    words = F.filter(F.split(F.lower(c), r"[^0-9a-z\u0080-\uffff]+"), lambda t: (t != "") & ~t.isin(*OPERATORS))
+    words = F.filter(F.split(fold_marks(c), r"[^0-9a-z\u0080-\uffff]+"), lambda t: (t != "") & ~t.isin(*OPERATORS))
     return F.slice(F.array_distinct(words), 1, MAX_TERMS)
 
 

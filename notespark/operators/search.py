@@ -72,7 +72,7 @@ def python_terms(query: str) -> list[str]:
     """The keyword terms of a query, as query_terms has them."""
     import re
 
-    words = [w for w in re.split(r"[^0-9a-z\u0080-\uffff]+", query.lower()) if w and w not in T.OPERATORS]
+    words = [w for w in re.split(r"[^0-9a-z\u0080-\uffff]+", T.python_fold(query)) if w and w not in T.OPERATORS]
     return list(dict.fromkeys(words))[: T.MAX_TERMS]
 
 

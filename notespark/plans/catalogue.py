@@ -82,7 +82,7 @@ def top(rows: DataFrame, score: str) -> DataFrame:
     return rows.withColumn(score, F.round(score, 6))
 
 
-BM25 = f"""terms AS (SELECT id, type, list_filter(string_split_regex(lower(content), '[^0-9a-z\\x{{80}}-\\x{{ffff}}]+'), lambda t: t <> '') AS ts FROM nodes),
+BM25 = f"""terms AS (SELECT id, type, list_filter(string_split_regex(strip_accents(lower(content)), '[^0-9a-z\\x{{80}}-\\x{{ffff}}]+'), lambda t: t <> '') AS ts FROM nodes),
 stats AS (SELECT count(*) AS docs, avg(len(ts)) AS al FROM terms WHERE len(ts) > 0),
 posted AS (SELECT id, type, len(ts) AS length, unnest(ts) AS term FROM terms),
 hits AS (SELECT id, type, length, term, count(*) AS tf FROM posted WHERE term IN ({", ".join(f"'{w}'" for w in WORDS)}) GROUP BY ALL),
@@ -207,7 +207,7 @@ def q11(read):
     return read("documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("q12_terms", "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^0-9a-z\\x{80}-\\x{ffff}]+'), lambda t: t NOT IN ('', 'and', 'or', 'not', 'near')))), ' ') AS terms FROM benchmark")
+@query("q12_terms", "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(strip_accents(lower(text)), '[^0-9a-z\\x{80}-\\x{ffff}]+'), lambda t: t NOT IN ('', 'and', 'or', 'not', 'near')))), ' ') AS terms FROM benchmark")
 def q12(read):
     words = F.array_distinct(F.filter(T.terms(F.col("text")), lambda t: ~t.isin(*T.OPERATORS)))
     return read("benchmark").select("item_id", F.array_join(F.array_sort(words), " ").alias("terms"))

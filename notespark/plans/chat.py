@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import queue
 import re
+import threading
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from datetime import date, timedelta
+from dataclasses import dataclass, field, replace
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.dates import resolve_range, strip_phrase
+from ..functions.dates import days_back, resolve_range, strip_phrase
 from ..functions.text import chat_tags, stitch_limit
 from ..operators.search import SearchRequest, stitch, stitched_context
 from . import agent
 
 PROMPT_BUDGET = 1200
-CONTEXT_PREFIX = "Vault context (use only this material for answering):\n"
+CONTEXT_PREFIX = "Notes found for this question:\n"
 POLICY = "Answer only from the vault context given in this conversation. Name the notes you used. If the context does not answer the question, say so; do not use other knowledge."
 NO_EVIDENCE = "The indexed notes do not hold enough evidence to answer this."
 TIMEOUT_S = 30.0
@@ -101,7 +103,7 @@ def parse_input(raw: str, today: date) -> dict:
     start, end = (re.findall(rf"\b{w}:(\d{{4}}-\d{{2}}-\d{{2}})\b", s)[-1:] for w in ("since", "before"))
     s = re.sub(r"\b(?:since|before):\d{4}-\d{2}-\d{2}\b", " ", s)
     if days := re.findall(r"(?i)\blast:(\d+)d\b", s):
-        start = [(today - timedelta(days=int(days[-1]))).isoformat()]
+        start = [days_back(today, int(days[-1])).isoformat()]
         s = re.sub(r"(?i)\blast:\d+d\b", " ", s)
     out["text"] = re.sub(r"\s+", " ", s).strip()
     for k, v in (("path_globs", paths), ("tags", tags), ("start", start), ("end", end)):
@@ -124,14 +126,47 @@ def chat_filters(raw: Column) -> dict[str, Column]:
     }
 
 
+POLL_S = 0.05
+
+
 def guarded(stream: Iterator[str], timeout_s: float = TIMEOUT_S, stop=None, clock=time.monotonic) -> Iterator[str]:
-    """The stream until its deadline or until stop() says so, then a quiet end. The return value tells whether it was cut."""
-    end = clock() + timeout_s
-    for piece in stream:
-        if clock() > end or (stop and stop()):
-            return True
-        yield piece
-    return False
+    """The stream until its deadline or until stop() says so, then a quiet end, also while the model is silent: its pieces are read
+    in a thread of their own. The return value tells whether it was cut. An error of the model is raised here."""
+    end, pieces, left = clock() + timeout_s, queue.Queue(maxsize=64), threading.Event()
+
+    def read() -> None:
+        try:
+            for piece in stream:
+                while not left.is_set():
+                    try:
+                        pieces.put(("piece", piece), timeout=POLL_S)
+                        break
+                    except queue.Full:
+                        continue
+                if left.is_set():
+                    return
+            last = ("end", None)
+        except BaseException as e:
+            last = ("error", e)
+        if not left.is_set():
+            pieces.put(last)
+
+    threading.Thread(target=read, daemon=True).start()
+    try:
+        while True:
+            if clock() > end or (stop and stop()):
+                return True
+            try:
+                kind, value = pieces.get(timeout=POLL_S)
+            except queue.Empty:
+                continue
+            if kind == "error":
+                raise value
+            if kind == "end":
+                return False
+            yield value
+    finally:
+        left.set()
 
 
 @dataclass
@@ -151,6 +186,22 @@ class ChatRequest:
     timeout_s: float = TIMEOUT_S
 
 
+def with_filters(request: ChatRequest) -> ChatRequest:
+    """The request with the filters that its last user message names, which leave the message; what the request itself gives wins
+    for dates, and comes first for paths and tags."""
+    at = max((i for i, m in enumerate(request.messages) if m["role"] == "user"), default=None)
+    if at is None:
+        return request
+    found = parse_input(request.messages[at]["content"], request.today)
+    text = found["text"] or request.messages[at]["content"]
+    messages = [*request.messages[:at], {**request.messages[at], "content": text}, *request.messages[at + 1 :]]
+    dated = request.start or request.end
+    return replace(
+        request, messages=messages, path_globs=list(dict.fromkeys([*request.path_globs, *found.get("path_globs", [])])), tags=list(dict.fromkeys([*request.tags, *found.get("tags", [])])),
+        start=request.start if dated else found.get("start"), end=request.end if dated else found.get("end"),
+    )
+
+
 def to_search(request: ChatRequest) -> SearchRequest:
     """Dates named in the prompt count unless dates are given; daily-note paths then join in, and the phrase leaves the query."""
     prompt = last_user_content(request.messages)
@@ -164,16 +215,19 @@ def to_search(request: ChatRequest) -> SearchRequest:
 
 def run_chat(request: ChatRequest, search, model, planner=None, tools=None, stop=None) -> Iterator[dict]:
     """Events: deltas, then sources and outcome. search(SearchRequest) gives ranked rows; planner and tools take the agent's way."""
+    last_user_content(request.messages)
+    request = with_filters(request)
     prompt = last_user_content(request.messages)
     if planner and tools:
         span = {"start": request.start, "end": request.end} if request.start or request.end else None
         given = agent.PlanInput(prompt, request.today.isoformat(), request.messages, request.path_globs or None, span, request.daily_globs, request.organization or None)
-        plan = agent.plan_or_ask(given, planner.plan({"user_prompt": prompt, "anchor_date": given.anchor_date}))
+        plan = agent.plan_or_ask(given, planner.plan(agent.planner_request(given)))
         if plan["status"] == "needs_scope":
             yield {"delta": plan["reason"]}
             yield {"sources": [], "outcome": "needs_scope", "missing": plan["missing"]}
             return
         results = tools.run_all(plan)
+        yield {"tools": agent.tools_summary(results)}
         made = agent.synthesis(plan, results)
         if any(agent.over_budget(r) for r in results) or made["insufficient"]:
             yield {"delta": NO_EVIDENCE}

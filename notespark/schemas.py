@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 NODE_TYPES = ("note", "topic", "subtopic", "paragraph", "sentence_part", "bullet_group", "bullet")
 STEPS = ("queued", "parsing", "parsed", "storing", "stored", "summarizing", "summarized", "embedding", "embedded", "failed", "dead_letter")
 QUEUE_STATUS = ("pending", "processing", "completed", "dead_letter")
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 NODES = "id string, note_id string, parent_id string, type string, heading_trail array<string>, depth int, sibling_order int, content string, content_hash string, ancestor_ids array<string>, ordinal int"
 SUMMARIES = "node_id string, summary string, model string, prompt_version string, generated_at timestamp"
@@ -18,10 +18,11 @@ NOTE_META = "note_id string, vault_path string, content_hash string, indexed_at
 EMBEDDINGS = "node_id string, vector_type string, embedding array<float>, model string, dimension int, content_hash string"
 QUEUE = "id string, queue_name string, payload string, status string, retry_count int, error_message string, enqueued_at timestamp, updated_at timestamp"
 JOBS = "job_id string, note_path string, current_step string, content_hash string, retry_count int, error_message string, updated_at timestamp"
-PROGRESS = "job_id string, run_id string, note_path string, step string, status string, detail string"
+PROGRESS = "job_id string, run_id string, note_path string, step string, status string, detail string, at timestamp"
+POSTINGS = "id string, term string, tf long, length long"
 CONFIG = "key string, value string"
 
-TABLES = {"nodes": NODES, "summaries": SUMMARIES, "tags": TAGS, "cross_refs": CROSS_REFS, "note_meta": NOTE_META, "embeddings": EMBEDDINGS, "queue_items": QUEUE, "job_steps": JOBS, "progress_events": PROGRESS, "config": CONFIG}
+TABLES = {"nodes": NODES, "summaries": SUMMARIES, "tags": TAGS, "cross_refs": CROSS_REFS, "note_meta": NOTE_META, "embeddings": EMBEDDINGS, "postings": POSTINGS, "queue_items": QUEUE, "job_steps": JOBS, "progress_events": PROGRESS, "config": CONFIG}
 
 
 def checked_nodes(nodes: DataFrame) -> DataFrame:

@@ -254,6 +254,7 @@ def links(content: str, note_dir: str) -> list[tuple[str, str | None]]:
 class _Tree:
     def __init__(self, note_id: str, title: str, limit: int):
         self.note_id, self.limit, self.nodes = note_id, limit, []
+        self.prefix = hashlib.sha256(note_id.encode()).hexdigest()[:4]  # of all ids of a note: the store keeps them in one bucket
         self.children: dict[str | None, int] = {}
         self.root = self.add(None, "note", [], title.strip())
 
@@ -261,7 +262,7 @@ class _Tree:
         above = parent["id"] if parent else None
         order = self.children.get(above, 0)
         self.children[above] = order + 1
-        node_id = hashlib.sha256(f"{self.note_id}\0{above or ''}\0{kind}\0{order}".encode()).hexdigest()[:32]
+        node_id = self.prefix + hashlib.sha256(f"{self.note_id}\0{above or ''}\0{kind}\0{order}".encode()).hexdigest()[:28]
         node = {
             "id": node_id, "note_id": self.note_id, "parent_id": above, "type": kind, "heading_trail": list(trail), "depth": parent["depth"] + 1 if parent else 0, "sibling_order": order,
             "content": content, "content_hash": hashlib.sha256(content.encode()).hexdigest(), "ancestor_ids": [*parent["ancestor_ids"], above] if parent else [], "ordinal": len(self.nodes),

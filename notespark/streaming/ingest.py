@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.vault import relative_path
+
 
 def file_stream(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
-    """(path, content, hash) of Markdown files as they come; at most `most` a batch."""
+    """(path, content, hash, modified) of Markdown files as they come, paths relative to the folder as vault.list_files() has them; at
+    most `most` a batch."""
     rows = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).option("maxFilesPerTrigger", most).load(folder)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.sha2("value", 256).alias("hash"))
+    path = relative_path(F.col("_metadata.file_path"), folder)
+    return rows.select(path.alias("path"), F.col("value").alias("content"), F.sha2("value", 256).alias("hash"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """One version of each note: the one modified last; of equal times the one of the largest hash."""
+    best = F.max_by(F.struct("content", "hash"), F.struct("modified", "hash"))
+    return rows.groupBy("path").agg(best.alias("v")).select("path", "v.content", "v.hash")
 
 
 def start(stream: DataFrame, engine, checkpoint: str, drain: bool = True) -> StreamingQuery:
     """Indexes each batch; a batch that is run again after a failure finds its notes unchanged and does nothing."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        latest = rows.groupBy("path").agg(F.max_by("content", "hash").alias("content"), F.max("hash").alias("hash"))
-        engine.index(latest)
+        engine.index(newest(rows))
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime="15 seconds")).start()

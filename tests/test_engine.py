@@ -10,7 +10,7 @@ from notespark.engine import Engine
 from notespark.operators import filters, indexing, ranking, search, tree
 from notespark.plans import agent, chat
 from notespark.sources import vault
-from notespark.sources.store import Store
+from notespark.sources.store import Conflict, Store
 
 NOTES = {
     "Work/x.md": "# Acme Corp\n\nAcme Corp mention one.\n\n## Deal\n\nAcme Corp and Acme Corp and Acme Corp again #deal/big\n",
@@ -109,6 +109,62 @@ def test_store_versions_and_dimension(spark, tmp_path):
     assert s.meta("embedding_dimension") == "4" and s.meta("x") is None
 
 
+def test_store_commits_all_or_nothing(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", 4)
+    meta = lambda *ids: spark.createDataFrame([(i, i, "h", None, 1, None) for i in ids], "note_id string, vault_path string, content_hash string, indexed_at timestamp, node_count long, note_date string")
+    tag = spark.createDataFrame([("n1", "t", "inline")], "node_id string, tag string, source string")
+    s.upsert_note_meta(meta(*(f"note{i}.md" for i in range(40))))
+    with pytest.raises(RuntimeError, match="killed"), s.transaction():
+        s.append("tags", tag)
+        s.upsert_note_meta(meta("late.md"))
+        assert s.read("tags").count() == 1 and s.read("note_meta").count() == 41
+        raise RuntimeError("killed")
+    other = Store(spark, f"file://{tmp_path}/s", 4)
+    assert other.read("tags").count() == 0 and s.read("note_meta").count() == other.read("note_meta").count() == 40
+    before = s._now()["tables"]["note_meta"]
+    s.upsert_note_meta(meta("note7.md"))
+    after = s._now()["tables"]["note_meta"]
+    assert len(before) > 8 and sum(before[b] != after[b] for b in after) == 1 and s.read("note_meta").count() == 40
+    quick = Store(spark, f"file://{tmp_path}/s", 4, retain_s=-1)
+    quick.upsert_note_meta(meta("note7.md"))
+    assert len(quick._names("_manifest")) <= 3 and quick.read("note_meta").count() == 40 and len(quick._names("note_meta")) == len({f.split("/")[1] for fs in quick._now()["tables"]["note_meta"].values() for f in fs})
+    with pytest.raises(Conflict), s.transaction():
+        s.upsert_note_meta(meta("mine.md"))
+        other.upsert_note_meta(meta("theirs.md"))
+    assert {r.note_id for r in s.read("note_meta").collect()} >= {"theirs.md"} and s.read("note_meta").filter("note_id = 'mine.md'").isEmpty()
+
+
+def test_failing_notes_are_retried_then_dead(spark, tmp_path):
+    class Fussy(ports.LeadSummarizer):
+        def summarize(self, prompt):
+            if "poison" in prompt:
+                raise ValueError("cannot summarise this")
+            return super().summarize(prompt)
+
+    e = Engine(spark, f"file://{tmp_path}/q", summarizer=Fussy(), max_retries=1)
+    run = e.index(files(spark, {"a.md": "# A\n\nCafé au lait", "bad.md": "# B\n\npoison"}))
+    assert run["enqueued"] == 2 and run["dead"] == 1
+    assert {r.note_id for r in e.store.read("note_meta").collect()} == {"a.md"} == {r.note_id for r in e.store.read("nodes").collect()}
+    got = {r.payload[9:].split('"')[0]: (r.status, r.retry_count, r.error_message) for r in e.store.read("queue_items").collect()}
+    assert got["a.md"] == ("completed", 0, None) and got["bad.md"][:2] == ("dead_letter", 2) and "cannot summarise" in got["bad.md"][2]
+    steps = {r.note_path: (r.current_step, r.retry_count) for r in e.store.read("job_steps").collect()}
+    assert steps == {"a.md": ("embedded", 0), "bad.md": ("dead_letter", 2)}
+    s = e.status().first()
+    assert (s.pending, s.processing, s.completed, s.dead_items, s.dead_jobs) == (0, 0, 1, 1, 1)
+    assert sorted((r.note_path, r.status) for r in e.store.read("progress_events").collect()) == [("a.md", "completed"), ("bad.md", "dead_letter"), ("bad.md", "pending")]
+    # the stored keyword index: accents don't matter, and the filter on terms reaches the scan
+    c = e.corpus()
+    hits = search.keyword_top(c.nodes, c.postings, c.stats, "cafe", 5)
+    assert hits.count() == 1 and "In(term" in search.bm25(c.postings, c.stats, ["cafe"])._jdf.queryExecution().executedPlan().toString().replace("EqualTo(term", "In(term")
+    have, made = ({(r.docs, round(r.avg_length, 6)) for r in x.collect()} for x in (c.stats, search.corpus_stats(e.store.read("nodes"))))
+    assert have == made
+    assert {tuple(r) for r in c.postings.collect()} == {(r.id, r.term, r.tf, r.length) for r in search.postings(e.store.read("nodes")).collect()}
+    e.store.set_meta({"schema_version": "2"})  # an older store gets its index when it is opened
+    with e.store.transaction():
+        e.store._pending["tables"].pop("postings")
+    assert Store(spark, f"file://{tmp_path}/q", 64).read("postings").count() == c.postings.count()
+
+
 def test_vault_scan(spark, tmp_path):
     for p in ("a/x.md", "a/b/y.md", "c/z.md", "a/skip.txt", "root.md"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
@@ -214,6 +270,54 @@ def test_budgets():
     assert list(chat.guarded(iter("abc"), 1, clock=lambda: next(t))) == ["a"]
 
 
+def test_silent_model_is_cut():
+    import time
+
+    def silent():
+        yield "a"
+        time.sleep(30)
+        yield "b"
+
+    began = time.monotonic()
+    assert list(chat.guarded(silent(), 0.4)) == ["a"] and time.monotonic() - began < 5
+    stopped = []
+    assert list(chat.guarded(silent(), 20, stop=lambda: stopped or stopped.append(1))) in (["a"], []) and time.monotonic() - began < 10
+
+    def broken():
+        yield "a"
+        raise OSError("gone")
+
+    with pytest.raises(OSError, match="gone"):
+        list(chat.guarded(broken(), 5))
+
+
+def test_chat_filters_reach_the_search():
+    ask = chat.ChatRequest([{"role": "user", "content": "what about Acme path:Work/** since:2026-01-01 #deal"}], date(2026, 2, 1), tags=["x"])
+    got = chat.to_search(chat.with_filters(ask))
+    assert (got.query, got.path_globs, got.start, got.end, got.tags) == ("what about Acme #deal", ["Work/**"], "2026-01-01", None, ["x", "deal"])
+    given = chat.with_filters(chat.ChatRequest(ask.messages, date(2026, 2, 1), start="2025-12-01"))
+    assert (given.start, given.end) == ("2025-12-01", None)
+    assert chat.parse_input("last:99999999999d", date(2026, 4, 21))["start"] == "0001-01-01"
+
+
+def test_planner_is_told_what_is_known():
+    seen = {}
+    planner = type("P", (), {"plan": lambda self, r: seen.update(r) or "no json"})()
+    ask = chat.ChatRequest([{"role": "assistant", "content": "hi"}, {"role": "user", "content": "go path:Work/**"}], date(2026, 2, 1), daily_globs=["Daily/*.md"])
+    out = list(chat.run_chat(ask, None, None, planner, object()))
+    assert out[-1]["outcome"] == "needs_scope" and seen["path_globs"] == ["Work/**"] and seen["daily_globs"] == ["Daily/*.md"] and len(seen["conversation"]) == 2
+    assert agent.tools_summary([]) == {"calls": 0, "byType": {}, "failed": 0, "results": 0, "sources": 0, "overBudget": False}
+
+
+def test_notes_are_written_as_files(spark, tmp_path):
+    drafts = lambda *rows: spark.createDataFrame(rows, "path string, content string")
+    refused = vault.write_notes(drafts(("Notes/a.md", "one"), ("Other/b.md", "no"), ("Notes/../x.md", "no")), f"file://{tmp_path}", ["Notes"])
+    assert {r.path for r in refused.collect()} >= {"Other/b.md"}
+    vault.write_notes(drafts(("Notes/a.md", "twö")), f"file://{tmp_path}", ["Notes"])
+    assert (tmp_path / "Notes/a.md").read_text() == "twö" and not (tmp_path / "Other").exists()
+    assert [r.path for r in vault.list_files(spark, f"file://{tmp_path}").collect()] == ["Notes/a.md"]
+
+
 def test_plans():
     given = agent.PlanInput("p", "2026-04-30", daily_globs=["Daily/*.md"])
     call = {"type": "search_notes", "reason": "r", "query": "q"}
@@ -234,7 +338,7 @@ def test_plans():
     assert agent.token_usage({"promptTokens": 3.7, "completionTokens": 2}) == {"source": "reported", "promptTokens": 3, "completionTokens": 2, "totalTokens": 5}
     assert agent.token_usage(None) == {"source": "unavailable"} and agent.synthesis(a, [])["insufficient"]
     made = agent.synthesis(a, [agent.result(a, a["toolCalls"][0], "ok", [{"node_id": "n", "note_path": "p", "snippet": " s "}])])
-    assert made["context"].endswith("### p#n\ns") and made["sources"] == [{"note_path": "p", "node_id": "n"}] and agent.source_summary(made["sources"])["hasNodeAnchors"]
+    assert made["context"].endswith("[1] p#n\ns") and made["sources"] == [{"note_path": "p", "node_id": "n"}] and agent.source_summary(made["sources"])["hasNodeAnchors"]
 
 
 def test_model_helpers():

@@ -31,7 +31,7 @@ def value(spark, column):
         ("between March 1 and March 15", ANCHOR, "2026-03-01", "2026-03-15"),
         ("past 3 days", ANCHOR, "2026-04-19", "2026-04-21"),
         ("done on 2026-04-16", ANCHOR, "2026-04-16", "2026-04-16"),
-        ("since 5 December", ANCHOR, "2025-12-05", "2026-04-21"),
+        ("since 5 December onwards", ANCHOR, "2025-12-05", "2026-04-21"),
     ],
 )
 def test_date_ranges(phrase, anchor, start, end):
@@ -125,3 +125,10 @@ def test_snippet(spark):
     lines = out.split("\n")
     assert lines[0] == '## Note: "Note" (a/Note.md)' and lines[1] == "### Section: A > B" and lines[4].endswith("…") and lines[7] == "s" and lines[10] == ""
     assert "(empty)" in value(spark, T.snippet(F.lit("n.md"), F.array().cast("array<string>"), F.lit(" "), F.lit(""), F.lit("")))
+
+
+def test_far_ranges_and_day_first():
+    anchor = date(2026, 4, 21)
+    assert dates.resolve_range("last 1000000 days", anchor)["start"] == "0001-01-01" == dates.resolve_range("past 99999999999 weeks", anchor)["start"]
+    assert dates.resolve_range("since 3 March", anchor) is None
+    assert dates.resolve_range("since 3 March onwards", anchor)["start"] == "2026-03-03" == dates.resolve_range("since March 3", anchor)["start"]

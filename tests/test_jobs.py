@@ -57,3 +57,8 @@ def test_note_stream_is_indexed(spark, tmp_path):
 
 def test_windows(spark):
     assert "watermark" in ingest.progress_windows(spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit("s").alias("step"), F.lit("ok").alias("status")))._jdf.queryExecution().logical().toString().lower()
+
+
+def test_newest_version_of_a_note_wins(spark):
+    rows = spark.createDataFrame([("a.md", "old", "z", 1), ("a.md", "new", "a", 2), ("b.md", "x", "h", 1), ("b.md", "y", "i", 1)], "path string, content string, hash string, modified int")
+    assert sorted((r.path, r.content) for r in ingest.newest(rows).collect()) == [("a.md", "new"), ("b.md", "y")]
