@@ -4,8 +4,8 @@ The lines of a document are hashed in windows of WINDOW consecutive lines; windo
 aggregation on the hash, which also gives the first occurrence (smallest document, then position). Every later occurrence covers
 its lines; covered positions merge, and covered lines go. Windows are written once (hashes and positions only) and aggregated with
 partial sums, so that a passage in most documents is one row a task there; the repeated ones, one row a passage, are then joined to
-the windows as a written table: broadcast below a checked size, else by an exchange whose hot keys Spark can split. Texts are
-joined to the positions that go, in the same way, so that they are in no exchange where few documents have any.
+the windows as a written table, in an exchange whose hot keys Spark can split, as nothing stands between its sides and their scans.
+Texts meet the positions that go in one more such join. Both are merge joins at every size, as neither table has a bound.
 
 Lines end at line feeds. Blank lines count as lines, but a window of blank lines only is never a repetition. A null text counts as
 empty (one empty line); documents of fewer than three lines have no window; very long texts are taken whole. Documents are told apart by id and text: rows that
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, fresh, let, read, small_side
+from .common import Scratch, fresh, let, read
 
 WINDOW = 3
 
@@ -52,7 +52,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     w = own.write(windows(docs, id_col, text_col), "windows")
     place = F.struct("id", "md", "pos")
     firsts = own.write(w.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h", "first"), "firsts")
-    later = w.join(small_side(firsts, BROADCAST_ROWS // 4), "h").filter(place != F.col("first"))
+    later = w.join(firsts.hint("merge"), "h").filter(place != F.col("first"))
     cover = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + (WINDOW - 1))))))
     out = own.write(later.groupBy("id", "md").agg(cover.alias("cut")), "cuts")
     own.leave("cuts")
@@ -66,7 +66,7 @@ def mark(docs: DataFrame, cut_col: str, id_col: str = "doc_id", text_col: str =
     cut = repeated(docs, id_col, text_col).select(F.coalesce("id", F.lit(0)).alias(i), F.col("id").isNull().alias(m + "n"), F.col("md").alias(m), F.col("cut").alias(cut_col))
     own_id, md = _key(id_col, text_col)
     keyed = docs.withColumns({i: F.coalesce(own_id, F.lit(0)), m + "n": own_id.isNull(), m: md})
-    joined = keyed.join(small_side(cut, BROADCAST_ROWS, 8 + F.size(cut_col)), [i, m + "n", m], "left")
+    joined = keyed.join(cut.hint("merge"), [i, m + "n", m], "left")
     return joined.drop(i, m + "n", m).withColumn(cut_col, F.coalesce(cut_col, F.array().cast("array<int>")))
 
 
