@@ -40,7 +40,7 @@ from .common import Scratch, few_files, lean, read, small_side
 
 WINDOW, LEAST, END_ID = 4096, 512, 2
 ROWS, FAN = 1000, 1000
-CACHE, KEEP = 400_000, 100_000
+CACHE, KEEP = 300_000, 100_000
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
