@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import globs as G
 from ..functions import text as T
-from ..functions.vectors import l2
 from ..operators import filters, indexing, jobs, ranking, search, tree
 from ..session import ready
+from ..sources import markdown
 from . import chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,9 +539,9 @@ def q48(read):
     return m.select("conv_id", F.sha2(grounded, 256).alias("sha"))
 
 
-@query("q49_sources", "SELECT lang AS note_path, min_by(doc_id, doc_id) AS node_id, min(doc_id) AS insertion_order FROM documents GROUP BY 1")
+@query("q49_sources", "SELECT lang AS note_path, min_by(doc_id, n_chars * 1000000 + doc_id) AS node_id, min(n_chars) AS insertion_order FROM documents GROUP BY 1")
 def q49(read):
-    r = read("documents").select(F.col("lang").alias("note_path"), F.col("doc_id").alias("node_id"), F.col("doc_id").alias("insertion_order"))
+    r = read("documents").select(F.col("lang").alias("note_path"), F.col("doc_id").alias("node_id"), F.col("n_chars").alias("insertion_order"))
     return ranking.sources(r)
 
 
@@ -566,15 +566,26 @@ def q52(read):
     return r.select("lang", "source", "doc_id", F.col("insertion_order").cast("long").alias("insertion_order"))
 
 
-@query("q53_vector_join", f"WITH {HEAP} SELECT h.label, count(*) AS n, round(avg(list_distance(h.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6) AS mean_distance FROM heap h JOIN heap p ON h.parent_id = p.id GROUP BY 1")
+@query(
+    "q53_wikilinks",
+    """SELECT doc_id, 'x/' || lang || '.md' AS target_path, NULL AS link_text FROM documents UNION ALL SELECT doc_id, 'p/' || doc_id || '.txt', 'Alias ' || lang FROM documents
+UNION ALL SELECT doc_id, 'web/n.md', 'l' FROM documents""",
+)
 def q53(read):
-    h = heap(read)
-    p = h.select(F.col("id").alias("parent_id"), F.col("embedding").alias("pe"))
-    d = h.join(p, "parent_id").select("label", l2(F.col("embedding"), F.col("pe").cast("array<double>")).alias("d"))
-    return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean_distance"))
+    text = F.concat(F.lit("[["), F.concat_ws("/", F.lit("x"), "lang"), F.lit("]] and [[p//"), F.col("doc_id"), F.lit(".txt|Alias "), F.col("lang"), F.lit("]] [l](./n.md) [z](https://e.org)"))
+    return read("documents").select("doc_id", F.inline(T.cross_refs(text, F.lit("web"))))
 
 
-@query("q54_month_status", "SELECT date_trunc('month', ts)::DATE AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query(
+    "q54_markdown_nodes",
+    """WITH d AS (SELECT doc_id::VARCHAR AS note_id, lang, source FROM documents)
+SELECT note_id, 0 AS ordinal, 'note' AS type, 0 AS depth, '' AS trail, note_id AS content FROM d UNION ALL SELECT note_id, 1, 'topic', 1, '', 'T ' || lang FROM d
+UNION ALL SELECT note_id, 2, 'paragraph', 2, 'T ' || lang, 'In *' || source || '*.' FROM d UNION ALL SELECT note_id, 3, 'subtopic', 2, 'T ' || lang, 'S' FROM d
+UNION ALL SELECT note_id, 4, 'bullet_group', 3, 'T ' || lang || ' > S', '' FROM d UNION ALL SELECT note_id, 5, 'bullet', 4, 'T ' || lang || ' > S', 'one' FROM d
+UNION ALL SELECT note_id, 6, 'bullet', 5, 'T ' || lang || ' > S', source FROM d UNION ALL SELECT note_id, 7, 'bullet', 4, 'T ' || lang || ' > S', 'two' FROM d""",
+)
 def q54(read):
-    return read("events").groupBy(F.trunc("ts", "month").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-
+    text = F.concat(F.lit("---\ntags: [a]\n---\n# T "), "lang", F.lit("\n\nIn *"), "source", F.lit("*.\n\n## S\n\n- one\n  - "), "source", F.lit("\n- two\n"))
+    title = F.col("doc_id").cast("string")
+    n = markdown.nodes_of(markdown.parse(read("documents").select(title.alias("note_id"), title.alias("title"), text.alias("markdown"))))
+    return n.select("note_id", "ordinal", "type", "depth", F.array_join("heading_trail", " > ").alias("trail"), "content")
