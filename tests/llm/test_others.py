@@ -238,6 +238,73 @@ def test_pipeline_stages(spark, small):
     assert {r[0] for r in a} == before
 
 
+def test_pipeline_stages_equal_brute_force(spark, small):
+    """Each filtering stage on its own input, with nulls, ties, repeated rows, a very long text and clashing columns added."""
+    from test_dedup import brute_links, grams, low
+
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    long = " ".join(f"w{i}" for i in range(30_000))
+    odd = [(9001, None), (9002, ""), (9003, long), (9004, long.upper()), (9005, long + " x"), (9006, "pad " + item + " pad"), (9007, "same text of some words here"), (9007, "same text of some words here"), (None, "no id but a text of its own")]
+    docs = common.read(spark, small, "documents")
+    more = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(more).withColumn("__nd_row", F.lit(7)).withColumn("__nd_text", F.lit("x"))
+    path = common.new_path(spark, "t")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "exact dedup":
+            best = {}
+            for i, t in rows:
+                best[low(t)] = max(best.get(low(t), -1), -1 if i is None else i)
+            want = [(None if i == -1 else i, t) for t, i in best.items()]
+        elif name == "near dedup":
+            ids = [(i, t) for i, t in rows if i is not None]
+            roots = {root for _, root in brute_links(ids, 5, 80, 100).values()}
+            want = [(i, low(t)) for i, t in rows if i is None or i in roots]
+        else:
+            sets = [grams(t) for t in items]
+            want = [(i, low(t)) for i, t in rows if not any(q and 10 * len(q & grams(t)) >= 8 * len(q) for q in sets)]
+        path = common.new_path(spark, "t")
+        stage(spark, docs, small).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert out.columns == docs.columns and {(r["__nd_row"], r["__nd_text"]) for r in out.collect()} == {(7, "x")}
+        assert sorted((str(r.doc_id), low(r.text)) for r in out.collect()) == sorted((str(i), t) for i, t in want), name
+        docs = out
+    got = corpus_pipeline.STAGES[4][1](spark, docs, small)
+    assert got.select("doc_id", "doc_tokens").distinct().count() == docs.count()
+
+
+def test_pipeline_of_an_empty_table(spark, small):
+    docs = common.read(spark, small, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        path = common.new_path(spark, "t")
+        stage(spark, docs, small).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.count() == 0, name
+
+
+def test_pseudo_labels_cover_all_rows(spark, small):
+    """The exchange of the views, added up over tasks, equals plain sums over every unlabelled row."""
+    docs, labels = common.read(spark, small, "documents"), common.read(spark, small, "labels")
+    model = quality.train(docs, labels).light()
+    rows = docs.select(F.col("doc_id"), "text", *quality._columns(docs))
+    path = common.new_path(spark, "t")
+    rows.mapInArrow(quality._compact(model.words), "doc_id long, shape binary, meta binary, words binary").repartition(5).write.parquet(path)
+    known = np.array([r.doc_id for r in labels.select("doc_id").collect()][::2])
+    got = quality._pseudo_labels(spark.read.parquet(path), model, known)
+    every = docs.filter(~F.col("doc_id").isin(known.tolist())).toArrow().combine_chunks().to_batches()[0]
+    shape, row, words = quality.text_view(every.column("text"))
+    meta = quality.meta_view(*(every.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+    for name, t, zt, zm in model.odds(shape, *model.find(row, words), meta):
+        for pseudo, z, x in ((got[name][0], zm * t.cm[0] + t.cm[1], model.dense(shape, row, words)), (got[name][1], zt * t.ct[0] + t.ct[1], quality._one_hot(meta))):
+            sure = np.abs(z) >= np.log(quality.SURE / (1 - quality.SURE))
+            assert pseudo.rows.sum() == sure.sum() and (pseudo.rows[pseudo.y == 1].sum(), pseudo.rows[pseudo.y == 0].sum()) == ((sure & (z > 0)).sum(), (sure & (z < 0)).sum())
+            assert np.allclose((pseudo.x * pseudo.rows[:, None]).sum(axis=0), x[sure].sum(axis=0), rtol=1e-4, atol=1e-3)
+    assert sum(p.rows.sum() for pair in got.values() for p in pair) > 0
+
+
 def test_registry_and_guard():
     import __spark_entry__ as entry
 
