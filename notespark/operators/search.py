@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import l2, literal
 from . import ranking, tree
-from .filters import NodeFilter, notes_with_tag, request_filter, with_tag
+from .filters import notes_with_tag, request_filter, with_tag
 
 K1, B = 1.2, 0.75
 DEFAULT_K, DEFAULT_COARSE, TAG_LIMIT = 20, 32, 200
