@@ -489,8 +489,9 @@ def score(docs: DataFrame, model: Model, least: float = LEAST_QUALITY, most: flo
 def keep_good(docs: DataFrame, model: Model, least: float = LEAST_QUALITY, most: float = MOST_TOXIC) -> DataFrame:
     """docs without low-quality and toxic documents; all columns of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = fresh(docs, "text", "source", "lang", "n_chars")
-    rows = docs.withColumns(dict(zip(names, [F.col("text"), *_columns(docs)])))
+    names = ["text", *fresh(docs, "source", "lang", "n_chars")]
+    names[0] = next(c for c in docs.columns if c.lower() == "text")  # texts go to the workers once
+    rows = docs.withColumns(dict(zip(names[1:], _columns(docs))))
     return few_files(rows.mapInArrow(lean(_scorer(sent, docs.columns, names, least, most)), docs.schema))
 
 
