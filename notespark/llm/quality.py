@@ -377,16 +377,17 @@ FAN = 64
 
 
 def _pseudo_labels(features: DataFrame, model: Model, known: np.ndarray) -> dict[str, tuple[Rows, Rows]]:
-    """For each target the rows that each view labels for the other, over all rows of the table; sums are added up FAN tasks at a time."""
+    """For each target the rows that each view labels for the other, over all rows of the table; sums are added up FAN tasks at a time,
+    and one row reaches the driver."""
     sc = features.sparkSession.sparkContext
     sent, ids = sc.broadcast(model), sc.broadcast(known)
     rows = features.mapInArrow(lean(_exchange(sent, ids)), "sums binary")
     n = len(features.inputFiles())  # one task for each, or fewer
-    while n > FAN:
+    while n > 1:
         n = math.ceil(n / FAN)
         rows = rows.repartition(n).mapInArrow(lean(_add), "sums binary")
     total = np.zeros(_sums_shape(len(model.words)))
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # one row, or one for each task of a table of one file
         total += np.frombuffer(r.sums, np.float64).reshape(total.shape)
     sent.destroy()
     ids.destroy()
