@@ -76,14 +76,26 @@ def small_side(table: DataFrame, most: int = BROADCAST_ROWS, cells: Column | Non
     return F.broadcast(table) if size <= most else table
 
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """The inner tables of one call: written to the shared folder, and deleted one by one as soon as nothing reads them any more."""
+    """The inner tables of one call: written to the shared folder, and deleted one by one as soon as nothing reads them any more.
+    tidy: what a write has shuffled goes when it ends, not when the driver happens to collect its garbage."""
 
-    def __init__(self, name: str, owner: str = ""):
-        self.owner, self.own = owner or name, f"{name}-{uuid.uuid4().hex[:12]}"
+    def __init__(self, name: str, owner: str = "", tidy: bool = False):
+        self.owner, self.own, self.tidy = owner or name, f"{name}-{uuid.uuid4().hex[:12]}", tidy
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        return write_table(df, name, f"{self.own}/{name}")
+        conf = df.sparkSession.conf
+        before = conf.get(TIDY, None)
+        if self.tidy:
+            conf.set(TIDY, "true")
+        try:
+            return write_table(df, name, f"{self.own}/{name}")
+        finally:
+            if self.tidy:
+                conf.set(TIDY, before) if before is not None else conf.unset(TIDY)
 
     def drop(self, *names: str) -> None:
         for name in names:

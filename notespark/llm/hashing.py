@@ -45,7 +45,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
-def _segment_words(b: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment_words(b: np.ndarray, starts: np.ndarray, separators: np.ndarray, codes: np.ndarray = _BYTE_LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word in the bytes b; a word also ends where a text starts."""
     word = ~separators[b]
     edge = np.empty(len(b) + 1, bool)
@@ -59,12 +59,12 @@ def _segment_words(b: np.ndarray, starts: np.ndarray, separators: np.ndarray) ->
         first, last = np.union1d(first, inner), np.union1d(last, inner)
     p, inverse = _power_tables(len(b))
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE_LOWER[b] * p[: len(b)], out=sums[1:])
+    np.cumsum(codes[b] * p[: len(b)], out=sums[1:])
     return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)), first
 
 
-def word_hashes(texts: pa.Array, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased), text after text, and the offsets of the texts in them. Null counts as empty."""
+def word_hashes(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased if lower), text after text, and the offsets of the texts in them. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary())
@@ -91,7 +91,7 @@ def word_hashes(texts: pa.Array, separators: np.ndarray = SPACES) -> tuple[np.nd
                     more = np.flatnonzero(separators[raw[stop:limit]])
                     stop = stop + int(more[0]) if len(more) else limit
         lo, hi = np.searchsorted(offsets, [at, stop])
-        h, first = _segment_words(raw[at:stop], offsets[lo:hi] - at, separators)
+        h, first = _segment_words(raw[at:stop], offsets[lo:hi] - at, separators, _BYTE_LOWER if lower else _BYTE)
         hashes.append(h)
         places.append(first + at)
         at = stop
