@@ -193,7 +193,7 @@ w AS (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS g FROM (SELECT doc_i
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w),
 c AS (SELECT doc_id, list(DISTINCT j) AS cut FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM r WHERE k > 1) GROUP BY 1),
 p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
-k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM p LEFT JOIN (SELECT doc_id, unnest(cut) AS j FROM c) x ON x.doc_id = p.doc_id AND x.j = p.j WHERE x.j IS NULL GROUP BY 1)
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.j) AS kept FROM p LEFT JOIN (SELECT doc_id, unnest(cut) AS j FROM c) x ON x.doc_id = p.doc_id AND x.j = p.j WHERE x.j IS NULL GROUP BY 1)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(len(cut), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
 }
