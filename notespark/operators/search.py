@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import l2, literal
+from ..session import kept
 from . import ranking, tree
 from .filters import notes_with_tag, request_filter, with_tag
 
@@ -52,6 +53,15 @@ def postings(nodes: DataFrame, id_col: str = "id", content: str = "content") ->
     return words.select("id", F.size("ts").cast("long").alias("length"), F.explode("ts").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def matches(nodes: DataFrame, terms: list[str], id_col: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Postings of these terms and the corpus numbers, where there is no index: texts are cut into terms once, and only lengths and the
+    terms sought are kept."""
+    words = nodes.select(F.col(id_col).alias("id"), T.terms(F.col(content)).alias("ts"))
+    narrow = kept(words.select("id", F.size("ts").cast("long").alias("length"), F.filter("ts", lambda t: t.isin(terms)).alias("hit")).filter("length > 0"))
+    posted = narrow.select("id", "length", F.explode("hit").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return posted, narrow.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_length"))
+
+
 def corpus_stats(nodes: DataFrame, content: str = "content") -> DataFrame:
     """One row: number of nodes with terms and their mean length."""
     size = F.size(T.terms(F.col(content)))
@@ -76,14 +86,21 @@ def python_terms(query: str) -> list[str]:
     return list(dict.fromkeys(words))[: T.MAX_TERMS]
 
 
-def keyword_top(nodes: DataFrame, posted: DataFrame, stats: DataFrame, query: str, k: int, where: Column | None = None) -> DataFrame:
-    """The k best nodes by BM25 among those that pass `where`; statistics are those of all nodes."""
+def keyword_top(nodes: DataFrame | None, posted: DataFrame, stats: DataFrame, query: str, k: int, where: Column | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """The k best nodes by BM25 among `nodes` (None: all) that pass `where`; statistics are those of all nodes. blocks: the block index
+    of the postings, of which then only a part is read."""
     found = python_terms(query)
+    spark = posted.sparkSession
     if not found:
-        return nodes.sparkSession.createDataFrame([], "id string, bm25 double")
+        return spark.createDataFrame([], "id string, bm25 double")
+    allowed = None if nodes is None else (nodes if where is None else nodes.filter(where)).select("id")
+    if blocks is not None:
+        from . import blockmax
+
+        asked = spark.createDataFrame([(0, found)], "query int, terms array<string>")
+        return blockmax.top_k(blocks.filter(F.col("term").isin(found)), stats, asked, k, allowed).select("id", "bm25")
     scored = bm25(posted, stats, found)
-    kept = nodes.filter(where).select("id") if where is not None else nodes.select("id")
-    return scored.join(kept, "id").orderBy("bm25", "id").limit(k)
+    return (scored if allowed is None else scored.join(allowed, "id")).orderBy("bm25", "id").limit(k)
 
 
 # --- vectors

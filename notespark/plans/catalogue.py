@@ -7,6 +7,7 @@ rule: node n hangs under (n - 1) div 4. All queries run over whole tables; limit
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import globs as G
 from ..functions import text as T
-from ..operators import filters, indexing, jobs, ranking, search, tree
-from ..session import ready
+from ..operators import blockmax, cells, filters, indexing, jobs, ranking, search, tree
+from ..session import kept, ready, scratch_path
 from ..sources import markdown
 from . import chat
 
@@ -93,7 +94,7 @@ scored AS (SELECT id, type, -sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {
 
 def bm25_hits(read, where=None, k: int = 20) -> DataFrame:
     n = nodes(read)
-    return search.keyword_top(n, search.postings(n), search.corpus_stats(n), " ".join(WORDS), k, where)
+    return search.keyword_top(None if where is None else n, *search.matches(n, WORDS), " ".join(WORDS), k, where)
 
 
 # --- flagship
@@ -335,7 +336,7 @@ SELECT id, round(r, 9) AS rrf_score FROM f ORDER BY r DESC, id LIMIT 32""",
 )
 def q29(read):
     n = read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    words = search.keyword_top(n, search.postings(n), search.corpus_stats(n), " ".join(WORDS), 32)
+    words = search.keyword_top(None, *search.matches(n, WORDS), " ".join(WORDS), 32)
     fused = ranking.fuse([ranking.ranked(_knn(read, 2), "distance"), ranking.ranked(words, "bm25")])
     return fused.orderBy(F.desc("rrf_score"), "id").limit(32).withColumn("rrf_score", F.round("rrf_score", 9))
 
@@ -589,3 +590,47 @@ def q54(read):
     title = F.col("doc_id").cast("string")
     n = markdown.nodes_of(markdown.parse(read("documents").select(title.alias("note_id"), title.alias("title"), text.alias("markdown"))))
     return n.select("note_id", "ordinal", "type", "depth", F.array_join("heading_trail", " > ").alias("trail"), "content")
+
+
+# --- search over indexes
+
+
+ASKED = """asked AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(strip_accents(lower(text)), '[^0-9a-z\\x{80}-\\x{ffff}]+'), lambda t: t NOT IN ('', 'and', 'or', 'not', 'near')))) AS term FROM benchmark)"""
+
+
+def benchmark_run(read, k: int = 10) -> blockmax.Run:
+    """Every benchmark item as a query against all documents."""
+    d = read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    posted = kept(search.postings(d))
+    asked = read("benchmark").select(F.col("item_id").alias("query"), T.query_terms(F.col("text")).alias("terms"))
+    return blockmax.Run(kept(blockmax.build(posted)), search.corpus_stats(d), asked, k)
+
+
+@query(
+    "q55_bm25_blocks",
+    f"""WITH {ASKED}, terms AS (SELECT doc_id AS id, list_filter(string_split_regex(strip_accents(lower(text)), '[^0-9a-z\\x{{80}}-\\x{{ffff}}]+'), lambda t: t <> '') AS ts FROM documents),
+stats AS (SELECT count(*) AS docs, avg(len(ts)) AS al FROM terms WHERE len(ts) > 0),
+hits AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(ts) AS length, unnest(ts) AS term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
+s AS (SELECT item_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * length / al))), 9) AS s
+  FROM asked JOIN hits USING (term) JOIN df USING (term) CROSS JOIN stats GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, id) AS rank, id AS doc_id, round(-s, 6) AS bm25 FROM s QUALIFY rank <= 10""",
+)
+def q55(read):
+    found = benchmark_run(read).found
+    return found.select(F.col("query").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
+def _knn_parts(v: int) -> str:
+    """The nearest of all, of a label and of a subtree, to one vector."""
+    d = DIST.format(v)
+    of = lambda what, where: f"(SELECT {v} AS query, '{what}' AS part, id, round({d}, 6) AS distance FROM heap {where} ORDER BY {d}, id LIMIT 15)"
+    return " UNION ALL ".join("FROM " + of(*x) for x in (("all", ""), ("label", "WHERE label = 3"), ("subtree", "WHERE id IN (SELECT id FROM s)")))
+
+
+@query("q56_knn_cells", f"WITH RECURSIVE {HEAP}, s AS (SELECT id FROM heap WHERE id IN (2, 3) UNION SELECT h.id FROM heap h JOIN s ON h.parent_id = s.id) {' UNION ALL '.join(_knn_parts(v) for v in (0, 1))}")
+def q56(read):
+    n = heap_nodes(read)
+    index = cells.CellIndex.build(n, scratch_path(n.sparkSession, "cells"))
+    allowed = {"all": None, "label": n.filter("label = 3"), "subtree": tree.descendants(n, n.filter(F.col("id").isin(2, 3)).select("id"))}
+    parts = [top(index.nearest(vector_of(read, v), 15, a), "distance").select(F.lit(v).alias("query"), F.lit(p).alias("part"), "id", "distance") for v in (0, 1) for p, a in allowed.items()]
+    return reduce(DataFrame.unionByName, parts)
