@@ -634,3 +634,31 @@ def q56(read):
     allowed = {"all": None, "label": n.filter("label = 3"), "subtree": tree.descendants(n, n.filter(F.col("id").isin(2, 3)).select("id"))}
     parts = [top(index.nearest(vector_of(read, v), 15, a), "distance").select(F.lit(v).alias("query"), F.lit(p).alias("part"), "id", "distance") for v in (0, 1) for p, a in allowed.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+# --- Markdown of real texts
+
+MARKUP = r"[*_~`|#<>\\\[\]]"  # what the pages' own texts would be read as
+
+
+@query(
+    "q57_page_markdown",
+    r"""WITH l AS (SELECT page_id, html, regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1) AS us, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS ts FROM pages),
+k AS (SELECT page_id, i, regexp_replace(us[i], '[*_~`|#<>\\\[\]]', '', 'g') AS u, regexp_replace(ts[i], '[*_~`|#<>\\\[\]]', '', 'g') AS t FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM l)),
+f AS (SELECT *, replace(first_value(u) OVER (PARTITION BY page_id, lower(t) ORDER BY i), '&amp;', '&') AS target FROM k)
+SELECT page_id, 'bullet' AS type, 3 AS depth, 'see *[' || replace(t, '&amp;', '&') || '](' || target || ')*' AS content, i AS sibling FROM f
+UNION ALL SELECT page_id, 'topic', 1, replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '[*_~`|#<>\\\[\]]', '', 'g')), '&amp;', '&'), 1 FROM pages""",
+)
+def q57(read):
+    """Headings and links of the pages as Markdown, links by reference and in emphasis, parsed by the table function from SQL."""
+    p = read("pages")
+    clean = lambda c: F.regexp_replace(c, MARKUP, "")
+    urls, texts = (F.transform(F.regexp_extract_all("html", F.lit(e), 1), clean) for e in ('<li><a href="([^"]*)">[^<]*</a>', '<li><a href="[^"]*">([^<]*)</a>'))
+    heading = F.concat(F.lit("# "), clean(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)))
+    items = F.transform(texts, lambda t: F.concat(F.lit("- see *["), t, F.lit("]*")))
+    definitions = F.zip_with(texts, urls, lambda t, u: F.concat(F.lit("["), t, F.lit("]: "), u))
+    notes = p.select(F.col("page_id").cast("string").alias("note_id"), F.lit("").alias("title"), F.concat_ws("\n\n", heading, F.array_join(items, "\n"), F.array_join(definitions, "\n")).alias("markdown"))
+    spark = p.sparkSession
+    markdown.register(spark)
+    found = spark.sql("SELECT n.* FROM {notes} p, LATERAL parse_note(p.note_id, p.title, p.markdown) n WHERE n.type IN ('topic', 'bullet')", notes=notes)
+    return found.select(F.col("note_id").cast("long").alias("page_id"), "type", "depth", "content", (F.col("sibling_order") + 1).cast("long").alias("sibling"))

@@ -11,9 +11,14 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions.text import ABBREVIATIONS, DOT
+from ..schemas import NODES
+from ..session import ready
+from . import inline
 
 MAX_TOKENS = 8000
 _ABBREVIATION = re.compile("|".join(re.escape(a) for a in ABBREVIATIONS), re.I)
@@ -30,6 +35,7 @@ class Block:
     depth: int = 0
     items: list[Item] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
+    cells: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -54,17 +60,35 @@ def split_frontmatter(markdown: str) -> tuple[str | None, str]:
 
 
 def parse_blocks(text: str) -> list[Block]:
-    return _blocks(text.replace("\r\n", "\n").replace("\t", "    ").split("\n"))
+    """Blocks with their inline text: a first pass finds blocks and link definitions, a second one reads the text in them."""
+    definitions: dict[str, str] = {}
+    blocks = _blocks(text.replace("\r\n", "\n").replace("\t", "    ").split("\n"), definitions)
+    _read_inline(blocks, definitions)
+    return blocks
 
 
-def _blocks(lines: list[str]) -> list[Block]:
+def _read_inline(blocks: list[Block], definitions: dict[str, str]) -> None:
+    for b in blocks:
+        if b.kind in ("paragraph", "heading"):
+            b.text = inline.written(inline.parse(b.text, definitions))
+        elif b.kind == "table":
+            b.text = "".join(inline.plain(inline.parse(c, definitions)) for c in b.cells)
+        _read_inline(b.blocks, definitions)
+        for item in b.items:
+            _read_inline(item.blocks, definitions)
+
+
+def _blocks(lines: list[str], definitions: dict[str, str]) -> list[Block]:
     out: list[Block] = []
     i, para = 0, []
 
-    def flush() -> None:
-        if para:
-            out.append(Block("paragraph", inline("\n".join(x.strip() if k else x.lstrip() for k, x in enumerate(para)).strip())))
-            para.clear()
+    def flush() -> str:
+        """The paragraph so far, which ends; what is left of it without link definitions becomes a block."""
+        text = inline.take_definitions("\n".join(x.lstrip() for x in para), definitions).strip()
+        para.clear()
+        if text:
+            out.append(Block("paragraph", text))
+        return text
 
     while i < len(lines):
         line = lines[i]
@@ -73,12 +97,14 @@ def _blocks(lines: list[str]) -> list[Block]:
             i += 1
         elif para and re.match(r"^ {0,3}(=+|-+) *$", line):
             depth = 1 if "=" in line else 2
-            out.append(Block("heading", inline(" ".join(x.strip() for x in para)), depth))
-            para.clear()
+            if text := flush():
+                out[-1] = Block("heading", re.sub(r"\s*\n\s*", " ", text), depth)
+            else:
+                para.append(line)
             i += 1
         elif m := _HEAD.match(line):
             flush()
-            out.append(Block("heading", inline((m[2] or "").strip()), len(m[1])))
+            out.append(Block("heading", (m[2] or "").strip(), len(m[1])))
             i += 1
         elif _RULE.match(line):
             flush()
@@ -95,14 +121,14 @@ def _blocks(lines: list[str]) -> list[Block]:
             out.append(Block("code", f"```{m[3].strip()}\n" + "\n".join(body) + "\n```"))
         elif (m := _ITEM.match(line)) and not (para and (m[2][0].isdigit() and m[2][:-1] != "1" or not m[4])):
             flush()
-            i = _list(lines, i, out)
+            i = _list(lines, i, out, definitions)
         elif re.match(r"^ {0,3}>", line):
             flush()
             body = []
             while i < len(lines) and lines[i].strip() and (re.match(r"^ {0,3}>", lines[i]) or not _starts_block(lines[i])):
                 body.append(re.sub(r"^ {0,3}> ?", "", lines[i]))
                 i += 1
-            out.append(Block("quote", blocks=_blocks(body)))
+            out.append(Block("quote", blocks=_blocks(body, definitions)))
         elif not para and re.match(r"^ {0,3}<(?:[A-Za-z/!?])", line) and not re.match(r"^ {0,3}<(?:https?:|mailto:)", line):
             body = []
             while i < len(lines) and lines[i].strip():
@@ -113,9 +139,9 @@ def _blocks(lines: list[str]) -> list[Block]:
             cells = []
             while i < len(lines) and lines[i].strip() and "|" in lines[i]:
                 if not re.match(r"^[ |:-]+$", lines[i]):
-                    cells += [inline(c.strip(), plain=True) for c in lines[i].strip().strip("|").split("|")]
+                    cells += [c.strip() for c in lines[i].strip().strip("|").split("|")]
                 i += 1
-            out.append(Block("table", "".join(cells)))
+            out.append(Block("table", cells=cells))
         elif not para and line.startswith("    "):
             body = []
             while i < len(lines) and (lines[i].startswith("    ") or not lines[i].strip()):
@@ -133,7 +159,7 @@ def _starts_block(line: str) -> bool:
     return bool(_HEAD.match(line) or _RULE.match(line) or _FENCE.match(line) or _ITEM.match(line))
 
 
-def _list(lines: list[str], i: int, out: list[Block]) -> int:
+def _list(lines: list[str], i: int, out: list[Block], definitions: dict[str, str]) -> int:
     """One list: items of the same marker kind; blank lines inside don't end it."""
     kind = _ITEM.match(lines[i])[2][-1]
     block = Block("list")
@@ -158,7 +184,7 @@ def _list(lines: list[str], i: int, out: list[Block]) -> int:
             else:
                 break
             i += 1
-        block.items.append(Item(_blocks(body)))
+        block.items.append(Item(_blocks(body, definitions)))
         k = i
         while k < len(lines) and not lines[k].strip():
             k += 1
@@ -168,15 +194,6 @@ def _list(lines: list[str], i: int, out: list[Block]) -> int:
     return i
 
 
-def inline(text: str, plain: bool = False) -> str:
-    """Inline markup as it is written, hard breaks as line ends; plain drops the markup."""
-    text = re.sub(r"(?: {2,}|\\)\n", "\n", text)
-    if plain:
-        text = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", text)
-        text = re.sub(r"(\*\*|__|~~|`)(.+?)\1", r"\2", text)
-    return text
-
-
 def split_sentences(text: str) -> list[str]:
     body = re.sub(r"\n+\Z", "", text)
     masked = _ABBREVIATION.sub(lambda m: m[0].replace(".", DOT), body)
@@ -350,6 +367,30 @@ def parse(notes: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     return notes.select("note_id", "title", "markdown").mapInPandas(run, PARSED)
 
 
+class ParseNote:
+    """The parser as a table function: note_id, title and markdown to the nodes of the note, in document order."""
+
+    def eval(self, note_id: str, title: str, markdown: str):
+        if note_id is not None:
+            for n in parse_note(note_id, title or "", note_id, markdown or "")["nodes"]:
+                yield tuple(n[c] for c in _NODE)
+
+
+_NODE = ("id", "note_id", "parent_id", "type", "heading_trail", "depth", "sibling_order", "content", "content_hash", "ancestor_ids", "ordinal")
+parse_note_table = udtf(ParseNote, returnType=NODES, useArrow=True)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the parser callable from SQL: `SELECT n.* FROM notes, LATERAL parse_note(note_id, title, markdown) n`."""
+    ready(spark).udtf.register("parse_note", parse_note_table)
+
+
+def lateral_nodes(notes: DataFrame) -> DataFrame:
+    """notes(note_id, title, markdown) as nodes, by the table function."""
+    called = parse_note_table(*[F.col(c).outer() for c in ("note_id", "title", "markdown")])
+    return notes.select("note_id", "title", "markdown").lateralJoin(called.alias("n")).select("n.*")
+
+
 def nodes_of(parsed: DataFrame) -> DataFrame:
     return parsed.selectExpr("inline(nodes)")
 
