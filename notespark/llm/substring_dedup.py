@@ -4,13 +4,17 @@ A window is `words` consecutive words of one document. A word goes if a window o
 id, or earlier in its own; what stays is judged on the input. No window is compared with another for its own sake. A difference cover
 D modulo v holds, for any two positions i and j, an offset d < v with (i + d) mod v and (j + d) mod v both in D. So of two equal
 windows each contains an anchor, a shorter window of words - v + 1 words that starts at a cover position, at the same offset. Pass 1
-hashes the anchors only (4 of 13 positions for windows of 20 words) and finds those that occur again. Pass 2 extends them: around
-each repeated anchor the whole windows that hold it are hashed with 128 bits, the first of equal windows is found, and the others'
-words go. Windows without a repeated anchor are unique for certain and are never shuffled.
-
-Each pass is one aggregation with partial sums and one merge join to the written table of what was found, in which Spark can split hot
+hashes the anchors only (4 of 13 positions for windows of 20 words) and finds those that occur again. Pass 2 extends them: a repeated
+anchor is hashed with all words that a window with it can hold, its context. Where a context stands earlier, so do all windows in it
+that hold the anchor, and nothing more is asked of them; so long copies cost a row an anchor, not a row a window. What is left are
+windows around anchors that occur in several contexts, as they do where a copy ends or was edited: pass 3 hashes those windows
+themselves, but for the ones that pass 2 has settled. No link is lost: two equal windows share an anchor; either its contexts are equal, and the later one is settled,
+or they differ, and both windows are in pass 3, unless settled. The first window of its kind is never settled, so it is there to be found.
+
+Each pass is an aggregation with partial sums and a merge join to the written table of what was found, in which Spark can split hot
 keys, as nothing stands between its sides and their scans: a passage in a third of all documents is one row a task in the aggregation.
-Texts are in an exchange where they meet the anchors and the words that go, by document. Inner shuffles are freed pass by pass.
+Contexts and windows have hashes of 128 bits. Texts are in an exchange where they meet what was found, by document. What a pass has
+shuffled is freed when it ends.
 
 Words are runs of other bytes than space, tab, line feed, vertical tab, form feed and carriage return; upper and lower case differ.
 Null and blank texts have no words and stay as they are, as do texts from which nothing goes; others are joined by one space. Very
@@ -79,42 +83,73 @@ def _anchors(words: int):
     return run
 
 
-def _windows(words: int):
-    period = cover_of(words)[0]
+def _around(words: int, emit, columns: list[str]):
+    """Runs emit(hashes of the words of a text, row of the batch) on each text; it returns positions and more columns of numbers."""
 
     def run(batches):
         for batch in batches:
             hashes, offsets = word_hashes(batch.column("text"), SPACES, lower=False)
-            rows, starts, forms = [], [], [[], []]
-            for row, found in enumerate(batch.column("at").to_pylist()):
-                mine = hashes[offsets[row] : offsets[row + 1]]
-                edge = np.zeros(len(mine) + 1, np.int32)
-                at = np.array([p for p in found if p < len(mine)], np.int64)  # those of another text, should two keys be equal, do no harm
-                np.add.at(edge, np.maximum(at - period + 1, 0), 1)
-                np.add.at(edge, at + 1, -1)
-                starts.append(np.flatnonzero(np.cumsum(edge[: max(0, len(mine) - words + 1)]) > 0))
-                rows.append(np.full(len(starts[-1]), row))
-                for form in (0, 1):
-                    forms[form].append(window_hashes(mine, words, form, starts[-1]).view(np.int64))
-            if rows:
-                rows, pos, (a, b) = np.concatenate(rows), np.concatenate(starts).astype(np.int32), map(np.concatenate, forms)
-                for at in range(0, len(rows), ROWS):
-                    of, part = pa.array(rows[at : at + ROWS]), slice(at, at + ROWS)
-                    same = [batch.column(c).take(of) for c in ("id", "key")]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(pos[part]), pa.array(a[part]), pa.array(b[part])], names=["id", "key", "pos", "a", "b"])
+            rows, made = [], []
+            for row, found in enumerate(zip(*[batch.column(c).to_pylist() for c in columns])):
+                made.append(emit(hashes[offsets[row] : offsets[row + 1]], *[np.array(x, np.int64) for x in found]))
+                rows.append(np.full(len(made[-1][0]), row))
+            if not rows:
+                continue
+            rows, parts = np.concatenate(rows), [np.concatenate(x) for x in zip(*made)]
+            for at in range(0, len(rows), ROWS):
+                same = [batch.column(c).take(pa.array(rows[at : at + ROWS])) for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*same, *[pa.array(x[at : at + ROWS]) for x in parts]], names=["id", "key", *["pos", "a", "b", "h"][: len(parts)]])
 
     return run
 
 
-def _cut(words: int, text_col: str, cut_col: str, made: list[str]):
+def _contexts(words: int):
+    period, _, size = cover_of(words)
+    edge = np.zeros(period - 1, np.uint64)  # stands for words before and behind a text
+
+    def emit(mine, at):
+        at = at[at <= len(mine) - size]  # those of another text, should two keys be equal, do no harm
+        wide = np.concatenate((edge, mine, edge))
+        both = [window_hashes(wide, size + 2 * (period - 1), form, at).view(np.int64) for form in (0, 1)]
+        return at.astype(np.int32), *both, window_hashes(mine, size, 0, at).view(np.int64)
+
+    return _around(words, emit, ["at"])
+
+
+def _near(at: np.ndarray, n: int, period: int) -> np.ndarray:
+    """For each of n window starts: does the window hold an anchor of `at`?"""
+    edge = np.zeros(n + period + 1, np.int32)
+    at = at[at < n + period - 1]
+    np.add.at(edge, np.maximum(at - period + 1, 0), 1)
+    np.add.at(edge, at + 1, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def _windows(words: int):
+    period = cover_of(words)[0]
+
+    def emit(mine, later, mixed):
+        n = max(0, len(mine) - words + 1)
+        start = np.flatnonzero(_near(mixed, n, period) & ~_near(later, n, period))
+        return start.astype(np.int32), *[window_hashes(mine, words, form, start).view(np.int64) for form in (0, 1)]
+
+    return _around(words, emit, ["later", "mixed"])
+
+
+def _cut(words: int, text_col: str, cut_cols: list[str], made: list[str]):
+    period = cover_of(words)[0]
+
     def run(batches):
         for batch in batches:
             raw = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary()).to_pylist()
             counts, spans, texts = [], [], []
-            for text, starts in zip(raw, batch.column(batch.schema.get_field_index(cut_col)).to_pylist()):
+            cuts = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in cut_cols]
+            for text, later, starts in zip(raw, *cuts):
                 ws = (text or b"").split()  # bytes split at exactly the white space above
                 counts.append(len(ws))
-                starts = np.array(starts or [], np.int64)
+                goes = _near(np.array(later or [], np.int64), max(0, len(ws) - words + 1), period)
+                goes[np.array(starts or [], np.int64)] = True
+                starts = np.flatnonzero(goes)
                 new = np.concatenate(([True], starts[1:] > starts[:-1] + words)) if len(starts) else np.zeros(0, bool)
                 begin = starts[new]
                 stop = starts[np.append(np.flatnonzero(new)[1:] - 1, -1)] + words if len(starts) else begin
@@ -134,42 +169,56 @@ def _cut(words: int, text_col: str, cut_col: str, made: list[str]):
 def _keyed(id_col: str, text_col: str) -> list[Column]:
     """The document's number and a hash of number and text."""
     id_ = F.col(f"`{id_col}`").cast("long")
-    return [id_.alias("id"), F.xxhash64(id_, F.col(f"`{text_col}`").cast("string")).alias("key")]
+    return [F.coalesce(id_, F.lit(-(1 << 63))).alias("id"), F.xxhash64(id_, F.col(f"`{text_col}`").cast("string")).alias("key")]
 
 
 def repeated(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, cut): for each document with windows that stand earlier too, where they start, in order."""
+    """(id, key, later, starts): for each document with windows that stand earlier too, the anchors all of whose windows do, and where
+    other such windows start. A null id is the smallest long."""
     if words < 1:
         raise ValueError("a window has at least one word")
     own = Scratch("substrings", tidy=True)
+    place = F.struct("id", "key", "pos")
     texts = docs.select(*_keyed(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
     anchors = own.write(texts.select("key", "text").mapInArrow(lean(_anchors(words)), "key long, pos int, h long"), "anchors")
     again = own.write(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "again")
     places = own.write(anchors.join(again.hint("merge"), "h").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("at")), "places")
     own.drop("anchors", "again")
-    windows = texts.join(places.hint("merge"), "key").select("id", "key", "at", "text")
-    windows = own.write(windows.mapInArrow(lean(_windows(words)), "id long, key long, pos int, a long, b long"), "windows")
+    near = texts.join(places.hint("merge"), "key").select("id", "key", "at", "text")
+    contexts = own.write(near.mapInArrow(lean(_contexts(words)), "id long, key long, pos int, a long, b long, h long"), "contexts")
     own.drop("places")
-    place = F.struct("id", "key", "pos")
+    groups = own.write(contexts.groupBy("h", "a", "b").agg(F.min(place).alias("first")), "groups")
+    mixed = groups.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.lit(True).alias("mixed"))
+    mixed = own.write(mixed, "mixed")
+    groups = own.write(groups.join(mixed.hint("merge"), "h", "left").select("h", "a", "b", "first", F.coalesce("mixed", F.lit(False)).alias("mixed")), "judged")
+    told = contexts.join(groups.hint("merge"), ["h", "a", "b"]).select("id", "key", "pos", "mixed", (place != F.col("first")).alias("later")).filter("mixed OR later")
+    listed = lambda which: F.sort_array(F.collect_set(F.when(F.col(which), F.col("pos")))).alias(which)  # noqa: E731  positions of one text
+    told = own.write(told.groupBy("id", "key").agg(listed("later"), listed("mixed")), "told")
+    own.drop("contexts", "groups", "mixed", "judged")
+    open_ = told.filter(F.size("mixed") > 0)
+    windows = texts.join(open_.hint("merge"), ["id", "key"]).select("id", "key", "later", "mixed", "text")
+    windows = own.write(windows.mapInArrow(lean(_windows(words)), "id long, key long, pos int, a long, b long"), "windows")
     firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first")
     firsts = own.write(firsts, "firsts")
     later = windows.join(firsts.hint("merge"), ["a", "b"]).filter(place != F.col("first"))
-    cuts = own.write(later.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("cut")), "cuts")
+    starts = own.write(later.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("starts")), "starts")
+    cuts = told.select("id", "key", "later").join(starts.hint("merge"), ["id", "key"], "left").filter("size(later) > 0 OR starts IS NOT NULL")
+    cuts = own.write(cuts, "cuts")
     own.leave("cuts")
-    own.close()
+    own.close("cuts")
     return cuts
 
 
 def mark(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", made: tuple[str, str, str] = ("n_words", "spans", "kept")) -> DataFrame:
     """docs plus three columns: the number of words, the spans of words that go as (start, stop) from 0, and the text of the others."""
-    i, null, k, c, t = fresh(docs, "id", "null", "key", "cut", "text")
+    i, k, c, d, t = fresh(docs, "id", "key", "later", "starts", "text")
     id_, key = _keyed(id_col, text_col)
-    keyed = docs.withColumns({i: F.coalesce(id_, F.lit(0)), null: id_.isNull(), k: key, t: F.col(f"`{text_col}`").cast("string")})
-    cuts = repeated(docs, words, id_col, text_col).select(F.coalesce("id", F.lit(0)).alias(i), F.col("id").isNull().alias(null), F.col("key").alias(k), F.col("cut").alias(c))
-    joined = keyed.join(cuts.hint("merge"), [i, null, k], "left").select(*[F.col(f"`{x}`") for x in docs.columns], t, c)
+    keyed = docs.withColumns({i: id_, k: key, t: F.col(f"`{text_col}`").cast("string")})
+    cuts = repeated(docs, words, id_col, text_col).select(F.col("id").alias(i), F.col("key").alias(k), F.col("later").alias(c), F.col("starts").alias(d))
+    joined = keyed.join(cuts.hint("merge"), [i, k], "left").select(*[F.col(f"`{x}`") for x in docs.columns], t, c, d)
     kinds = (T.LongType(), SPANS, T.StringType())
     schema = T.StructType([*joined.schema.fields, *[T.StructField(n, kind) for n, kind in zip(made, kinds)]])
-    return joined.mapInArrow(lean(_cut(words, t, c, list(made))), schema).drop(t, c)
+    return joined.mapInArrow(lean(_cut(words, t, [c, d], list(made))), schema).drop(t, c, d)
 
 
 def drop_repeated(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

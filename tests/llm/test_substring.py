@@ -100,4 +100,4 @@ def test_no_window_of_unique_text_is_shuffled(spark, monkeypatch):
     shared = [f"s{k}" for k in range(40)]
     texts = [" ".join([f"u{r.randrange(10**9)}" for _ in range(400)] + shared * (k < 2)) for k in range(20)]
     sd.repeated(spark.createDataFrame([(k, t, 0, "") for k, t in enumerate(texts)], DOCS))
-    assert sizes["anchors"] < 0.34 * 20 * 440 and sizes["windows"] <= 2 * (40 + 2 * 13)
+    assert sizes["anchors"] < 0.34 * 20 * 440 and sizes["windows"] <= 2 * (40 + 2 * 13) and sizes["contexts"] <= 2 * 20
