@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
+MOST_ROOTS = 1024
+
+
+def _linked(nodes: DataFrame) -> DataFrame:
+    """(id, parent_id), null where the parent is not there."""
+    there = nodes.select(F.col("id").alias("parent_id")).withColumn("__there", F.lit(True))
+    return nodes.select("id", "parent_id").join(there, "parent_id", "left").select("id", F.when(F.col("__there"), F.col("parent_id")).alias("parent_id"))
+
+
+def _pointers(nodes: DataFrame, start: Column, merge, out: str) -> DataFrame:
+    """Pointer doubling over parent links: (id, up, out) where up is null for all, and out is what merge(own, above) makes of `start`
+    along the way to the root. Each round doubles the way, so a chain of n nodes takes log2(n)
+    rounds, each one join on ids; a node that never gets to a root is in a cycle, or under one, which is an error."""
+    now = kept(nodes.select("id", F.col("parent_id").alias("up"), start.alias(out)))
+    rounds = math.ceil(math.log2(max(2, nodes.count()))) + 1
+    for _ in range(rounds):
+        if now.filter("up IS NOT NULL").isEmpty():
+            return now
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col(out).alias("__out"))
+        done, going = now.filter("up IS NULL"), now.filter("up IS NOT NULL")
+        now = kept(done.unionByName(going.join(above, "up").select("id", F.col("__up").alias("up"), merge(F.col(out), F.col("__out")).alias(out))))
+    if now.filter("up IS NOT NULL").isEmpty():
+        return now
+    raise ValueError(f"the parents of {now.filter('up IS NOT NULL').first().id} form a cycle")
+
+
+def with_ancestors(nodes: DataFrame) -> DataFrame:
+    """nodes(id, parent_id, ...) plus ancestor_ids, root first, whatever the depth; a cycle is an error."""
+    kind = nodes.schema["id"].dataType.simpleString()
+    own = F.when(F.col("parent_id").isNotNull(), F.array(F.col("parent_id"))).otherwise(F.array()).cast(f"array<{kind}>")
+    return nodes.drop("ancestor_ids").join(_pointers(_linked(nodes), own, lambda a, b: F.concat(b, a), "ancestor_ids").drop("up"), "id", "left")
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """(id, depth) by parent links alone."""
+    return _pointers(_linked(nodes), F.when(F.col("parent_id").isNull(), 0).otherwise(1), lambda a, b: a + b, "depth").select("id", "depth")
+
 
-def with_ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """nodes(id, parent_id, ...) plus ancestor_ids, root first. Level by level, so rows that are done stop being joined."""
-    level = nodes.filter("parent_id IS NULL").select("id", F.array().cast("array<string>").alias("ancestor_ids"))
-    links = nodes.filter("parent_id IS NOT NULL").select(F.col("id"), F.col("parent_id").alias("pid"))
-    out = level
-    for _ in range(max_depth):
-        level = links.join(level.withColumnRenamed("id", "pid"), "pid").select("id", F.concat("ancestor_ids", F.array("pid")).alias("ancestor_ids"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return nodes.drop("ancestor_ids").join(out, "id", "left")
+def closure(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id) of the nodes in or under roots(id), by parent links alone."""
+    marked = _linked(nodes).join(roots.select("id").distinct().withColumn("__root", F.lit(True)), "id", "left")
+    inside = _pointers(marked, F.coalesce("__root", F.lit(False)), lambda a, b: a | b, "inside")
+    return inside.filter("inside").select("id")
 
 
 def subtree_sql(table: str, roots: list) -> str:
@@ -26,8 +61,14 @@ def subtree_sql(table: str, roots: list) -> str:
 
 
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes in or under the roots(id): one semi join over exploded ancestor arrays."""
-    lines = nodes.select("id", F.explode(F.concat("ancestor_ids", F.array("id"))).alias("root"))
+    """Nodes in or under the roots(id). A cut list of roots is held against the ancestor arrays where nodes are read, without an
+    exchange; more roots than MOST_ROOTS are joined to the exploded arrays."""
+    few = [r.id for r in roots.select("id").distinct().limit(MOST_ROOTS + 1).collect()]  # at most MOST_ROOTS + 1
+    line = F.concat("ancestor_ids", F.array("id"))
+    if len(few) <= MOST_ROOTS:
+        kind = nodes.schema["id"].dataType.simpleString()
+        return nodes.filter(F.arrays_overlap(line, F.array(*[F.lit(i) for i in few]).cast(f"array<{kind}>"))) if few else nodes.limit(0)
+    lines = nodes.select("id", F.explode(line).alias("root"))
     inside = lines.join(roots.select(F.col("id").alias("root")), "root", "left_semi").select("id").distinct()
     return nodes.join(inside, "id", "left_semi")
 

@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..operators import blockmax, cells, filters, indexing, jobs, ranking, search, tree
 from ..session import kept, ready, scratch_path
 from ..sources import markdown
+from ..streaming import fsm
 from . import chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -662,3 +663,52 @@ def q57(read):
     markdown.register(spark)
     found = spark.sql("SELECT n.* FROM {notes} p, LATERAL parse_note(p.note_id, p.title, p.markdown) n WHERE n.type IN ('topic', 'bullet')", notes=notes)
     return found.select(F.col("note_id").cast("long").alias("page_id"), "type", "depth", "content", (F.col("sibling_order") + 1).cast("long").alias("sibling"))
+
+
+# --- streams, closures, prompts
+
+
+@query("q58_job_stream", SQL["q44_illegal_steps"])
+def q58(read):
+    """The rule of q44 over the events as a stream, with typed state for each job."""
+    events = read("events")
+    spark, (path, *_) = events.sparkSession, events.inputFiles()
+    folder, _, name = path.rpartition("/")
+    if name.startswith("part-"):
+        folder, _, name = folder.rpartition("/")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name.replace('events', 'event[s]')}")
+    steps = stream.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), step(F.col("event_id")).alias("step"))
+    at = scratch_path(spark, "job-stream")
+    found = fsm.replay(fsm.audit(steps), f"{at}/out", f"{at}/checkpoint")
+    return found.select(F.col("seq").alias("event_id"), "from_step", "step")
+
+
+@query(
+    "q59_tree_closure",
+    f"""WITH RECURSIVE {HEAP}, d AS (SELECT id, 0 AS depth, id IN (2, 17) AS inside FROM heap WHERE parent_id IS NULL UNION ALL SELECT h.id, depth + 1, inside OR h.id IN (2, 17) FROM heap h JOIN d ON h.parent_id = d.id)
+SELECT id, depth, inside FROM d""",
+)
+def q59(read):
+    n = heap(read).select("id", "parent_id")
+    inside = tree.closure(n, n.filter("id IN (2, 17)").select("id")).withColumn("hit", F.lit(True))
+    return tree.depths(n).join(inside, "id", "left").select("id", "depth", F.coalesce("hit", F.lit(False)).alias("inside"))
+
+
+PHRASES = ["", " last 3 days", " since 2024-01-10", " between 2024-02-03 and 2024-01-02", " yesterday", " this month", " last month", " last:5d now", " past 2 weeks"]
+
+
+@query(
+    "q60_prompt_ranges",
+    f"""WITH p AS (SELECT conv_id, turn, DATE '2024-03-15' + (conv_id % 40)::INT AS today, conv_id % {len(PHRASES)} AS w FROM conversations WHERE role = 'user'),
+r AS (SELECT *, CASE w WHEN 1 THEN today - 2 WHEN 2 THEN DATE '2024-01-10' WHEN 3 THEN DATE '2024-01-02' WHEN 4 THEN today - 1 WHEN 5 THEN date_trunc('month', today)::DATE WHEN 6 THEN date_trunc('month', today - INTERVAL 1 MONTH)::DATE WHEN 8 THEN today - 13 END AS s,
+  CASE w WHEN 1 THEN today WHEN 2 THEN today WHEN 3 THEN DATE '2024-02-03' WHEN 4 THEN today - 1 WHEN 5 THEN today WHEN 6 THEN (date_trunc('month', today) - INTERVAL 1 DAY)::DATE WHEN 8 THEN today END AS e FROM p)
+SELECT conv_id, turn, strftime(s, '%Y-%m-%d') AS start, strftime(e, '%Y-%m-%d') AS "end", CASE w WHEN 0 THEN NULL WHEN 7 THEN NULL {' '.join(f"WHEN {k} THEN '{p.strip()}'" for k, p in enumerate(PHRASES) if k not in (0, 7))} END AS phrase,
+  CASE w WHEN 7 THEN strftime(today - 5, '%Y-%m-%d') END AS filter_start FROM r""",
+)
+def q60(read):
+    c = read("conversations").filter("role = 'user'")
+    today = F.date_add(F.lit("2024-03-15").cast("date"), (F.col("conv_id") % 40).cast("int"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.get(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % len(PHRASES)).cast("int")))
+    rows = c.select("conv_id", "turn", said.alias("said"), today.alias("today"))
+    found = rows.withColumn("r", D.prompt_range(F.col("said"), F.col("today")))
+    return found.select("conv_id", "turn", "r.*", chat.chat_filters(F.col("said"), F.col("today"))["start"].alias("filter_start"))

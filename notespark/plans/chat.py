@@ -112,17 +112,23 @@ def parse_input(raw: str, today: date) -> dict:
     return out
 
 
-def chat_filters(raw: Column) -> dict[str, Column]:
-    """parse_input for a column of prompts, without last:Nd."""
+def chat_filters(raw: Column, today: Column | None = None) -> dict[str, Column]:
+    """parse_input for a column of prompts; last:Nd counts from today, and is text where that is not given."""
     s = F.trim(raw)
-    last = lambda w: F.get(F.reverse(F.regexp_extract_all(s, F.lit(rf"\b{w}:(\d{{4}}-\d{{2}}-\d{{2}})\b"), F.lit(1))), 0)
+    last = lambda e: F.get(F.reverse(F.regexp_extract_all(s, F.lit(e), F.lit(1))), 0)
     bare = F.regexp_replace(F.regexp_replace(s, r"\bpath:\S+", " "), r"\b(?:since|before):\d{4}-\d{2}-\d{2}\b", " ")
+    start = last(r"\bsince:(\d{4}-\d{2}-\d{2})\b")
+    if today is not None:
+        bare = F.regexp_replace(bare, r"(?i)\blast:\d+d\b", " ")
+        most = F.datediff(today, F.lit("0001-01-01").cast("date"))
+        days = F.least(F.coalesce(last(r"(?i)\blast:(\d+)d\b").try_cast("long"), most), most).cast("int")  # more than a long holds: as far as days go
+        start = F.when(s.rlike(r"(?i)\blast:\d+d\b"), F.date_format(F.date_sub(today, days), "yyyy-MM-dd")).otherwise(start)
     return {
         "text": F.trim(F.regexp_replace(bare, r"\s+", " ")),
         "path_globs": F.regexp_extract_all(s, F.lit(r"\bpath:(\S+)"), F.lit(1)),
         "tags": chat_tags(s),
-        "start": last("since"),
-        "end": last("before"),
+        "start": start,
+        "end": last(r"\bbefore:(\d{4}-\d{2}-\d{2})\b"),
     }
 
 

@@ -6,6 +6,9 @@ the next manifest, which names the folders of all tables. So a run that dies bet
 version that they started with for RETAIN_S after it is out of date, and of two writers that started from the same version the
 second one fails.
 
+That needs a file system that refuses to create a file twice and renames it as a whole, as HDFS and local disks do; on an object store
+without those two, only one writer may run.
+
 The keyword index is a table like the others (one row for each node and term, sorted by term, so that a filter on terms skips row
 groups); the numbers that BM25 needs of the whole store are kept by bucket in the manifest. Both are updated for touched buckets only.
 """
@@ -30,6 +33,7 @@ KEYS = {
 }
 OF_NODES = ("summaries", "tags", "embeddings", "cross_refs", "postings")
 RETAIN_S = 6 * 3600  # how long readers can use a version that is out of date; longer than the longest transaction
+MOST_FOLDERS = 16  # of a bucket, before they are written as one
 BUCKETS = 16  # of a new store; one of a billion notes wants some thousands
 
 
@@ -111,7 +115,8 @@ class Store:
         out = fs.create(path(f"{self.base}/_manifest/{number:08d}.part"), True)
         out.write(json.dumps(self._pending).encode())
         out.close()
-        fs.rename(path(f"{self.base}/_manifest/{number:08d}.part"), path(f"{self.base}/_manifest/{number:08d}.json"))
+        if not fs.rename(path(f"{self.base}/_manifest/{number:08d}.part"), path(f"{self.base}/_manifest/{number:08d}.json")):
+            raise Conflict(f"version {number} could not be published")
         self._clean(number)
 
     def _clean(self, number: int) -> None:
@@ -142,8 +147,10 @@ class Store:
     def _write(self, table: str, rows: DataFrame, version: str) -> None:
         want = self.spark.createDataFrame([], schemas.TABLES[table]).schema
         out = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want]).withColumn("__b", bucket_of(table, self.buckets))
+        # by bucket, but as many tasks and files as the rows are worth: large buckets are split, small ones share a task
+        out = out.hint("rebalance", "__b")
         if table == "postings":
-            out = out.repartition("__b").sortWithinPartitions("__b", "term")
+            out = out.sortWithinPartitions("__b", "term")
         out.write.mode("append").partitionBy("__b").parquet(f"{self.base}/{table}/{version}")
 
     def _folders(self, table: str, version: str) -> dict[str, str]:
@@ -157,6 +164,11 @@ class Store:
             have = self._pending["tables"].setdefault(table, {})
             for b, folder in self._folders(table, version).items():
                 have[b] = [*have.get(b, []), folder]
+            many = {int(b) for b, folders in have.items() if len(folders) > MOST_FOLDERS}
+            if many:
+                whole = uuid.uuid4().hex
+                self._write(table, self.read(table, many), whole)
+                have |= {b: [folder] for b, folder in self._folders(table, whole).items()}
 
     def replace(self, table: str, rows: DataFrame | None = None, gone: DataFrame | None = None, keys: list[str] | None = None) -> None:
         """Rows whose key column is in `gone`(that column), or whose `keys` equal those of new rows, go; `rows` come in. New rows are

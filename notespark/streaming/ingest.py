@@ -34,5 +34,13 @@ def start(stream: DataFrame, engine, checkpoint: str, drain: bool = True) -> Str
 
 
 def progress_windows(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
-    """Counts of progress events (ts, step, status) by time window, late ones within the watermark counted in."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "step", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of progress events (job_id, step, status, at) by time window; late ones within the watermark count, repeated ones once."""
+    once = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["job_id", "step", "status"])
+    return once.groupBy(F.window("at", size), "step", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_sessions(events: DataFrame, late: str = "10 minutes", gap: str = "15 minutes") -> DataFrame:
+    """Each run's spells of work: (run_id, window, events, jobs, about, and dead letters), a spell ending after `gap` without an event."""
+    once = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["job_id", "step", "status"])
+    spells = once.groupBy(F.session_window("at", gap), "run_id")
+    return spells.agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("job_id").alias("jobs"), F.count_if(F.col("status") == "dead_letter").alias("dead")).withColumnRenamed("session_window", "window")
