@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 import uuid
 import warnings
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from . import ports, schemas
 from .functions.dates import note_date
 from .functions.globs import path_matches
-from .operators import indexing, jobs, search
+from .operators import blockmax, indexing, jobs, search
+from .operators.cells import CellIndex
 from .plans import agent, chat
 from .session import ready
 from .sources import markdown
@@ -244,9 +247,37 @@ class Engine:
 
     # --- reading
 
+    def _version(self) -> str:
+        """What names the present nodes, keywords and vectors."""
+        tables = self.store._now()["tables"]
+        return hashlib.sha256(json.dumps([tables.get(t) for t in ("nodes", "postings", "embeddings")], sort_keys=True).encode()).hexdigest()[:32]
+
+    def optimize(self) -> str:
+        """Writes the search indexes of the store as it is now: keyword blocks with their bounds, cells of vectors. Searches use them
+        until a note changes, and read the tables after that, with the same answers."""
+        version = self._version()
+        base = f"{self.store.base}/_index/{version}"
+        fs, path = self.store._fs()
+        if not fs.exists(path(f"{base}/_DONE")):
+            fs.delete(path(base), True)
+            blockmax.build(self.store.read("postings")).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{base}/blocks")
+            for kind in ("content", "summary"):
+                vectors = self.store.read("embeddings").filter(F.col("vector_type") == kind).select(F.col("node_id").alias("id"), "embedding")
+                CellIndex.build(vectors, f"{base}/{kind}")
+            fs.create(path(f"{base}/_DONE"), True).close()
+        for old in self.store._names("_index"):
+            if old != version:
+                fs.delete(path(f"{self.store.base}/_index/{old}"), True)
+        return version
+
     def corpus(self) -> search.Corpus:
         s = self.store
-        return search.Corpus(s.with_meta(), s.read("embeddings"), s.read("summaries"), s.read("tags"), s.read("postings"), s.stats())
+        base = f"{s.base}/_index/{self._version()}"
+        fs, path = s._fs()
+        blocks, found = None, {}
+        if fs.exists(path(f"{base}/_DONE")):
+            blocks, found = self.spark.read.parquet(f"{base}/blocks"), {kind: CellIndex.read(self.spark, f"{base}/{kind}") for kind in ("content", "summary")}
+        return search.Corpus(s.with_meta(), s.read("embeddings"), s.read("summaries"), s.read("tags"), s.read("postings"), s.stats(), blocks, found)
 
     def search(self, request: search.SearchRequest) -> DataFrame:
         return search.search(self.corpus(), request, lambda q: self.embedder.embed([q])[0])

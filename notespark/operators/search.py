@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.vectors import l2, literal
 from ..session import kept
 from . import ranking, tree
+from .cells import CellIndex
 from .filters import notes_with_tag, request_filter, with_tag
 
 K1, B = 1.2, 0.75
@@ -129,14 +130,22 @@ class Corpus:
     tags: DataFrame
     postings: DataFrame
     stats: DataFrame
+    blocks: DataFrame | None = None  # the block index of the postings
+    cells: dict[str, CellIndex] = field(default_factory=dict)  # the cell index of the vectors of a kind
+
+    def nearest(self, nodes: DataFrame, kind: str, vector: list[float], k: int) -> DataFrame:
+        """The k of these nodes whose vectors of a kind are nearest."""
+        if kind in self.cells:
+            return self.cells[kind].nearest(vector, k, nodes)
+        return nearest(vector_rows(nodes, self.embeddings, kind), vector, k)
 
 
 def coarse(c: Corpus, kept: DataFrame, request: SearchRequest, vector: list[float], coarse_k: int) -> DataFrame:
     """(id, rank) of the coarse phase: summary vectors fused with keywords, or summary vectors alone."""
-    by_vector = ranking.ranked(nearest(vector_rows(kept, c.embeddings, "summary"), vector, coarse_k), "distance")
+    by_vector = ranking.ranked(c.nearest(kept, "summary", vector, coarse_k), "distance")
     if not request.hybrid:
         return by_vector.select("id", "rank")
-    words = keyword_top(kept, c.postings, c.stats, request.query, coarse_k, F.col("type").isin(COARSE_TYPES))
+    words = keyword_top(kept, c.postings, c.stats, request.query, coarse_k, F.col("type").isin(COARSE_TYPES), c.blocks)
     fused = ranking.fuse([by_vector, ranking.ranked(words, "bm25")])
     best = fused.orderBy(F.desc("rrf_score"), "id").limit(coarse_k)
     return ranking.ranked(best, "rrf_score", descending=True).select("id", "rank")
@@ -152,10 +161,9 @@ def search_hits(c: Corpus, request: SearchRequest, vector: list[float], kept: Da
     """(id, distance) of the drill-down and, where the coarse phase found too little, of the fallback."""
     k, coarse_k = request.k or DEFAULT_K, clamp_coarse(request.coarse_k if request.coarse_k is not None else DEFAULT_COARSE)
     roots = coarse(c, kept, request, vector, coarse_k)
-    content = vector_rows(kept, c.embeddings, "content")
     inside = tree.descendants(kept.select("id", "ancestor_ids"), roots).select("id")
-    drill = nearest(content.join(inside, "id", "left_semi"), vector, k)
-    wide = gate(nearest(content, vector, coarse_k), roots, fallback_floor(coarse_k))
+    drill = c.nearest(inside, "content", vector, k)
+    wide = gate(c.nearest(kept, "content", vector, coarse_k), roots, fallback_floor(coarse_k))
     return ranking.merge_min([drill, wide]).orderBy("distance", "id").limit(k)
 
 

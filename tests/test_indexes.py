@@ -103,3 +103,22 @@ def test_cells_leave_most_vectors_unread(spark, tmp_path):
 def test_cells_of_nothing(spark, tmp_path):
     v = vectors(spark).filter("embedding IS NULL")
     assert cells.CellIndex.build(v, f"file://{tmp_path}/c").nearest([0.0] * 8, 5).count() == 0
+
+
+def test_engine_answers_the_same_with_and_without_indexes(spark, tmp_path):
+    from notespark.engine import Engine
+
+    r = random.Random(5)
+    word = lambda: r.choice(["deal", "acme", "budget", "trip", "river", "mountain", "paper", "tree"])
+    notes = [(f"{'a' if k % 2 else 'b'}/{k}.md", f"# {word()} {k}\n\n{word()} {word()}\n\n## {word()}\n\n- {word()} {word()}\n- {word()}\n") for k in range(25)]
+    files = spark.createDataFrame(notes, "path string, content string").withColumn("hash", F.sha2("content", 256))
+    e = Engine(spark, f"file://{tmp_path}/s")
+    e.index(files)
+    asked = [search.SearchRequest("acme deal", k=5), search.SearchRequest("river", k=3, path_globs=["a/**"], coarse_k=4), search.SearchRequest("paper tree", hybrid=False)]
+    answer = lambda: [[tuple(x) for x in e.search(q).orderBy("rank").collect()] for q in asked]
+    before = answer()
+    version = e.optimize()
+    assert e.corpus().blocks is not None and set(e.corpus().cells) == {"content", "summary"} and answer() == before
+    assert e.optimize() == version
+    e.index(files.limit(1).withColumn("content", F.lit("# new river")).withColumn("hash", F.lit("x")))
+    assert e.corpus().blocks is None and e.corpus().cells == {}
