@@ -17,6 +17,7 @@ from ..functions import globs as G
 from ..functions import text as T
 from ..operators import blockmax, cells, filters, indexing, jobs, ranking, search, tree
 from ..session import kept, ready, scratch_path
+from ..engine import Engine
 from ..sources import markdown
 from ..streaming import fsm
 from . import chat
@@ -712,3 +713,98 @@ def q60(read):
     rows = c.select("conv_id", "turn", said.alias("said"), today.alias("today"))
     found = rows.withColumn("r", D.prompt_range(F.col("said"), F.col("today")))
     return found.select("conv_id", "turn", "r.*", chat.chat_filters(F.col("said"), F.col("today"))["start"].alias("filter_start"))
+
+
+# --- the store: pages as notes, indexed, then indexed again after some changed and some went
+
+_stores: dict[tuple[str, str], Engine] = {}
+
+
+def _page_notes(p: DataFrame, again: bool) -> DataFrame:
+    clean = lambda c: F.regexp_replace(c, MARKUP, "")
+    urls, texts = (F.transform(F.regexp_extract_all("html", F.lit(e), 1), clean) for e in ('<li><a href="([^"]*)">[^<]*</a>', '<li><a href="[^"]*">([^<]*)</a>'))
+    head = F.concat(F.when((F.col("page_id") % 5 == 0) & F.lit(again), "New ").otherwise("Page "), F.trim(clean(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1))))
+    part = lambda k: (F.col("page_id") % k).cast("string")
+    front = F.concat(F.lit("---\ntags: [web, p"), part(4), F.lit("]\n---\n# "), head)
+    said = F.concat(F.lit("Text #t"), part(3), F.lit(" [[Link "), part(5), F.lit("]]."))
+    items = F.transform(texts, lambda t: F.concat(F.lit("- see *["), t, F.lit("]*")))
+    definitions = F.zip_with(texts, urls, lambda t, u: F.concat(F.lit("["), t, F.lit("]: "), u))
+    text = F.concat_ws("\n\n", front, said, F.array_join(items, "\n"), F.array_join(definitions, "\n"))
+    return p.select(F.concat(F.lit("p/"), "page_id", F.lit(".md")).alias("path"), text.alias("content"), F.sha2(text, 256).alias("hash"))
+
+
+def indexed(read) -> Engine:
+    """The engine over the pages; made once a session and folder, in a scratch folder."""
+    p = read("pages")
+    key = (p.sparkSession.sparkContext.applicationId, p.inputFiles()[0])
+    if key not in _stores:
+        engine = Engine(p.sparkSession, scratch_path(p.sparkSession, "store"), buckets=1)
+        engine.index(_page_notes(p, False))
+        engine.index(_page_notes(p.filter("page_id % 7 <> 0"), True), prune=True)
+        _stores[key] = engine
+    return _stores[key]
+
+
+_CLEAN = r"regexp_replace({}, '[*_~`|#<>\\\[\]]', '', 'g')"
+STORE = f"""pg AS (SELECT page_id, 'p/' || page_id || '.md' AS note_id, replace(CASE WHEN page_id % 5 = 0 THEN 'New ' ELSE 'Page ' END || trim({_CLEAN.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}), '&amp;', '&') AS head,
+  regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1) AS us, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS ts FROM pages WHERE page_id % 7 <> 0),
+lk AS (SELECT *, {_CLEAN.format("us[i]")} AS u, replace({_CLEAN.format("ts[i]")}, '&amp;', '&') AS t FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM pg)),
+bl AS (SELECT *, replace(first_value(u) OVER (PARTITION BY page_id, lower(t) ORDER BY i), '&amp;', '&') AS target FROM lk),
+st AS (SELECT note_id, 'note' AS type, 0 AS depth, 0 AS sibling_order, '' AS trail, page_id || '.md' AS content FROM pg UNION ALL SELECT note_id, 'topic', 1, 0, '', trim(head) FROM pg
+  UNION ALL SELECT note_id, 'paragraph', 2, 0, trim(head), 'Text #t' || page_id % 3 || ' [[Link ' || page_id % 5 || ']].' FROM pg UNION ALL SELECT note_id, 'bullet_group', 2, 1, trim(head), '' FROM pg
+  UNION ALL SELECT note_id, 'bullet', 3, i - 1, trim(head), 'see *[' || t || '](' || target || ')*' FROM bl)"""
+
+
+@query("q61_store_nodes", f"WITH {STORE} SELECT * FROM st")
+def q61(read):
+    return indexed(read).store.read("nodes").select("note_id", "type", "depth", F.col("sibling_order").cast("long").alias("sibling_order"), F.array_join("heading_trail", " > ").alias("trail"), "content")
+
+
+@query(
+    "q62_store_tags_links",
+    f"""WITH {STORE} SELECT note_id, 'note' AS type, 'frontmatter' AS kind, 'web' AS value, NULL AS said, 1 AS n FROM pg UNION ALL SELECT note_id, 'note', 'frontmatter', 'p' || page_id % 4, NULL, 1 FROM pg
+UNION ALL SELECT note_id, 'paragraph', 'inline', 't' || page_id % 3, NULL, 1 FROM pg UNION ALL SELECT note_id, 'paragraph', 'link', 'Link ' || page_id % 5 || '.md', NULL, 1 FROM pg
+UNION ALL SELECT note_id, 'bullet', 'link', regexp_replace('p/' || regexp_replace(target, '^\./', ''), '/+', '/', 'g'), t, count(*) FROM bl GROUP BY ALL""",
+)
+def q62(read):
+    s = indexed(read).store
+    nodes_of = s.read("nodes").select("id", "note_id", "type")
+    tagged = s.read("tags").select(F.col("node_id").alias("id"), F.col("source").alias("kind"), F.col("tag").alias("value"), F.lit(None).cast("string").alias("said"))
+    linked = s.read("cross_refs").select(F.col("source_node_id").alias("id"), F.lit("link").alias("kind"), F.col("target_path").alias("value"), F.col("link_text").alias("said"))
+    return nodes_of.join(tagged.unionByName(linked), "id").groupBy("note_id", "type", "kind", "value", "said").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q63_store_postings",
+    f"""WITH {STORE}, w AS (SELECT note_id, type, depth, sibling_order, list_filter(string_split_regex(strip_accents(lower(content)), '[^0-9a-z\\x{{80}}-\\x{{ffff}}]+'), lambda t: t <> '') AS ts FROM st)
+SELECT note_id, type, sibling_order, term, len(ts) AS length, count(*) AS tf FROM (SELECT *, unnest(ts) AS term FROM w) GROUP BY ALL""",
+)
+def q63(read):
+    s = indexed(read).store
+    own = s.read("nodes").select("id", "note_id", "type", F.col("sibling_order").cast("long").alias("sibling_order"))
+    return own.join(s.read("postings"), "id").drop("id")
+
+
+@query(
+    "q64_store_notes",
+    f"""WITH {STORE}, c AS (SELECT note_id, count(*) AS node_count, count(*) FILTER (content <> '') AS content_vectors FROM st GROUP BY 1)
+SELECT note_id, note_id AS vault_path, node_count, content_vectors, 2 AS summary_vectors, 2 AS summaries FROM c""",
+)
+def q64(read):
+    s = indexed(read).store
+    own = s.read("nodes").select(F.col("id").alias("node_id"), "note_id")
+    vectors = own.join(s.read("embeddings"), "node_id").groupBy("note_id").agg(F.count_if(F.col("vector_type") == "content").alias("content_vectors"), F.count_if(F.col("vector_type") == "summary").alias("summary_vectors"))
+    said = own.join(s.read("summaries"), "node_id").groupBy("note_id").agg(F.count(F.lit(1)).alias("summaries"))
+    return s.read("note_meta").select("note_id", "vault_path", "node_count").join(vectors, "note_id").join(said, "note_id")
+
+
+@query(
+    "q65_engine_queue",
+    """WITH j AS (SELECT count(*) + count(*) FILTER (page_id % 5 = 0 AND page_id % 7 <> 0) AS n FROM pages) SELECT 0 AS pending, 0 AS processing, n AS completed, 0 AS dead_items, n AS embedded_jobs, 8 * n AS events FROM j""",
+)
+def q65(read):
+    """Both runs: all pages, then those that changed."""
+    e = indexed(read)
+    steps = e.store.read("job_steps").agg(F.count_if(F.col("current_step") == "embedded").alias("embedded_jobs"))
+    events = e.store.read("progress_events").agg(F.count(F.lit(1)).alias("events"))
+    return e.status().select("pending", "processing", "completed", "dead_items").crossJoin(steps).crossJoin(events)  # one row each
