@@ -41,6 +41,19 @@ def clamp_coarse(k) -> int:
         return DEFAULT_COARSE
 
 
+def coarse_setting(raw: str) -> tuple[int, str | None]:
+    """Coarse K as a user types it, and what to say where it was not taken as it is: blank is the default, a fraction is cut off."""
+    if not raw.strip():
+        return DEFAULT_COARSE, None
+    try:
+        asked = float(raw)
+        whole = int(asked)
+    except (ValueError, OverflowError):
+        return DEFAULT_COARSE, f"not a number; the default of {DEFAULT_COARSE} is used"
+    value = clamp_coarse(whole)
+    return value, None if value == asked else f"{value} is used"
+
+
 def fallback_floor(coarse_k: int) -> int:
     return max(4, coarse_k // 4)
 
