@@ -7,10 +7,13 @@ import ctypes
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ready
 
@@ -60,12 +63,16 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.coalesce(max(min(wave, 1 + known // LEAST_BYTES), min(known // PART_BYTES, 1_000_000)))
 
 
-def write_table(df: DataFrame, name: str, owner: str = "") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning."""
+def write_table(df: DataFrame, name: str, owner: str = "", by: Column | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning.
+    by: a number that the files are parted by, read back as __nd_part, so that a filter on it opens only its files."""
     spark = df.sparkSession
     path = new_path(spark, name, owner)
-    few_files(df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        few_files(df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    few_files(df.withColumn("__nd_part", by.cast("int"))).write.option("parquet.block.size", ROW_GROUP).partitionBy("__nd_part").parquet(path)
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__nd_part", T.IntegerType())])).parquet(path)
 
 
 def small_side(table: DataFrame, most: int = BROADCAST_ROWS, cells: Column | None = None) -> DataFrame:
@@ -86,13 +93,13 @@ class Scratch:
     def __init__(self, name: str, owner: str = "", tidy: bool = False):
         self.owner, self.own, self.tidy = owner or name, f"{name}-{uuid.uuid4().hex[:12]}", tidy
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: Column | None = None) -> DataFrame:
         conf = df.sparkSession.conf
         before = conf.get(TIDY, None)
         if self.tidy:
             conf.set(TIDY, "true")
         try:
-            return write_table(df, name, f"{self.own}/{name}")
+            return write_table(df, name, f"{self.own}/{name}", by)
         finally:
             if self.tidy:
                 conf.set(TIDY, before) if before is not None else conf.unset(TIDY)
@@ -113,6 +120,49 @@ class Scratch:
                 _written[i] = (spark, path, self.owner)
 
 
+#: Bytes of row numbers that are broadcast at once, and what a chunk of CHUNK rows takes besides two bytes a row.
+DROP_BYTES, CHUNK, CHUNK_BYTES = 48 << 20, 4096, 120
+
+
+def place_of(docs: DataFrame) -> tuple[Column, Column] | None:
+    """File and row number of each row, where docs is a scan of Parquet files."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        place = F.xxhash64(at["file_path"]), at["row_index"]
+        docs.select(*place)
+        return place
+    except AnalysisException:
+        return None
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, own: Scratch, most: int = DROP_BYTES) -> DataFrame:
+    """docs, a scan of Parquet files, without the rows of gone(file, row). Row numbers go as lists by chunks of a file, and are broadcast
+    in groups of files of which each takes no more than `most` bytes, a file that takes more in several turns. So docs are in no exchange,
+    whatever goes, and each file is read once, unless it alone has more rows that go than may be broadcast."""
+    file, row = place_of(docs)
+    f, c, rows = fresh(docs, "file", "chunk", "rows")
+    chunk = F.floor(F.col("row") / CHUNK).cast("long")
+    lists = gone.groupBy("file", chunk.alias("chunk")).agg(F.collect_set((F.col("row") % CHUNK).cast("smallint")).alias("rows"))
+    lists = own.write(lists, "rows-that-go")
+    own.leave("rows-that-go")
+    cost = F.sum(2 * F.size("rows") + CHUNK_BYTES)
+    of = -(-(lists.agg(cost).first()[0] or 0) // most) or 1
+    turns = {r.k: -(-r.b // (2 * most)) for r in lists.groupBy(F.pmod("file", F.lit(of)).alias("k")).agg(cost.alias("b")).collect()}  # a row a group
+    parts = []
+    for k in range(of):
+        part = docs.filter(F.pmod(file, F.lit(of)) == k) if of > 1 else docs
+        mine = lists.filter(F.pmod("file", F.lit(of)) == k) if of > 1 else lists
+        n = turns.get(k, 1)
+        at = F.floor(row / CHUNK).cast("long")
+        for turn in range(n):
+            some = part.filter(F.pmod(at, F.lit(n)) == turn) if n > 1 else part
+            listed = (mine.filter(F.pmod("chunk", F.lit(n)) == turn) if n > 1 else mine).select(F.col("file").alias(f), F.col("chunk").alias(c), F.col("rows").alias(rows))
+            numbered = some.withColumns({f: file, c: at, f"{rows}_at": (row % CHUNK).cast("smallint")})
+            kept = numbered.join(F.broadcast(listed), [f, c], "left").filter(~F.coalesce(F.array_contains(F.col(rows), F.col(f"{rows}_at")), F.lit(False)))
+            parts.append(kept.select(*[F.col(f"`{x}`") for x in docs.columns]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def release(owner: str) -> None:
     """Deletes the shared tables of one owner, once nothing that reads them will run any more."""
     for item in [x for x in _written if x[2] == owner]:

@@ -5,12 +5,13 @@ planes, "seen" and "seen again". The filter is cut into shards by the high bits
 so the hashes (8 bytes a row, each at most twice a task) are dealt to shards and each shard sets its own bits: what moves grows
 in proportion to the rows, and no task sees more than its share even if one text makes up most rows.
 Pass 2 broadcasts the "seen again" plane. Rows it does not hold are unique for certain and pass straight through; only the others
-are grouped by their full digest. The broadcast has a proven bound: a plane has at most MAX_PLANE_BYTES. Past the rows that fit,
-the hash space is cut into segments, each with a plane of its own, probed one after the other over the narrow table's hashes.
+are grouped by their full digest. The broadcast has a proven bound: a plane has at most MAX_PLANE_BYTES. Past the rows that fit, the
+narrow table is written in segments of the hash space; each is read with a plane of its own, which is destroyed before the next one is
+made, so the work stays in proportion to the rows and one plane is held at a time.
 
 keep_latest() then knows which rows go, by file and row number, and scans the texts once more without hashing them again: rows that
-go are dropped by a broadcast anti join, in groups of files of which each has no more such rows than may be broadcast. At every
-size texts are in no exchange, and each file is read once by pass 1 and once by pass 2.
+go are dropped by broadcast lists of row numbers, in groups of files that are as large as may be broadcast. At every size texts are in
+no exchange, and each file is read once by pass 1 and once by pass 2.
 
 Nulls: a null text counts as empty; null ids sort below all others. Rows that repeat id and text: exactly one stays. Very long texts
 are hashed whole. Empty table: no rows. Extra columns pass through keep_latest(); they don't meet inner names.
@@ -24,12 +25,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Scratch, fresh, lean, read, small_side
+from .common import BROADCAST_ROWS, DROP_BYTES, Scratch, drop_rows, lean, place_of, read, small_side
 
 MAX_PLANE_BYTES = 64 << 20
 BITS_PER_ROW = 16
@@ -49,11 +49,18 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([*cols, pa.array(shas, pa.binary()), pa.array(heads)], names=["__nd_id", "__nd_file", "__nd_row", "__nd_sha", "__nd_h"])
 
 
-def hash_rows(docs: DataFrame, id_col: str, text_col: str, own: Scratch, file: Column | None = None, row: Column | None = None) -> DataFrame:
-    """The narrow table of pass 1, written to the shared folder. file and row tell rows apart."""
+def segments_for(rows: int, max_plane_bytes: int = MAX_PLANE_BYTES) -> int:
+    """How many planes the filter of so many rows takes."""
+    need = max(1, math.ceil(rows * BITS_PER_ROW / (SHARD_BYTES * 8)))
+    return math.ceil(need / max(1, max_plane_bytes // SHARD_BYTES))
+
+
+def hash_rows(docs: DataFrame, id_col: str, text_col: str, own: Scratch, file: Column | None = None, row: Column | None = None, segments: int = 1) -> list[DataFrame]:
+    """The narrow table of pass 1, written to the shared folder in segments of the hash space. file and row tell rows apart."""
     file, row = (F.lit(0).cast("long"), F.monotonically_increasing_id()) if file is None else (file, row)
     rows = docs.select(F.col(id_col).cast("long").alias("__nd_id"), file.alias("__nd_file"), row.alias("__nd_row"), F.col(text_col).alias("__nd_text"))
-    return own.write(rows.mapInArrow(lean(_digest), _HASHED), "hashes")
+    hashed = own.write(rows.mapInArrow(lean(_digest), _HASHED), "hashes", by=_segment_of(F.col("__nd_h"), segments) if segments > 1 else None)
+    return [hashed] if segments == 1 else [hashed.filter(F.col("__nd_part") == k).drop("__nd_part") for k in range(segments)]
 
 
 def _positions(h: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +107,7 @@ def _plane_builder(shards: int, bits: int):
     return build
 
 
-def _probe(plane, shards: int, bits: int, segment: int, segments: int):
+def _probe(plane, shards: int, bits: int):
     def run(batches):
         for batch in batches:
             h = batch.column("__nd_h").to_numpy()
@@ -108,38 +115,28 @@ def _probe(plane, shards: int, bits: int, segment: int, segments: int):
             at = (shard * bits).astype(np.uint64) + probes
             table = plane.value
             hit = ((table[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=0)
-            batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], names=[*batch.schema.names, "__nd_maybe"])
-            yield batch.filter(pa.array(h.view(np.uint64) % np.uint64(segments) == segment)) if segments > 1 else batch
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], names=[*batch.schema.names, "__nd_maybe"])
 
     return run
 
 
-class BloomPlanes:
-    """The "seen again" planes of a narrow table; flag() tells which rows may be repeated."""
-
-    def __init__(self, hashed: DataFrame, max_plane_bytes: int = MAX_PLANE_BYTES):
-        spark = hashed.sparkSession
-        self.bits = SHARD_BYTES * 8
-        need = max(1, math.ceil(hashed.count() * BITS_PER_ROW / self.bits))
-        self.segments = math.ceil(need / max(1, max_plane_bytes // SHARD_BYTES))
-        self.shards = math.ceil(need / self.segments)
-        self.planes = []
-        for segment in range(self.segments):
-            part = hashed.select(F.col("__nd_h").alias("h"))
-            if self.segments > 1:
-                part = part.filter(_segment_of(F.col("h"), self.segments) == segment)
-            deal = max(1, min(self.shards, 4 * spark.sparkContext.defaultParallelism))
-            dealt = part.mapInArrow(_twice_per_task, "h long").repartition(deal, F.expr(f"pmod(shiftrightunsigned(h, 32), {self.shards})"))
-            plane = np.zeros(self.shards * SHARD_BYTES, np.uint8)
-            for row in dealt.mapInArrow(_plane_builder(self.shards, self.bits), "shard long, plane binary").toLocalIterator():  # max_plane_bytes in all
-                plane[row.shard * SHARD_BYTES : (row.shard + 1) * SHARD_BYTES] = np.frombuffer(row.plane, np.uint8)
-            self.planes.append(spark.sparkContext.broadcast(plane))
-
-    def flag(self, rows: DataFrame) -> DataFrame:
-        """rows with __nd_maybe; one pass for each segment, each row in exactly one of them."""
-        schema = T.StructType([*rows.schema.fields, T.StructField("__nd_maybe", T.BooleanType())])
-        parts = [rows.mapInArrow(_probe(plane, self.shards, self.bits, segment, self.segments), schema) for segment, plane in enumerate(self.planes)]
-        return reduce(DataFrame.unionByName, parts)
+def flagged(segments: list[DataFrame], own: Scratch, max_plane_bytes: int = MAX_PLANE_BYTES) -> DataFrame:
+    """The narrow rows with __nd_maybe, which tells whether their text may be repeated; written, a segment after the other."""
+    out = []
+    for k, hashed in enumerate(segments):
+        spark, bits = hashed.sparkSession, SHARD_BYTES * 8
+        shards = max(1, min(math.ceil(hashed.count() * BITS_PER_ROW / bits), max_plane_bytes // SHARD_BYTES))  # segments differ a little in size
+        deal = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))
+        dealt = hashed.select(F.col("__nd_h").alias("h")).mapInArrow(_twice_per_task, "h long").repartition(deal, F.expr(f"pmod(shiftrightunsigned(h, 32), {shards})"))
+        plane = np.zeros(shards * SHARD_BYTES, np.uint8)
+        for row in dealt.mapInArrow(_plane_builder(shards, bits), "shard long, plane binary").toLocalIterator():  # one plane in all
+            plane[row.shard * SHARD_BYTES : (row.shard + 1) * SHARD_BYTES] = np.frombuffer(row.plane, np.uint8)
+        sent = spark.sparkContext.broadcast(plane)
+        schema = T.StructType([*hashed.schema.fields, T.StructField("__nd_maybe", T.BooleanType())])
+        out.append(own.write(hashed.mapInArrow(_probe(sent, shards, bits), schema), f"flagged-{k}"))
+        sent.destroy()
+    own.drop("hashes")
+    return reduce(DataFrame.unionByName, out)
 
 
 def _segment_of(h, segments: int):
@@ -157,13 +154,13 @@ def _groups(maybe: DataFrame) -> DataFrame:
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_plane_bytes: int = MAX_PLANE_BYTES) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256. Texts never move; unique rows take part in no exchange."""
     own = Scratch("exact")
-    hashed = hash_rows(docs, id_col, text_col, own)
-    flagged = BloomPlanes(hashed, max_plane_bytes).flag(hashed)
-    maybe = flagged.filter("__nd_maybe")
+    parts = segments_for(docs.count(), max_plane_bytes)
+    every = flagged(hash_rows(docs, id_col, text_col, own, segments=parts), own, max_plane_bytes)
+    maybe = every.filter("__nd_maybe")
     groups = own.write(_groups(maybe), "groups")
-    own.leave("hashes", "groups")
+    own.leave("groups", *(f"flagged-{k}" for k in range(parts)))
     maybe = maybe.join(small_side(groups, BROADCAST_ROWS // 4), "__nd_sha", "left")
-    alone = flagged.filter("NOT __nd_maybe")
+    alone = every.filter("NOT __nd_maybe")
     sha = F.lower(F.hex("__nd_sha")).alias("text_sha256")
     doc_id = F.col("__nd_id").alias("doc_id")
     return alone.select(doc_id, F.col("__nd_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha).unionByName(
@@ -177,41 +174,21 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     )
 
 
-def _place_of(docs: DataFrame) -> tuple[Column, Column] | None:
-    """File and row number of each row, where docs is a scan of Parquet files."""
-    try:
-        at = docs.metadataColumn("_metadata")
-        place = F.xxhash64(at["file_path"]), at["row_index"]
-        docs.select(*place)
-        return place
-    except AnalysisException:
-        return None
-
-
-def keep_latest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_plane_bytes: int = MAX_PLANE_BYTES, most: int = BROADCAST_ROWS) -> DataFrame:
+def keep_latest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_plane_bytes: int = MAX_PLANE_BYTES, most: int = DROP_BYTES) -> DataFrame:
     """docs with only the row of the largest id of each text; all columns of docs. What is no plain scan of Parquet files is written
-    to the shared folder first, as rows are told apart by file and row number. `most`: rows that go broadcast at once."""
+    to the shared folder first, as rows are told apart by file and row number. `most`: bytes of row numbers that are broadcast at once."""
     own = Scratch("exact")
-    if _place_of(docs) is None:
+    if place_of(docs) is None:
         docs = own.write(docs, "docs")
         own.leave("docs")
-    file, row = _place_of(docs)
-    hashed = hash_rows(docs, id_col, text_col, own, file, row)
-    maybe = BloomPlanes(hashed, max_plane_bytes).flag(hashed).filter("__nd_maybe")
+    file, row = place_of(docs)
+    maybe = flagged(hash_rows(docs, id_col, text_col, own, file, row, segments_for(docs.count(), max_plane_bytes)), own, max_plane_bytes).filter("__nd_maybe")
     groups = own.write(_groups(maybe), "groups")
     stays = F.struct("__nd_id", "__nd_file", "__nd_row").eqNullSafe(F.col("__nd_best"))
-    gone = own.write(maybe.join(small_side(groups, BROADCAST_ROWS // 4), "__nd_sha").filter(~stays).select("__nd_file", "__nd_row"), "gone")
-    own.leave("gone")
+    gone = maybe.join(small_side(groups, BROADCAST_ROWS // 4), "__nd_sha").filter(~stays).select(F.col("__nd_file").alias("file"), F.col("__nd_row").alias("row"))
+    out = drop_rows(docs, gone, own, most)
     own.close()
-    f, r = fresh(docs, "file", "row")
-    of = -(-gone.count() // most) or 1
-    parts = []
-    for k in range(of):
-        part, losers = docs, gone.select(F.col("__nd_file").alias(f), F.col("__nd_row").alias(r))
-        if of > 1:
-            part, losers = docs.filter(F.pmod(file, F.lit(of)) == k), losers.filter(F.pmod(F.col(f), F.lit(of)) == k)
-        parts.append(part.withColumns({f: file, r: row}).join(F.broadcast(losers) if of == 1 else small_side(losers, 2 * most), [f, r], "left_anti"))
-    return reduce(DataFrame.unionByName, parts).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
