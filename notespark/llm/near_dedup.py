@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, few_files, fresh, lean, read, small_side
+from .common import BROADCAST_ROWS, DROP_BYTES, Scratch, drop_rows, few_files, lean, place_of, read, small_side
 from .hashing import distinct, mix, shingle_sets
 
 BINS, ROWS = 128, 4
@@ -38,7 +38,7 @@ _ROW_KEYS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _BAND_KEYS = mix(np.arange(501, 501 + BANDS, dtype=np.uint64))
 _LOW48 = np.uint64((1 << 48) - 1)
 
-_SIGNED = "doc_id long, row long, digest long, n long, set_a long, set_b long, bands array<long>, items binary"
+_SIGNED = "doc_id long, row long, digest long, file long, at long, n long, set_a long, set_b long, bands array<long>, items binary"
 
 
 def signature(items: np.ndarray) -> np.ndarray:
@@ -89,8 +89,8 @@ def _sign(words: int):
                     bands.append(band_keys(signature(s)) if len(s) else None)
                     items.append(pack(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), part.column("digest"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())],
-                    names=["doc_id", "row", "digest", "n", "set_a", "set_b", "bands", "items"],
+                    [*(part.column(c) for c in ("doc_id", "row", "digest", "file", "at")), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())],
+                    names=["doc_id", "row", "digest", "file", "at", "n", "set_a", "set_b", "bands", "items"],
                 )
 
     return run
@@ -170,11 +170,11 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     return few_files(named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, own: Scratch) -> tuple[DataFrame, DataFrame]:
-    """rows: doc_id, digest of the text, n, comp of every row; firsts: for components of several rows with an id, the smallest
-    (doc_id, digest). A key that many rows share (an exact set, a bucket, a centre, an element, a component) is aggregated with
+def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, own: Scratch, file: Column | None = None, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, digest of the text, place (file and row number, where given), n, comp of every row; firsts: for components of several
+    rows with an id, the smallest (doc_id, digest, file, at). A key that many rows share (an exact set, a bucket, a centre, an element, a component) is aggregated with
     partial sums and joined to a written table, so that no window or join needs all its rows in one task."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), (F.lit(0) if file is None else file).cast("long").alias("file"), (F.lit(0) if at is None else at).cast("long").alias("at"), F.col(text_col).alias("text"))
     signed = own.write(texts.mapInArrow(lean(_sign(words)), _SIGNED), "signed")
     classes = own.write(signed.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("rep")), "classes")
     reps = signed.select("row", "n", "bands").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -260,9 +260,9 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_c
             labels = merged(labels, confirmed(unsettled(left.select("a", F.col("rep").alias("b"), "comp").distinct()), "third"), "labels-3")
     own.drop("sets", "members", "degrees", "stars", "left", "open-prefix")
     named = classes.join(small_side(labels), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
-    rows = signed.select("doc_id", "row", "digest", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp"))
+    rows = signed.select("doc_id", "row", "digest", "file", "at", "n", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select("doc_id", "digest", "file", "at", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp"))
     rows = own.write(rows, "rows")
-    several = rows.filter("doc_id IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("c"))
+    several = rows.filter("doc_id IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "digest", "file", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
     # a row without an id takes part too: it is named after the smallest id of its component
     alone = rows.filter("doc_id IS NULL AND n > 0").select("comp").distinct().withColumn("other", F.lit(True))
     firsts = own.write(several.join(alone, "comp", "left").filter("c > 1 OR other").select("comp", "first"), "firsts")
@@ -270,27 +270,23 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_c
     return rows, firsts
 
 
-def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = DROP_BYTES) -> DataFrame:
     """docs with one row of each component, the one of the smallest id; all columns of docs. Rows without an id stay.
 
-    Rows go by id and text: another text of the same id is judged by its own component. Of several texts of the smallest id in one
-    component one stays, and of rows that repeat both id and text one."""
+    Rows are judged each by its own text, also where several share an id. Of several rows of the smallest id in one component one stays,
+    of the smallest hash of its text, then the first. What is no plain scan of Parquet files is written to the shared folder first, as
+    rows go by file and row number: texts are in no exchange, whatever goes."""
     own = Scratch("near")
-    rows, firsts = _linked(docs, words, num, den, id_col, text_col, own)
+    if place_of(docs) is None:
+        docs = own.write(docs, "docs")
+        own.leave("docs")
+    file, at = place_of(docs)
+    rows, firsts = _linked(docs, words, num, den, id_col, text_col, own, file, at)
     judged = rows.filter("doc_id IS NOT NULL AND n > 0").join(small_side(firsts, BROADCAST_ROWS // 4), "comp")
-    stays = F.struct("doc_id", "digest") == F.col("first")
-    i, d = fresh(docs, "id", "digest")
-    key = [F.col("doc_id").alias(i), F.col("digest").alias(d)]
-    drop = own.write(judged.filter(~stays).select(*key).distinct(), "drop")
-    again = own.write(judged.filter(stays).groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "again")
-    own.close("drop", "again")
-    own.leave("drop", "again")
-    keyed = docs.withColumns({i: F.col(id_col).cast("long"), d: F.xxhash64(F.col(text_col).cast("string"))})
-    out = keyed.join(small_side(drop, BROADCAST_ROWS // 4), [i, d], "left_anti")
-    if not again.isEmpty():
-        repeats = small_side(again, BROADCAST_ROWS // 4)
-        out = out.join(repeats, [i, d], "left_anti").unionByName(out.join(repeats, [i, d], "left_semi").dropDuplicates([i, d]))
-    return few_files(out.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    gone = judged.filter(F.struct("doc_id", "digest", "file", "at") != F.col("first")).select("file", F.col("at").alias("row"))
+    out = few_files(drop_rows(docs, gone, own, most))
+    own.close()
+    return out
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
+from pyspark.core.broadcast import Broadcast
 
 from notespark.llm import common, decontaminate, exact_dedup, hashing, line_dedup, near_dedup
 
@@ -175,10 +177,20 @@ def test_exact_dedup_segments(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 2000)
     rows = [(i, f"t{i % 700}") for i in range(1000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], DOCS)
-    planes = exact_dedup.BloomPlanes(exact_dedup.hash_rows(df, "doc_id", "text", common.Scratch("t")), exact_dedup.SHARD_BYTES)
-    assert planes.segments > 1
+    assert exact_dedup.segments_for(len(rows), exact_dedup.SHARD_BYTES) > 1
+    held, most, broadcast, destroy = set(), [], SparkContext.broadcast, Broadcast.destroy
+
+    def sent(self, value):
+        out = broadcast(self, value)
+        held.add(id(out))
+        most.append((len(held), value.nbytes))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", sent)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: held.discard(id(self)) or destroy(self, *a))
     got = {x.doc_id: (x.keep_id, x.group_size, x.kept, x.text_sha256) for x in exact_dedup.annotate(df, max_plane_bytes=exact_dedup.SHARD_BYTES).collect()}
     assert got == brute_exact(rows)
+    assert len(most) > 1 and not held and max(most) == (1, exact_dedup.SHARD_BYTES)  # one plane at a time
     assert sorted(x.doc_id for x in exact_dedup.keep_latest(df, max_plane_bytes=exact_dedup.SHARD_BYTES).collect()) == sorted(i for i, v in got.items() if v[2])
 
 
@@ -189,16 +201,26 @@ def test_exact_dedup_ties(spark):
     assert exact_dedup.annotate(df.limit(0)).count() == 0 and exact_dedup.keep_latest(df.limit(0)).count() == 0
 
 
-def test_exact_dedup_moves_no_texts(spark, monkeypatch):
-    """Several planes and several groups of files: every file is read, and no exchange holds a text."""
+@pytest.mark.parametrize("files,most", [(7, 600), (1, 200)])
+def test_dedup_moves_no_texts(spark, monkeypatch, files, most):
+    """Several planes, several groups of files and one file of more rows that go than may be broadcast: no exchange holds a text."""
     monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 2000)
-    rows = [(i, f"t{i % 700}", 0) for i in range(1000)]
+    monkeypatch.setattr(common, "CHUNK", 128)
+    rows = [(i, f"t{i % 700} " + " ".join(f"w{i % 700}x{k}" for k in range(6)), 0) for i in range(1000)]
     path = common.new_path(spark, "t")
-    spark.createDataFrame(rows, DOCS).repartition(7).write.parquet(path)
-    out = exact_dedup.keep_latest(spark.read.parquet(path), max_plane_bytes=exact_dedup.SHARD_BYTES, most=100)
-    assert sorted(r.doc_id for r in out.collect()) == list(range(300, 1000))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan parquet") >= 6 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "MapInArrow" not in plan
+    spark.createDataFrame(rows, DOCS).repartition(files).write.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exact = exact_dedup.keep_latest(spark.read.parquet(path), max_plane_bytes=exact_dedup.SHARD_BYTES, most=most)
+        near = near_dedup.keep_first(spark.read.parquet(path), most=most)
+        for out, want in ((exact, range(300, 1000)), (near, range(700))):
+            assert sorted(r.doc_id for r in out.collect()) == list(want)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Scan parquet") >= 4 and plan.count("BroadcastHashJoin") >= 2
+            assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "MapInArrow" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_clashing_names(spark):
