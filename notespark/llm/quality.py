@@ -417,7 +417,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     own.drop("labels")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_columns(docs))
     wanted = spark.createDataFrame([(i,) for i in y_of], "doc_id long")
-    found = {r.doc_id: r for r in rows.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(lean(_features), "doc_id long, shape binary, meta binary, words binary").collect()}
+    # of rows that share an id, the one of the smallest hash of its text is learnt, so that the driver gets one row an id
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), *[F.col(c) for c in rows.columns[1:]])).alias("r")
+    sample = rows.join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", *[f"r.{c}" for c in rows.columns[1:]])
+    found = {r.doc_id: r for r in sample.mapInArrow(lean(_features), "doc_id long, shape binary, meta binary, words binary").collect()}
     order = sorted(found)
     shape = np.array([np.frombuffer(found[i].shape, np.float32) for i in order]).reshape(-1, SHAPE)
     meta = np.array([np.frombuffer(found[i].meta, np.int64) for i in order], np.int64).reshape(-1, 3)

@@ -1,10 +1,13 @@
 """Chat, WARC, licences, quality and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +211,55 @@ def test_quality_odd_rows(spark):
     assert quality.score(bare, quality.train(bare, none)).count() == 5
 
 
+def plain_score(model, text, source, lang, n_chars):
+    """One row scored in plain Python from the weights: name -> probability."""
+    raw = (text or "").encode()
+    size = max(len(raw), 1)
+    share = [sum(b in chars for b in raw) / size for chars in quality._COUNTED]
+    ws = [w.lower() for w in re.split(rb"[^0-9A-Za-z\x80-\xff]+", raw) if w]
+    n, distinct = len(ws), len(set(ws))
+    again = sum(a == b for a, b in zip(ws, ws[1:])) / max(n, 1)
+    shape = share + [math.log1p(n) / 10, distinct / max(n, 1), size / max(n, 1) / 10, math.log((n + 1) / (distinct + 1)) / 3, 4 / (4 + n), again]
+    shape += [math.log1p(100 * x) / 3 for x in (share[0], share[1], share[2], again)]
+    place = {int(h): k for k, h in enumerate(model.words)}
+    hashed = {int(quality.word_hashes(pa.array([w], pa.binary()), quality.NON_ALNUM)[0][0]) for w in set(ws)}
+    meta = quality.meta_view([source], [lang], [n_chars])[0]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    clip = lambda x: max(-30.0, min(30.0, x))
+    out = {}
+    for name, t in model.targets.items():
+        zt = clip(sum(a * float(b) for a, b in zip(shape, t.wt)) + float(t.wt[-1]) + sum(float(t.wt[quality.SHAPE + place[h]]) for h in hashed if h in place))
+        zm = clip(sum(float(t.wm[m]) for m in meta) + float(t.wm[-1]))
+        a, b = zt * t.ct[0] + t.ct[1], zm * t.cm[0] + t.cm[1]
+        both = clip(a / 4 * float(t.combine[0]) + b / 4 * float(t.combine[1]) + float(t.combine[2]))
+        for view, z in (("p_text", a), ("p_meta", b), ("p", both)):
+            out[f"{view}_{name}"] = sigmoid(z + t.shift)
+    return out
+
+
+def test_query_equals_plain_scoring_of_every_row(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.op3_quality(spark, small).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = plain_score(model, r.text, r.source, r.lang, r.n_chars)
+        assert all(abs(got[r.doc_id][c] - p) < 2e-3 for c, p in want.items()), r.doc_id
+        if min(abs(want[c] - 0.5) for c in ("p_quality", "p_toxic")) > 2e-3:
+            assert got[r.doc_id].kept == (want["p_quality"] >= 0.5 and want["p_toxic"] <= 0.5)
+
+
+def test_of_rows_that_share_an_id_one_is_learnt(spark, small):
+    """The same one in any order of the rows, so a crowd of them never meets in the driver."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    crowd = labels.limit(1).crossJoin(spark.range(400).select(F.col("id").alias("k"))).select("doc_id", F.concat(F.lit("crowd "), "k").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(7).cast("long").alias("n_chars"))
+    every = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).unionByName(crowd)
+    models = [quality.train(x, labels) for x in (every.repartition(3), every.orderBy(F.desc("text")))]
+    for name in quality.TARGETS:
+        assert np.allclose(models[0].targets[name].wt, models[1].targets[name].wt, atol=1e-3) and (models[0].words == models[1].words).all()
+
+
 def test_regression_finds_a_line():
     r = np.random.default_rng(0)
     x = r.normal(size=(400, 3)).astype(np.float32)
